@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import byte_bpe, ngram_jaccard, quality_rules, substring_dedup, suffix_dedup, toxicity
+from tessella.llm import byte_bpe, decontaminate, ngram_jaccard, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_ngram_jaccard": ngram_jaccard.op6_ngram_jaccard,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
