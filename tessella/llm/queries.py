@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import byte_bpe, decontaminate, ngram_jaccard, quality_rules, substring_dedup, suffix_dedup, toxicity
+from tessella.llm import byte_bpe, decontaminate, html_extract, ngram_jaccard, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_ngram_jaccard": ngram_jaccard.op6_ngram_jaccard,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
