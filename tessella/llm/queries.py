@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import byte_bpe, decontaminate, html_extract, ngram_jaccard, quality_rules, substring_dedup, suffix_dedup, toxicity
+from tessella.llm import byte_bpe, decontaminate, html_extract, ngram_jaccard, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
 }
