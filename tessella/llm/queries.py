@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import byte_bpe, decontaminate, html_extract, ngram_jaccard, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
+from tessella.llm import byte_bpe, decontaminate, html_extract, language_id, ngram_jaccard, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_language_id": language_id.op2_language_id,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
