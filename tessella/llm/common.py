@@ -65,9 +65,15 @@ def release(df: DataFrame) -> None:
     drop_path(df.sparkSession, df.scratch_path)  # type: ignore[attr-defined]
 
 
-def release_all(spark: SparkSession) -> None:
-    """Removes every scratch table of this process; only once results built on them are written."""
-    for path in list(_scratch):
+def mark() -> int:
+    """A place in the list of scratch tables, for ``keep_only``."""
+    return len(_scratch)
+
+
+def keep_only(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Removes the scratch tables made since a mark, but for those of these DataFrames."""
+    paths = {x.scratch_path for x in kept}  # type: ignore[attr-defined]
+    for path in [p for p in _scratch[since:] if p not in paths]:
         drop_path(spark, path)
 
 

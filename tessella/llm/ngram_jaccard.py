@@ -226,7 +226,7 @@ def _blocks(percent: int):
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text); k and tag name the row."""
-    docs = seeds.keyed(docs)
+    docs, since = seeds.keyed(docs), common.mark()
     every = set_table(docs, words, percent)
     # one class per set; its name of 64 bits must stand for one name of 128
     classes = every.where("n > 0").groupBy("x").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("k", "tag")).alias("rep"), F.min("y").alias("y0"), F.max("y").alias("y1"))
@@ -282,7 +282,10 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     label = common.materialize(named.join(least, "root").select("x", "component_id"), "jaccard-labels")
     joined = every.select("doc_id", "k", "tag", F.col("n").alias("n_shingles"), "x").join(label, "x", "left")
-    return joined.select("doc_id", "k", "tag", "n_shingles", F.when(F.col("x").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("x").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    result = common.materialize(joined.select("doc_id", "k", "tag", "n_shingles", component), "jaccard-result")
+    common.keep_only(docs.sparkSession, since, result)
+    return result
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

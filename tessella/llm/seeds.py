@@ -139,7 +139,8 @@ def repeated_windows(windows: DataFrame, name: str) -> DataFrame:
     return windows.join(twice, ["x", "y"], "left_semi").select("k", "tag", "s", F.lit(1).alias("m"))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the list of their spans, null without."""
-    lists = spans.groupBy(*KEY).agg(F.collect_set(F.struct("s", "m")).alias("spans"))
+def with_spans(docs: DataFrame, spans: DataFrame, name: str, since: int) -> DataFrame:
+    """docs with the list of their spans, null without. The lists become a table; scratch tables since the mark go."""
+    lists = common.materialize(spans.groupBy(*KEY).agg(F.collect_set(F.struct("s", "m")).alias("spans")), f"{name}-spans")
+    common.keep_only(docs.sparkSession, since, lists)
     return docs.join(lists, KEY, "left")

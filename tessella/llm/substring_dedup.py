@@ -60,7 +60,7 @@ RESULT_DDL = "doc_id long, n_words long, n_removed long, kept_text string, kept_
 
 def dedup(docs: DataFrame, words: int = WORDS, texts: bool = True) -> DataFrame:
     """Per row of docs: word counts, kept text (null unless ``texts``), its SHA-256, and maximal repeats as [from, to)."""
-    docs = seeds.keyed(docs)
+    docs, since = seeds.keyed(docs), common.mark()
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part in parts:
@@ -76,7 +76,7 @@ def dedup(docs: DataFrame, words: int = WORDS, texts: bool = True) -> DataFrame:
                 kept = b" ".join(found)
                 yield doc_id, n, n - len(found), kept.decode() if texts else None, hashlib.sha256(kept).hexdigest(), edges
 
-    joined = seeds.with_spans(docs, repeat_spans(docs, words)).select("doc_id", "spans", "text")
+    joined = seeds.with_spans(docs, repeat_spans(docs, words), "substring", since).select("doc_id", "spans", "text")
     return joined.mapInArrow(lambda parts: common.batches(cut(parts), RESULT, 1_000), RESULT_DDL)
 
 
@@ -89,9 +89,9 @@ def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     The texts of documents that lose nothing stay as they are; others become their kept words joined by one space.
     """
-    columns, named = docs.columns, seeds.keyed(docs)
+    columns, named, since = docs.columns, seeds.keyed(docs), common.mark()
     rows = docs.withColumns({"k": F.coalesce("doc_id", F.lit(0)), "tag": F.xxhash64("text", F.col("doc_id").isNull())})
-    spans = seeds.with_spans(rows, repeat_spans(named, words))
+    spans = seeds.with_spans(rows, repeat_spans(named, words), "substring", since)
 
     @F.pandas_udf("string")
     def cut(text, spans):

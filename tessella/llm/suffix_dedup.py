@@ -188,7 +188,7 @@ RESULT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept bina
 
 def dedup(docs: DataFrame, length: int = BYTES, texts: bool = True) -> DataFrame:
     """Per row of docs: byte counts, remaining bytes (null unless ``texts``), their SHA-256, removed runs as [from, to)."""
-    docs = seeds.keyed(docs)
+    docs, since = seeds.keyed(docs), common.mark()
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part in parts:
@@ -199,7 +199,7 @@ def dedup(docs: DataFrame, length: int = BYTES, texts: bool = True) -> DataFrame
                 kept = b"".join(text[a:b] for (_, a), (b, _) in zip([(0, 0), *edges], [*edges, (len(text), 0)]))
                 yield doc_id, len(text), len(text) - len(kept), len(edges), kept if texts else None, hashlib.sha256(kept).hexdigest(), edges
 
-    joined = seeds.with_spans(docs, repeat_spans(docs, length)).select("doc_id", "spans", "text")
+    joined = seeds.with_spans(docs, repeat_spans(docs, length), "suffix", since).select("doc_id", "spans", "text")
     return joined.mapInArrow(lambda parts: common.batches(cut(parts), RESULT, 1_000), RESULT_DDL)
 
 
