@@ -8,14 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java pattern of the word separators that every word-based contract here uses.
 SEPARATORS = r"[\x20\x09-\x0D]+"
-#: Words kept in a worker's hash dictionary before it starts anew; bounds its memory.
-DICTIONARY_WORDS = 400_000
 
 _scratch: list[str] = []
 
@@ -102,19 +99,6 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to DICTIONARY_WORDS of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= DICTIONARY_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(31))
@@ -155,6 +139,23 @@ class Rolling:
         return (sums[end] - sums[start]) * self.down[start]
 
 
+class WordHashes:
+    """64-bit hashes of the words of texts, all at once from the bytes; a word is a run of anything but ASCII white space."""
+
+    def __init__(self):
+        self.rolling = Rolling(0x369DEA0F31A53F85)
+        self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E6C63D0876A9A47))
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+
+    def of(self, text: bytes) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint64)
+        raw = np.frombuffer(text, np.uint8)
+        edge = np.flatnonzero(np.diff(self.blank[raw], prepend=True, append=True))
+        return mix(self.rolling.slices(self.rolling.prefix(self.value[raw]), edge[::2], edge[1::2]))
+
+
 def first_column(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns that an operator reads; columns beside them, whatever their names, are left out."""
     return df.select(*[F.col(f"`{n}`") for n in names])

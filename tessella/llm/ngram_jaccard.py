@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,16 +42,20 @@ class Shingles:
     def __init__(self, words: int):
         self.words, self.hashes = words, common.WordHashes()
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        found = (text or b"").lower().split()
-        if not found:
-            return np.zeros(0, np.uint64)
-        units, k = self.hashes.array(found), min(self.words, len(found))
+    def all(self, text: bytes) -> np.ndarray:
+        """Hashes of all shingles in order."""
+        units = self.hashes.of(text.lower())
+        if not len(units):
+            return units
+        k = min(self.words, len(units))
         n = len(units) - k + 1
         out = np.full(n, k, np.uint64)
         for j in range(k):
             out = out * np.uint64(0x9E3779B97F4A7C15) + units[j : n + j]
-        return np.unique(common.mix(out))
+        return common.mix(out)
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        return np.unique(self.all(text or b""))
 
 
 def least_overlap(a, b, percent: int):
@@ -85,20 +90,22 @@ def slot(found: np.ndarray) -> np.ndarray:
 
 
 def counts(docs: DataFrame, words: int) -> np.ndarray:
-    """In how many documents the shingles of each slot occur, over all documents. A fixed number of integers."""
+    """How often the shingles of each slot occur in all documents; a fixed number of integers that orders shingles.
+
+    Texts are read joined together, which adds a few shingles that span two of them: any order would do.
+    """
 
     def tally(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, sums = Shingles(words), np.zeros(SLOTS, np.int64)
         for part in parts:
             held, size = [], 0
             for text in common.text_bytes(part.column(0)):
-                held.append(slot(find.of(text)))
+                held.append(text or b"")
                 size += len(held[-1])
-                if size > 2_000_000:
-                    sums += np.bincount(np.concatenate(held), minlength=SLOTS)
+                if size > 500_000:
+                    sums += np.bincount(slot(find.all(b"\n".join(held))), minlength=SLOTS)
                     held, size = [], 0
-            if held:
-                sums += np.bincount(np.concatenate(held), minlength=SLOTS)
+            sums += np.bincount(slot(find.all(b"\n".join(held))), minlength=SLOTS)
         for i, part in enumerate(sums.reshape(-1, SLICE)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], names=["i", "n"])
@@ -140,32 +147,44 @@ def set_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return common.materialize(docs.select("doc_id", "k", "tag", "text").mapInArrow(lambda parts: common.batches(rows(parts), SETS, 2_000), SETS_DDL), "jaccard-sets")
 
 
+CANDIDATES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """The pairs(u, v) of set names whose sets reach the threshold; sets are made for those in pairs only."""
+    """The pairs(u, v) of set names whose sets reach the threshold. The texts of those in pairs travel compressed, which is
+    several times smaller than their sets; sets are made again where two texts meet."""
     pairs = common.materialize(pairs, f"{name}-pairs")
     names = pairs.select(F.col("u").alias("x")).unionAll(pairs.select(F.col("v").alias("x"))).distinct()
     wanted = reps.join(names, "x", "left_semi").select("x", "k", "tag")
 
-    def make(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        find = Shingles(words)
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        small = zstandard.ZstdCompressor(3)
         for part in parts:
             for x, text in zip(part.column(0).to_pylist(), common.text_bytes(part.column(1))):
-                yield x, find.of(text).view(np.int64)
-
-    schema = pa.schema([("x", pa.int64()), ("found", pa.list_(pa.int64()))])
-    sets = docs.join(wanted, seeds.KEY).select("x", "text").mapInArrow(lambda parts: common.batches(make(parts), schema, 500), "x long, found array<long>")
-    sets = common.materialize(sets, f"{name}-sets")
-    both = pairs.join(sets.select(F.col("x").alias("u"), F.col("found").alias("a")), "u").join(sets.select(F.col("x").alias("v"), F.col("found").alias("b")), "v")
-    both = both.select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("i"), (F.size("a") + F.size("b")).cast("long").alias("s"))
-    links = common.materialize(both.where(F.expr(f"100 * i >= {percent} * (s - i)")).select("u", "v").distinct(), f"{name}-links")
+                yield x, small.compress(text)
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, large, last, mine = Shingles(words), zstandard.ZstdDecompressor(), None, None
+        for part in parts:
+            keep = []
+            for u, a, b in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                if u != last:
+                    last, mine = u, find.of(large.decompress(a))
+                its = find.of(large.decompress(b))
+                both = len(np.intersect1d(mine, its, assume_unique=True))
+                keep.append(100 * both >= percent * (len(mine) + len(its) - both))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=CANDIDATES).filter(pa.array(keep, pa.bool_()))
+
+    schema = pa.schema([("x", pa.int64()), ("text", pa.binary())])
+    packed = docs.join(wanted, seeds.KEY).select("x", "text").mapInArrow(lambda parts: common.batches(pack(parts), schema, 2_000), "x long, text binary")
+    sets = common.materialize(packed, f"{name}-texts")
+    both = pairs.join(sets.select(F.col("x").alias("u"), F.col("text").alias("a")), "u").join(sets.select(F.col("x").alias("v"), F.col("text").alias("b")), "v")
+    links = common.materialize(both.select("u", "v", "a", "b").mapInArrow(meet, "u long, v long").distinct(), f"{name}-links")
     common.release(sets)
     common.release(pairs)
     return links
 
 
-CANDIDATES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-
 def _pairs(left: list, right: list | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of two blocks of one list, or within one, that pass size, position and bitmap; of different components."""
     width = min(len(r[4]) for r in left + (right or []))

@@ -28,8 +28,7 @@ WORDS, GRAM = 35, 6
 
 
 def _units():
-    hashes = common.WordHashes()
-    return lambda text: hashes.array(text.split())
+    return common.WordHashes().of
 
 
 def repeat_spans(docs: DataFrame, words: int = WORDS, name: str = "substring") -> DataFrame:
