@@ -207,3 +207,14 @@ def test_stream_appends_each_id_once(spark, tmp_path):
 def test_the_rest_does_not_import_the_training_data_package():
     code = "import sys, tessella.catalogue, tessella.sources.scores, tessella.sources.tensors, tessella.streaming.journal; assert not [m for m in sys.modules if m.startswith('tessella.llm') or m == 'corpus_pipeline']"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_hadamard_is_its_own_inverse():
+    import numpy as np
+
+    from tessella.functions.transforms import hadamard
+
+    x = np.random.default_rng(1).normal(size=(3, 16))
+    assert np.allclose(hadamard(hadamard(x)), x) and np.allclose((hadamard(x) ** 2).sum(), (x**2).sum())
+    with pytest.raises(ValueError):
+        hadamard(np.ones(6))
