@@ -3,7 +3,7 @@
 A page is a sequence of leaf blocks. Each block is a vector: hashed names of its tag path (elements, classes, ids), hashed
 words, its length, linked share and place. A bidirectional LSTM in numpy reads the sequence and classifies every block as
 main text or not, so that each decision sees the whole page. It is trained when the query runs, on a bounded set: at most
-TRAIN_PAGES pages of the table, those of smallest hash, labelled by what their elements mean (inside an article or main
+TRAIN_PAGES pages of the table, chosen by hash, labelled by what their elements mean (inside an article or main
 element, outside navigation, headers, footers, asides and forms), and MADE_PAGES pages made from a seed in varied layouts,
 whose labels are known. Inference covers all pages, in batches of pages of similar length.
 
@@ -258,7 +258,8 @@ def made_page(r: random.Random) -> tuple[list[Block], np.ndarray]:
 
 def train(pages: DataFrame) -> dict[str, np.ndarray]:
     """Weights of a labeller fitted to the bounded training set."""
-    some = pages.select("html").where("html IS NOT NULL").orderBy(F.xxhash64("html")).limit(TRAIN_PAGES)
+    every = max(1, pages.count() // TRAIN_PAGES)
+    some = pages.where("html IS NOT NULL").where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("html").limit(TRAIN_PAGES)
     vectors, r = Vectors(), random.Random(SEED)
     sets = [made_page(r) for _ in range(MADE_PAGES)]
     for row in sorted(x.html for x in some.collect()):
