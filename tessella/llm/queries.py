@@ -19,5 +19,8 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE,
+    "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op6_ngram_jaccard": ngram_jaccard.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
 }

@@ -108,3 +108,13 @@ def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     if "n_chars" in columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*[F.col(f"`{c}`") for c in columns])
+
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: md5(array_to_string(w[i:i + {WORDS - 1}], ' ')))) AS h, unnest(range(1, len(w) - {WORDS - 2})) AS i FROM d),
+c AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, i + o AS j FROM p SEMI JOIN c USING (h), range(0, {WORDS}) AS t(o)),
+x AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS kept FROM x ANTI JOIN g USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""

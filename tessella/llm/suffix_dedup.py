@@ -205,3 +205,17 @@ def dedup(docs: DataFrame, length: int = BYTES, texts: bool = True) -> DataFrame
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "documents"), texts=False).drop("kept", "removed")
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, i, md5(b[i:i + {BYTES - 1}]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {BYTES - 2})) AS i FROM d)),
+c AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p SEMI JOIN c USING (h)),
+m AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i - before > {BYTES} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + {BYTES - 1} AS z FROM m GROUP BY ALL),
+g AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a + 1) AS n FROM r GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN a IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(0, len(a) + 1), lambda k: CASE WHEN (CASE WHEN k = 0 THEN 1 ELSE z[k] + 1 END) <= (CASE WHEN k = len(a) THEN octet_length(b) ELSE a[k + 1] - 1 END)
+    THEN hex(b[(CASE WHEN k = 0 THEN 1 ELSE z[k] + 1 END):(CASE WHEN k = len(a) THEN octet_length(b) ELSE a[k + 1] - 1 END)]) ELSE '' END), '')) END) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
