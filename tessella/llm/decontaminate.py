@@ -15,7 +15,7 @@ matches nothing; other columns are not read.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -52,25 +52,36 @@ def pieces(item: bytes) -> list[tuple[int, bytes]]:
     return [(s, item[s : s + PIECE]) for s in sorted({*range(0, last, PIECE // 2), last})]
 
 
-def alignment(piece: bytes, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """Fewest edits of the piece against any stretch of the text on diagonals low..high, and where it ends; ends are free.
+def align(pieces: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits of each piece against its text, within a band, and the diagonal where that alignment ends.
 
-    Row i holds the cells of column i + d for the diagonals d of the band: a column beyond the text costs infinitely much.
+    Row i of the table holds the cells of column i + d, for d from 0 up to how much longer texts are than pieces; both ends of
+    the text are free. Places outside a document hold a byte that no piece has, which costs as much as leaving it out.
     """
-    width, far = high - low + 1, len(piece) + len(text) + 1
-    d = np.arange(width)
-    row = np.where((d + low >= 0) & (d + low <= len(text)), 0, far)
-    for i, c in enumerate(piece, 1):
-        column = i + low + d
-        inside = (column >= 1) & (column <= len(text))
-        change = row + (text[np.clip(column - 1, 0, len(text) - 1)] != c)
-        drop = np.append(row[1:], far) + 1
-        now = np.minimum(np.where(inside, change, far), drop)
-        now = np.where((column >= 0) & (column <= len(text)), now, far)
-        row = np.minimum.accumulate(now - d) + d
-        row = np.where((column >= 0) & (column <= len(text)), row, far)
-    at = int(row.argmin())
-    return int(row[at]), len(piece) + low + at
+    length, width = pieces.shape[1], texts.shape[1] - pieces.shape[1] + 1
+    d = np.arange(width, dtype=np.int16)
+    row = np.zeros((len(pieces), width), np.int16)
+    for i in range(length):
+        now = row + (texts[:, i : i + width] != pieces[:, i, None])
+        np.minimum(now[:, :-1], row[:, 1:] + 1, out=now[:, :-1])
+        row = np.minimum.accumulate(now - d, axis=1) + d
+    at = row.argmin(1)
+    return row[np.arange(len(row)), at], at
+
+
+def stretch(text: np.ndarray, start: int, end: int) -> np.ndarray:
+    """text[start:end], with bytes of value 0 outside it."""
+    out = np.zeros(end - start, np.uint8)
+    a, b = max(start, 0), min(end, len(text))
+    if a < b:
+        out[a - start : b - start] = text[a:b]
+    return out
+
+
+def alignment(piece: bytes, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
+    """Fewest edits of one piece on diagonals low..high of a text, and where that alignment ends."""
+    edits, at = align(np.frombuffer(piece, np.uint8)[None], stretch(text, low, high + len(piece))[None])
+    return int(edits[0]), min(len(text), low + int(at[0]) + len(piece))
 
 
 class Searcher:
@@ -80,7 +91,7 @@ class Searcher:
         self.rolling = common.Rolling(0x5DEECE66D1F3A8B5)
         self.mixing = common.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
         self.of = [(n, s, p) for n, (_, text) in enumerate(items) for s, p in pieces(text)]
-        self.keys = [k for k, _ in items]
+        self.keys, self.total = [k for k, _ in items], Counter(n for n, _, _ in self.of)
         grams, piece, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n, (_, _, p) in enumerate(self.of):
             grams.append(self.grams(np.frombuffer(p, np.uint8)))
@@ -128,29 +139,47 @@ class Searcher:
         piece = piece[ok]
         return list(zip(piece.tolist(), (band[ok] * (self.edits[piece] + 1) - 2 * PIECE).tolist()))
 
-    def search(self, text: bytes) -> list[tuple[int, int, int, int, int, int]]:
-        """(item's place, pieces found, pieces it has, start and end in the normalised text, fewest edits of a piece)."""
-        found: dict[int, dict[int, tuple[int, int]]] = defaultdict(dict)
+    def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int, int, int]]]:
+        """For each text: (item's place, pieces found, pieces it has, start and end in the normalised text, fewest edits).
+
+        Regions that do not hold the piece itself are aligned together, as many at a time as texts are given.
+        """
+        found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+        open_: dict[int, list[tuple[int, int, int, np.ndarray]]] = defaultdict(list)
         lap = 2 * PIECE
-        for start in range(0, max(1, len(text) - lap), SEGMENT):
-            part = text[start : start + SEGMENT + lap]
-            raw = np.frombuffer(part, np.uint8)
-            for n, low in self.bands(raw) if len(raw) >= Q else ():
-                item, _, piece = self.of[n]
-                e = int(self.edits[n])
-                edge = max(0, low - e)
-                exact = part.find(piece, edge, low + 3 * e + 2 + len(piece))
-                if exact >= 0:
-                    edits, end = 0, exact + len(piece)
-                else:  # a diagonal of the shared grams is at most e away from one where the alignment begins
-                    edits, end = alignment(piece, raw[edge:], low - e - edge, low + 3 * e + 1 - edge)
-                    end += edge
-                if edits <= e and edits < found[item].get(n, (e + 1, 0))[0]:
-                    found[item][n] = (edits, start + end)
-        total = defaultdict(int)
-        for item, _, _ in self.of:
-            total[item] += 1
-        return [(i, len(x), total[i], max(0, min(end - len(self.of[n][2]) for n, (_, end) in x.items())), max(e for _, e in x.values()), min(k for k, _ in x.values())) for i, x in found.items() if x]
+        for t, text in enumerate(texts):
+            for start in range(0, max(1, len(text) - lap), SEGMENT):
+                part = text[start : start + SEGMENT + lap]
+                raw = np.frombuffer(part, np.uint8)
+                held: set[tuple[int, int]] = set()
+                for n, low in self.bands(raw) if len(raw) >= Q else ():
+                    piece, e = self.of[n][2], int(self.edits[n])
+                    exact = part.find(piece, max(0, low - e), low + 3 * e + 1 + len(piece))
+                    if exact >= 0:
+                        found[t][n] = (0, start + exact + len(piece))
+                    elif found[t].get(n, (1, 0))[0] and (n, low) not in held:
+                        # a diagonal of the shared grams is at most e away from those of the alignment
+                        held.add((n, low))
+                        open_[n].append((t, start, low - e, stretch(raw, low - e, low + 3 * e + 1 + len(piece))))
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for n in open_:
+            by_length[len(self.of[n][2])].append(n)
+        for length, some in by_length.items():
+            rows = [(n, *x) for n in some for x in open_[n]]
+            for at in range(0, len(rows), 4_096):
+                few = rows[at : at + 4_096]
+                pieces = np.stack([np.frombuffer(self.of[x[0]][2], np.uint8) for x in few])
+                edits, ends = align(pieces, np.stack([x[4] for x in few]))
+                for (n, t, start, low, _), k, d in zip(few, edits.tolist(), ends.tolist()):
+                    if k <= self.edits[n] and k < found[t].get(n, (k + 1, 0))[0]:
+                        found[t][n] = (k, min(len(texts[t]), start + low + d + length))
+        return [self.summary(x) for x in found]
+
+    def summary(self, found: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+        items: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for n, (edits, end) in found.items():
+            items[self.of[n][0]].append((edits, max(0, end - len(self.of[n][2])), end))
+        return [(i, len(x), self.total[i], min(s for _, s, _ in x), max(e for _, _, e in x), min(k for k, _, _ in x)) for i, x in sorted(items.items())]
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("item_id", pa.int64()), *((n, pa.int64()) for n in ("pieces_found", "pieces", "start", "end", "edits"))])
@@ -170,9 +199,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             find = None
             for part in parts:
                 find = find or Searcher([(k, normal(t)) for k, t in shared.value])
-                for doc_id, tag, text in zip(*(c.to_pylist() for c in part.columns)):
-                    for i, *rest in find.search(normal(text)) if find.of else ():
-                        yield doc_id, tag, find.keys[i], *rest
+                for at in range(0, part.num_rows if find.of else 0, 256):
+                    some = [c.to_pylist() for c in part.slice(at, 256).columns]
+                    for doc_id, tag, hits in zip(some[0], some[1], find.search([normal(t) for t in some[2]])):
+                        for i, *rest in hits:
+                            yield doc_id, tag, find.keys[i], *rest
 
         return lambda parts: common.batches(rows(parts), FOUND)
 

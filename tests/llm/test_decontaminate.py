@@ -68,9 +68,9 @@ def test_benchmark_in_blocks_and_documents_in_segments(spark, monkeypatch):
     assert sorted(map(tuple, d.leaks(frame, marks).drop("start", "end").collect())) == whole
     find = d.Searcher([(k, d.normal(t)) for k, t in items])
     long = d.normal(" ".join((t or "") for _, t in docs))
-    one = sorted(x[:3] for x in find.search(long))
+    one = sorted(x[:3] for x in find.search([long])[0])
     monkeypatch.setattr(d, "SEGMENT", 300)
-    assert sorted(x[:3] for x in find.search(long)) == one
+    assert sorted(x[:3] for x in find.search([long])[0]) == one
 
 
 def test_leaked_rows_go_and_clean_rows_stay(spark):
