@@ -4,8 +4,9 @@ Documents with one set of shingles are one class from the start. The rarest shin
 prefix filter needs, go into an inverted index with their position in the set and the set's size; only lists with two
 sets or more matter. The order, rarest first, comes from counts of all shingles of all documents in a table of fixed size.
 
-First each set is compared with one highly similar set of its lists, the least or the greatest one that shares most of its
-prefix. What these comparisons link is a component, whose sets take over each other's answers: no two of them are ever
+First each set is compared with highly similar sets of its lists: of the middles of its lists, and of their least sets, the
+one that shares most of its prefix. A list's middle is its set with the most shingles that other sets have too. What these
+comparisons link is a component, whose sets take over each other's answers: no two of them are ever
 compared. Then only those lists stay that hold several components. They are cut into blocks by size, and within a block by
 position; blocks whose sizes or positions rule out enough overlap are skipped as a whole, and so are pairs of one component
 and pairs whose parity bitmaps differ in too many bits. What is left is checked on the sets themselves.
@@ -253,16 +254,20 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     classes = common.materialize(classes.select(checked.alias("x"), "first_id", "rep.*"), "jaccard-classes")
     reps = every.join(classes.select("x", "k", "tag"), ["x", "k", "tag"], "left_semi")
     index = reps.select("x", "n", F.posexplode("prefix").alias("pos", "token"))
-    listed = index.groupBy("token").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low <> high")
+    listed = index.groupBy("token").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low <> high").select("token")
     listed = common.materialize(listed, "jaccard-lists")
-    entries = common.materialize(index.join(listed, "token").select("token", "x", "n", "pos", "low", "high"), "jaccard-entries")
+    entries = common.materialize(index.join(listed, "token").select("token", "x", "n", "pos"), "jaccard-entries")
+    # what is rare in a set is its own: the set of a list with most listed shingles lies in the middle of its kind
+    central = entries.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    pivots = entries.join(central, "x").groupBy("token").agg(F.max(F.struct("c", "x"))["x"].alias("middle"), F.min("x").alias("low"))
+    with_pivots = entries.join(common.materialize(pivots, "jaccard-pivots"), "token")
 
-    # one highly similar set for each: of the least and the greatest of its lists, those that share most of the prefix
+    # one highly similar set for each: of the middles, and of the least sets, of its lists, those that share most of the prefix
     def similar(pivot: str) -> DataFrame:
-        with_size = entries.select("x", F.col(pivot).alias("v")).where("x <> v").groupBy("x", "v").agg(F.count(F.lit(1)).alias("shared"))
-        return with_size.groupBy("x").agg(F.max(F.struct("shared", "v")).alias("best")).select(F.col("x").alias("u"), F.col("best.v").alias("v"))
+        shared = with_pivots.select("x", F.col(pivot).alias("v")).where("x <> v").groupBy("x", "v").agg(F.count(F.lit(1)).alias("shared"))
+        return shared.groupBy("x").agg(F.max(F.struct("shared", "v")).alias("best")).select(F.col("x").alias("u"), F.col("best.v").alias("v"))
 
-    pairs = similar("low").unionAll(similar("high")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    pairs = similar("middle").unionAll(similar("low")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     sized = reps.select("x", "n", "bits").dropDuplicates(["x"])
     sides = pairs.join(sized.select(F.col("x").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu")), "u").join(sized.select(F.col("x").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv")), "v")
 
