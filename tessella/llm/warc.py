@@ -154,10 +154,12 @@ def ranges(rows: list[tuple[int, int]], gap: int = GAP, most: int = READ) -> Ite
 def read(index: DataFrame, folder: str) -> DataFrame:
     """Rows of RECORD for the selected rows of an index; payloads are checked against their digests.
 
-    Files are cut into stretches of READ bytes that tasks take whole, so that one large archive is read by many tasks.
+    Files are cut into stretches of READ bytes that tasks take whole, so that one large archive is read by many tasks. Index
+    rows are small beside what they stand for: the number of tasks follows the bytes to read, two stretches or so for each.
     """
+    total = index.agg(F.sum("length")).first()[0] or 0
     selected = index.select("file", "offset", "length", F.floor(F.col("offset") / READ).alias("stretch"))
-    sorted_ = selected.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    sorted_ = selected.repartition(int(total // (2 * READ)) + 1, "file", "stretch").sortWithinPartitions("file", "offset")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(folder)
