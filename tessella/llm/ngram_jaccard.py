@@ -187,22 +187,25 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
 
 
 def _pairs(left: list, right: list | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of two blocks of one list, or within one, that pass size, position and bitmap; of different components."""
+    """Pairs of two blocks of one list, or within one, that pass size, position and bitmap; of different components. A pair
+    comes from the first list only that holds both: not where they share one of the listed shingles before."""
     width = min(len(r[4]) for r in left + (right or []))
 
     def columns(rows):
         x, root, n, pos = (np.array(c, np.int64) for c in zip(*(r[:4] for r in rows)))
         by = np.lexsort((pos, n))
         bits = np.stack([fold(np.frombuffer(rows[i][4], np.uint8), width) for i in by]).view(np.uint64)
-        return x[by], root[by], n[by], pos[by], bits
+        early = np.empty(len(rows), object)
+        early[:] = [frozenset(rows[i][5]) for i in by]
+        return x[by], root[by], n[by], pos[by], bits, early
 
     a = columns(left)
     b = a if right is None else columns(right)
     step = 64
     for i in range(0, len(a[0]), step):
-        x, root, n, pos, bits = (c[i : i + step] for c in a)
+        x, root, n, pos, bits, early = (c[i : i + step] for c in a)
         for j in range(i if right is None else 0, len(b[0]), step):
-            x2, root2, n2, pos2, bits2 = (c[j : j + step] for c in b)
+            x2, root2, n2, pos2, bits2, early2 = (c[j : j + step] for c in b)
             # the whole sub-block is out of reach by size, or by position
             if 100 * n[-1] < percent * n2[0] or 100 * n2[-1] < percent * n[0]:
                 continue
@@ -217,7 +220,9 @@ def _pairs(left: list, right: list | None, percent: int) -> Iterator[tuple[np.nd
             p, q = np.nonzero(ok)
             apart = np.bitwise_count(bits[p] ^ bits2[q]).sum(1, dtype=np.int64)
             near = apart <= n[p] + n2[q] - 2 * need[p, q]
-            u, v = x[p[near]], x2[q[near]]
+            p, q = p[near], q[near]
+            new = np.fromiter((a.isdisjoint(b) for a, b in zip(early[p], early2[q])), bool, len(p))
+            u, v = x[p[new]], x2[q[new]]
             yield np.maximum(u, v), np.minimum(u, v)
 
 
@@ -291,11 +296,16 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     several = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("length")).where("a <> b").select("token", "length")
     several = common.materialize(several, "jaccard-several")
     ratio = F.log(F.lit(100 / percent))
-    left = rooted.join(several, "token").withColumn("kind", F.floor(F.log("n") / ratio).cast("int")).withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
+    left = rooted.join(several, "token")
+    # each entry with the listed shingles that come before it in its set
+    left = left.groupBy("x", "root", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "length"))).alias("e"))
+    left = left.select("x", "root", "n", "e", F.explode(F.sequence(F.lit(0), F.size("e") - 1)).alias("place"))
+    left = left.select("x", "root", "n", F.get("e", "place").alias("own_entry"), F.expr("transform(slice(e, 1, place), t -> t.token)").alias("early")).select("x", "root", "n", "own_entry.*", "early")
+    left = left.withColumn("kind", F.floor(F.log("n") / ratio).cast("int")).withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
     # a set meets its own size class and the next; sizes two classes apart cannot reach the threshold
     left = left.withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("kind", F.explode(F.expr("array(kind, kind + 1)")))
     dealt = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).join(sized.select("x", "bits"), "x")
-    dealt = dealt.select("token", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("CAST(own > other AS int)").alias("side"), "x", "root", "n", "pos", "bits")
+    dealt = dealt.select("token", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("CAST(own > other AS int)").alias("side"), "x", "root", "n", "pos", "bits", "early")
     order = ["token", "kind", "i", "j"]
     found = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_blocks(percent), "u long, v long").distinct()
     more = verified(found, docs, reps, words, percent, "jaccard-rest")
