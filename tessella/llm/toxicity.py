@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary rows, give the probability of each of the first DEPTH bytes of a lower-cased word, and
-of the blank after it, given all bytes of the word before; what follows is the same to both. Both discount their own counts and give what is left to one
-shared, class-free model of continuation counts, itself discounted over two shorter contexts. So what either class has
+Two models, of toxic and of ordinary rows, give the probability of each byte of a lower-cased word, and of the blank after
+it, given the up to DEPTH - 1 bytes before, back to the blank that begins the word. All bytes of all words are counted and
+scored, whatever their length. Both models discount their own counts and give what is left to one shared, class-free model of continuation counts, itself discounted over two shorter contexts. So what either class has
 seldom seen costs both the same, and only expressions with counts of their own tell the classes apart. A word's evidence
 is the difference of its two log-likelihoods; a document compares the length-normalised log-likelihoods of its words, over
 the whole text and over its TOP words of greatest difference. A logistic regression on both and on the logarithm of the
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 
-#: Bytes of a word that tell the classes apart; words of greatest difference that are compared apart.
-DEPTH, TOP = 9, 6
+#: Bytes of the longest gram; words of greatest difference that are compared apart.
+DEPTH, TOP = 15, 6
 #: Taken off the counts of a class, so that what it has hardly seen is left to the shared model; and off shared counts.
 DISCOUNT, SHARED_DISCOUNT = 3.0, 0.75
 #: Bounds of the broadcast model and of the rows that fit the logistic weights.
@@ -51,22 +51,20 @@ _BYTES = common.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E9
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the first DEPTH bytes of words, with the blank after: hashes of the gram, which is the word up to that byte, and of
-    its context, the last 4 bytes; and how many grams each word has."""
-    raw = np.frombuffer(b" " + b" ".join([w[: DEPTH + 1] for w in words]) + b" ", np.uint8)
+    """Of all bytes of words, with the blank after: hashes of the gram, which is the word up to that byte, its last DEPTH bytes
+    at most, and of its context, the last 4 bytes; and how many grams each word has."""
+    raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     at = np.arange(len(raw))
     blank = raw == 32
     begin = np.maximum.accumulate(np.where(blank, at, 0))[:-1]
     at, sums = at[1:], ROLLING.prefix(_BYTES[raw])
-    ok = at - begin <= DEPTH
-    word = np.cumsum(blank[:-1])[ok] - 1
-    at, begin = at[ok], begin[ok]
-    g = common.mix(ROLLING.slices(sums, begin, at + 1)).view(np.int64)
-    c = common.mix(ROLLING.slices(sums, begin, at)).view(np.int64)
+    start = np.maximum(begin, at - DEPTH + 1)
+    g = common.mix(ROLLING.slices(sums, start, at + 1)).view(np.int64)
+    c = common.mix(ROLLING.slices(sums, start, at)).view(np.int64)
     low = raw[at].astype(np.int64)
     for k in (1, 2, 3):
         low |= np.where(at - begin >= k, raw[np.maximum(at - k, 0)].astype(np.int64), 0) << (8 * k)
-    return g, c, low, np.bincount(word, minlength=len(words))
+    return g, c, low, np.diff(np.flatnonzero(blank))
 
 
 GRAMS = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("low", pa.int64()), ("t", pa.int64()), ("o", pa.int64())])
@@ -99,7 +97,7 @@ WORDS = pa.schema([("word", pa.binary()), ("t", pa.int64()), ("o", pa.int64())])
 
 
 def _count_words(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Beginnings of words by class, summed over up to SUMMED of them before they leave the task."""
+    """Words by class, summed over up to SUMMED of them before they leave the task."""
     sums: tuple[Counter, Counter] = Counter(), Counter()
 
     def flush():
@@ -109,7 +107,7 @@ def _count_words(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
     for part in parts:
         for toxic, words in zip(part.column(0).to_pylist(), _unpack(part.column(1))):
-            sums[toxic].update([w[: DEPTH + 1] for w in words])
+            sums[toxic].update(words)
             if len(sums[0]) + len(sums[1]) > SUMMED:
                 yield from flush()
     yield from flush()
@@ -166,7 +164,6 @@ class Evidence(dict):
         return np.where(keys[at] == want, values[at], other)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        words = [w[: DEPTH + 1] for w in words]
         new = list({w for w in words if w not in self})
         if len(self) + len(new) > REMEMBERED:
             self.clear()

@@ -80,3 +80,17 @@ def test_logistic_weights():
     p = 1 / (1 + np.exp(-(1.5 * x[:, 0] - 2)))
     w = toxicity.logistic(x, (r.random(4000) < p).astype(float))
     assert abs(w[1] - 1.5) < 0.2
+
+
+def test_all_bytes_of_long_words_count(spark):
+    """Words that differ after their first 24 bytes only."""
+    r, docs, labels = random.Random(5), [], []
+    same = "unverhaeltnismaessigkeits"
+    for i in range(400):
+        toxic = int(r.random() < 0.4)
+        docs.append((i, " ".join(same + ("grumfa" if toxic and k < 3 else r.choice(["bala", "kone", "miso"])) for k in range(12)), "x", 0.0))
+        labels.append((i, 1, toxic))
+    got = {x.doc_id: x for x in toxicity.score(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, MARKS)).collect()}
+    held = [(x, t) for x, _, t in labels if got[x].held_out]
+    assert held and all(got[x].predicted == t for x, t in held)
+    assert toxicity.grams([b"x" * 50, b"y"])[3].tolist() == [51, 2]
