@@ -9,8 +9,10 @@ the whole text and over its TOP words of greatest difference. A logistic regress
 length, which says how high the greatest of many differences get by chance, gives the score.
 
 Rows whose crc32(doc_id) mod 5 is 0 teach nothing: remainders 1 to 3 give the counts, all of them; remainder 4 fits the four
-logistic weights, on at most CALIBRATION rows. All counts are grouped sums over word and gram tables. What is broadcast is
-bounded: one gram for each of MODEL_SLOTS hash slots, that with the most evidence.
+logistic weights, on at most CALIBRATION rows. All counts are grouped sums over word and gram tables. The model is a table in
+the shared folder with every gram whose evidence is not that of an unseen one; it grows with the input and is neither
+broadcast nor collected. Tasks search it in hash blocks of about BLOCK rows: they keep up to HELD of them, and read the
+others one after another, for many new words at a time.
 
 Defined cases: null, empty and blank texts have no words, and score what the logistic weights give a document without
 evidence; without toxic or without ordinary rows to learn from, the score of every document is the share of toxic rows (0
@@ -19,13 +21,16 @@ without any); a null doc_id counts as the empty string; repeated rows are scored
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import common
@@ -34,12 +39,16 @@ from tessella.llm import common
 DEPTH, TOP = 15, 6
 #: Taken off the counts of a class, so that what it has hardly seen is left to the shared model; and off shared counts.
 DISCOUNT, SHARED_DISCOUNT = 3.0, 0.75
-#: Bounds of the broadcast model and of the rows that fit the logistic weights.
-MODEL_SLOTS, CALIBRATION = 1 << 20, 20_000
+#: Bound of the rows that fit the logistic weights.
+CALIBRATION = 20_000
+#: Rows of a block of the model, and blocks that a worker keeps.
+BLOCK, HELD = 1 << 18, 64
+#: Bits of the table that tells most unlabelled rows from labelled ones, at most.
+LABEL_BITS = 1 << 26
 #: Words that a task sums up before it hands them on.
 SUMMED = 500_000
-#: Word evidence that a worker remembers.
-REMEMBERED = 400_000
+#: Word evidence that a worker remembers, new words that it looks up together, and bytes of words cut to grams together.
+REMEMBERED, NEW, CUT = 400_000, 100_000, 1 << 20
 
 
 def fold(docs: DataFrame) -> DataFrame:
@@ -67,24 +76,55 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return g, c, low, np.diff(np.flatnonzero(blank))
 
 
+def cuts(words: list[bytes]) -> Iterator[slice]:
+    """Slices of words that hold about CUT bytes."""
+    start = size = 0
+    for i, w in enumerate(words):
+        size += len(w) + 1
+        if size >= CUT:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(words):
+        yield slice(start, len(words))
+
+
 GRAMS = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("low", pa.int64()), ("t", pa.int64()), ("o", pa.int64())])
 
 
 def _word_grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         words, counts = common.text_bytes(part.column(0)), [part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)]
-        for at in range(0, len(words), 20_000):
-            g, c, low, n = grams(words[at : at + 20_000])
+        for some in cuts(words):
+            g, c, low, n = grams(words[some])
             seen, first, place = np.unique(g, return_index=True, return_inverse=True)
-            sums = [np.bincount(place, np.repeat(x[at : at + 20_000], n), len(seen)).astype(np.int64) for x in counts]
+            sums = [np.bincount(place, np.repeat(x[some], n), len(seen)).astype(np.int64) for x in counts]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, c[first], low[first], *sums)], schema=GRAMS)
 
 
-def _pack(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Lower-cased texts, compressed: what is shuffled to the labels."""
+def label_bits(marks: DataFrame) -> np.ndarray:
+    """A bit for each hash slot, 8 slots or more a label up to LABEL_BITS, set where a label has it."""
+    n = 1 << min(LABEL_BITS.bit_length() - 1, max(6, (8 * marks.count()).bit_length()))
+    slots = marks.select(slot(n).alias("slot")).groupBy(F.shiftright("slot", 6).alias("at"))
+    found = slots.agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(n >> 6, np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def may_have(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 6] >> (slots & 63)) & 1 == 1
+
+
+def slot(n: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n))
+
+
+def _pack(parts: Iterator[pa.RecordBatch], seen: np.ndarray) -> Iterator[tuple]:
+    """Lower-cased texts, compressed, of rows that may have a label: what is shuffled to the labels."""
     small = zstandard.ZstdCompressor(3)
     for part in parts:
-        for doc_id, number, text in zip(*(c.to_pylist() for c in part.columns)):
+        part = part.filter(pa.array(may_have(seen, part.column(3).to_numpy())))
+        for doc_id, number, text in zip(*(c.to_pylist() for c in part.columns[:3])):
             yield doc_id, number, small.compress((text or "").lower().encode())
 
 
@@ -113,12 +153,15 @@ def _count_words(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     yield from flush()
 
 
-def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Grams with their evidence, contexts with that of any unseen byte; sorted. From labelled(toxic, packed)."""
+def train(labelled: DataFrame, counted: Callable[[], None] = lambda: None) -> DataFrame:
+    """Grams with their evidence (kind 0), contexts with that of any unseen byte (kind 1), by block. From labelled(toxic, packed),
+    which is not read again once ``counted`` is called."""
     counts = labelled.select("toxic", "packed").mapInArrow(lambda parts: common.batches(_count_words(parts), WORDS), "word binary, t long, o long")
-    counts = counts.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    counts = common.materialize(counts.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "toxicity-words")
+    counted()
     found = counts.mapInArrow(_word_grams, "g long, c long, low long, t long, o long").groupBy("g", "c", "low").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     found = common.materialize(found, "toxicity-grams")
+    common.release(counts)
     d, v, less = F.lit(DISCOUNT), F.col, F.lit(SHARED_DISCOUNT)
 
     # the shared model: how many different grams end in 4 bytes, and how many of these in 2
@@ -138,43 +181,94 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     rest = {x: F.when(v(f"n_{x}") > 0, v(f"k_{x}") / v(f"n_{x}")).otherwise(1.0) for x in "to"}
     p = {x: F.when(v(f"n_{x}") > 0, F.greatest(v(x) - d, F.lit(0.0)) / v(f"n_{x}")).otherwise(0.0) + rest[x] * v("p4") for x in "to"}
     # grams without a count above the discount have the evidence of unseen ones, and most contexts none
-    scored = found.where((v("t") > d) | (v("o") > d)).join(own, "c").join(p4, "low").select("g", (F.log(p["t"]) - F.log(p["o"])).alias("llr"), (v("t") + v("o")).alias("n"))
-    unseen = own.select(v("c").alias("g"), (F.log(rest["t"]) - F.log(rest["o"])).alias("llr"), (v("n_t") + v("n_o")).alias("n")).where("llr <> 0")
-    out = []
-    for x in (scored, unseen):
-        slots = x.groupBy(F.pmod(F.xxhash64("g"), F.lit(MODEL_SLOTS)).alias("slot")).agg(F.max(F.struct((F.abs("llr") * v("n")).alias("e"), "g", "llr")).alias("m"))
-        held = slots.select("m.g", "m.llr").toArrow()
-        g, llr = (held.column(i).to_numpy() for i in (0, 1))
-        by = np.argsort(g)
-        out += [g[by], llr[by].astype(np.float32)]
+    scored = found.where((v("t") > d) | (v("o") > d)).join(own, "c").join(p4, "low").select(F.lit(0).alias("kind"), "g", (F.log(p["t"]) - F.log(p["o"])).cast("float").alias("llr"))
+    unseen = own.select(F.lit(1).alias("kind"), v("c").alias("g"), (F.log(rest["t"]) - F.log(rest["o"])).cast("float").alias("llr")).where("llr <> 0")
+    flat = common.materialize(scored.unionAll(unseen), "toxicity-evidence")
     common.release(found)
-    return tuple(out)
+    blocks = flat.count() // BLOCK + 1
+    model = flat.withColumn("block", F.pmod("g", F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    path = common.scratch_path(flat.sparkSession, "toxicity-model")
+    model.write.option("compression", "zstd").partitionBy("block").parquet(path)
+    common.release(flat)
+    model = flat.sparkSession.read.schema(model.schema).parquet(path)
+    model.scratch_path, model.blocks = path, blocks  # type: ignore[attr-defined]
+    return model
+
+
+def files(model: DataFrame) -> list[list[str]]:
+    """The files of each block of a model."""
+    out: list[list[str]] = [[] for _ in range(model.blocks)]  # type: ignore[attr-defined]
+    for path in model.inputFiles():
+        out[int(re.findall(r"/block=(\d+)/", path)[-1])].append(path)
+    return out
 
 
 class Evidence(dict):
     """Differences of the two log-likelihoods by word, computed for many new words at once."""
 
-    def __init__(self, model):
-        self.model = model
-
-    def _look(self, keys: np.ndarray, values: np.ndarray, want: np.ndarray, other: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.broadcast_to(other, want.shape)
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return np.where(keys[at] == want, values[at], other)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        new = list({w for w in words if w not in self})
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            g, c, _, n = grams(some)
-            keys, values, contexts, unseen = self.model
-            each = self._look(keys, values, g, self._look(contexts, unseen, c, np.float32(0)))
-            self.update(zip(some, np.add.reduceat(each.astype(np.float64), np.cumsum(n) - n).tolist()))
-        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+    def __init__(self, blocks: list[list[str]]):
+        self.blocks, self.held = blocks if len(blocks) > HELD else [sum(blocks, [])], {}
+
+    def block(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sorted hashes of grams and of contexts, each with the evidence."""
+        if k in self.held:
+            return self.held[k]
+        kind, g, llr = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for uri in self.blocks[k]:
+            system, path = fs.FileSystem.from_uri(uri)
+            with system.open_input_file(path) as file:
+                table = pq.read_table(file, columns=["kind", "g", "llr"])
+            for held, name in ((kind, "kind"), (g, "g"), (llr, "llr")):
+                held.append(table[name].to_numpy())
+        kind, g, llr = map(np.concatenate, (kind, g, llr))
+        by = np.lexsort((g, kind))
+        g, llr, split = g[by], llr[by], int((kind == 0).sum())
+        out = [(g[:split], llr[:split]), (g[split:], llr[split:])]
+        if len(self.held) < HELD:
+            self.held[k] = out
+        return out
+
+    def learn(self, new: list[bytes]) -> None:
+        """Adds the evidence of these words."""
+        for cut in cuts(new):
+            g, c, _, n = grams(new[cut])
+            # of the gram itself, or else of any unseen byte after its context
+            want = (g, c)
+            got = [np.full(len(g), np.nan, np.float32), np.zeros(len(g), np.float32)]
+            by = [np.argsort(x % len(self.blocks), kind="stable") if len(self.blocks) > 1 else np.arange(len(x)) for x in want]
+            ends = [np.cumsum(np.bincount(x % len(self.blocks), minlength=len(self.blocks))) for x in want]
+            for k in range(len(self.blocks)):
+                for (keys, values), out, x, order, end in zip(self.block(k), got, want, by, ends):
+                    here = order[end[k - 1] if k else 0 : end[k]]
+                    if len(keys) and len(here):
+                        at = np.minimum(np.searchsorted(keys, x[here]), len(keys) - 1)
+                        ok = keys[at] == x[here]
+                        out[here[ok]] = values[at[ok]]
+            each = np.where(np.isnan(got[0]), got[1], got[0])
+            self.update(zip(new[cut], np.add.reduceat(each.astype(np.float64), np.cumsum(n) - n).tolist()))
+
+    def of(self, texts: Iterator[list[bytes]]) -> Iterator[np.ndarray]:
+        """The evidence of the words of each text; texts wait until NEW words are to be looked up, or as many remembered."""
+        waiting: list[list[bytes]] = []
+        new: set[bytes] = set()
+        size = 0
+
+        def flush() -> Iterator[np.ndarray]:
+            self.learn(list(new))
+            for words in waiting:
+                yield np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+            waiting.clear(), new.clear()
+            if len(self) > REMEMBERED:
+                self.clear()
+
+        for words in texts:
+            waiting.append(words)
+            new.update(w for w in words if w not in self)
+            size += len(words)
+            if len(new) > NEW or size > 5 * NEW:
+                yield from flush()
+                size = 0
+        yield from flush()
 
 
 def features(evidence: np.ndarray) -> tuple[float, float, float]:
@@ -188,14 +282,14 @@ def features(evidence: np.ndarray) -> tuple[float, float, float]:
 
 def measure(docs: DataFrame, model) -> DataFrame:
     """(key, whole, peak, size) for docs(key, text), where the text may be packed."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    blocks = files(model)
     schema = pa.schema([("key", pa.int64()), ("whole", pa.float64()), ("peak", pa.float64()), ("size", pa.float64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(shared.value)
+        evidence = Evidence(blocks)
         for part in parts:
             texts = _unpack(part.column(1)) if pa.types.is_binary(part.column(1).type) else ((t or "").lower().encode().split() for t in part.column(1).to_pylist())
-            found = [features(evidence.of(words)) for words in texts]
+            found = [features(x) for x in evidence.of(texts)]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[i] for x in found], pa.float64()) for i in range(3))], schema=schema)
 
     return docs.mapInArrow(run, "key long, whole double, peak double, size double")
@@ -219,22 +313,28 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = fold(common.first_column(docs, "doc_id", "text"))
     marks = labels.select(F.col("doc_id"), F.col("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     schema = pa.schema([("doc_id", pa.int64()), ("fold", pa.int32()), ("packed", pa.binary())])
-    packed = docs.where("fold > 0 AND doc_id IS NOT NULL").select("doc_id", "fold", "text").mapInArrow(lambda parts: common.batches(_pack(parts), schema, 2_000), "doc_id long, fold int, packed binary")
+    bits = label_bits(marks)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    packed = docs.where("fold > 0 AND doc_id IS NOT NULL").select("doc_id", "fold", "text", slot(64 * len(bits)).alias("slot")).mapInArrow(lambda parts: common.batches(_pack(parts, shared.value), schema, 2_000), "doc_id long, fold int, packed binary")
     known = packed.join(fold(marks).where("fold > 0").drop("fold"), "doc_id").select("packed", "toxic", "fold", F.xxhash64("doc_id").alias("key"))
     known = common.materialize(known, "toxicity-labelled")
     seen = {(x.toxic, x.fits): x.n for x in known.groupBy("toxic", (F.col("fold") == 4).alias("fits")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if all(seen.get((c, f), 0) for c in (0, 1) for f in (False, True)):
-        model = train(known.where("fold < 4"))
         share = CALIBRATION / sum(seen[c, True] for c in (0, 1))  # a bounded sample, by hash
         rows = known.where("fold = 4").where(F.pmod("key", F.lit(1_000_000)) < int(1_000_000 * min(1.0, share)))
+        rows = common.materialize(rows, "toxicity-fit")
+        model = train(known.where("fold < 4"), lambda: common.release(known))
         held = measure(rows.select(F.col("toxic").cast("long").alias("key"), "packed"), model).toPandas()
+        common.release(rows)
         a, b, c, d = (float(v) for v in logistic(held[["whole", "peak", "size"]].to_numpy(), held.key.to_numpy().astype(float)))
         found = measure(docs.select(F.col("doc_id").alias("key"), "text"), model).withColumnRenamed("key", "doc_id")
+        found = common.materialize(found, "toxicity-measured")  # the model's table goes
+        common.release(model)
         value = 1 / (1 + F.exp(-F.least(F.greatest(F.lit(a) + b * F.col("whole") + c * F.col("peak") + d * F.col("size"), F.lit(-30.0)), F.lit(30.0))))
     else:
         n = sum(seen.values())
         found, value = docs.select("doc_id"), F.lit(sum(k for (c, _), k in seen.items() if c == 1) / n if n else 0.0)
-    common.release(known)
+        common.release(known)
     found = fold(found)
     return found.select("doc_id", (F.col("fold") == 0).alias("held_out"), value.alias("score")).withColumn("predicted", F.expr("CAST(score >= 0.5 AS int)"))
 

@@ -94,3 +94,44 @@ def test_all_bytes_of_long_words_count(spark):
     held = [(x, t) for x, _, t in labels if got[x].held_out]
     assert held and all(got[x].predicted == t for x, t in held)
     assert toxicity.grams([b"x" * 50, b"y"])[3].tolist() == [51, 2]
+
+
+def test_model_keeps_all_grams_in_any_number_of_blocks(spark, monkeypatch):
+    docs, labels = corpus(300)
+    frame, marks = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, MARKS)
+    scores = lambda: sorted((x.doc_id, round(x.score, 6)) for x in toxicity.score(frame, marks).collect())
+    whole = scores()
+    monkeypatch.setattr(toxicity, "BLOCK", 40)
+    monkeypatch.setattr(toxicity, "HELD", 2)
+    monkeypatch.setattr(toxicity, "NEW", 50)
+    assert scores() == whole
+    rows = spark.createDataFrame([(t, packed(x)) for (_, x, _, _), (_, _, t) in zip(docs, labels)], "toxic int, packed binary")
+    model = toxicity.train(rows)
+    words = list({w for _, x, _, _ in docs for w in x.encode().split()})
+    one, many = toxicity.Evidence(toxicity.files(model)), toxicity.Evidence(toxicity.files(model))
+    monkeypatch.setattr(toxicity, "HELD", 1000)
+    all_held = toxicity.Evidence(toxicity.files(model))
+    monkeypatch.setattr(toxicity, "HELD", 2)
+    assert len(all_held.blocks) == 1 < len(many.blocks)
+    for x in (one, all_held):
+        x.learn(words)
+    assert one == all_held and any(one.values())
+    assert [x.tolist() for x in many.of(iter([words[:70], [], words[70:]]))] == [[one[w] for w in x] for x in (words[:70], [], words[70:])]
+    kept = model.where("kind = 0")
+    count = {0: {}, 1: {}}
+    for (_, x, _, _), (_, _, t) in zip(docs, labels):
+        for g in toxicity.grams(x.encode().split())[0].tolist():
+            count[t][g] = count[t].get(g, 0) + 1
+    want = {g for t in (0, 1) for g, n in count[t].items() if n > toxicity.DISCOUNT}
+    assert model.blocks > 2 and sorted(x.g for x in kept.collect()) == sorted(want)
+
+
+def packed(text):
+    return toxicity.zstandard.ZstdCompressor(3).compress(text.encode())
+
+
+def test_label_bits_hold_every_label(spark):
+    marks = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
+    bits = toxicity.label_bits(marks)
+    got = np.array([x.s for x in spark.range(3000).withColumnRenamed("id", "doc_id").select("doc_id", toxicity.slot(64 * len(bits)).alias("s")).orderBy("doc_id").collect()])
+    assert toxicity.may_have(bits, got[::3]).all() and toxicity.may_have(bits, got).mean() < 0.5
