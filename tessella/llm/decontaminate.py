@@ -1,15 +1,16 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are lower-cased, and every run of ASCII characters that are neither letters nor digits becomes one blank. Benchmark
-items are cut into pieces of PIECE bytes that overlap by half, so that part of an item is found too. A piece of length L
+items are cut into pieces of PIECE bytes that overlap by half, and into pieces of LEAK words, or of PIECE bytes where these
+are less, that begin at every word: a verbatim excerpt of LEAK words is found wherever it begins. A piece of length L
 with an occurrence of at most e edits keeps L - Q + 1 - Q * e of its Q-grams there, on diagonals at most e apart. Shared
 Q-grams are counted in diagonal bands of width 2 (e + 1) that start every e + 1, so that one band holds them all; regions
 with fewer are out, and the others are verified by an alignment within their band. So every occurrence within the budget is
 found, and nothing else is reported.
 
 The benchmark is searched in blocks of at most BLOCK bytes, which is what is broadcast at a time; documents are never
-shuffled. Defined cases: null and empty texts match nothing; items of under SHORTEST normalised bytes are not searched, as
-any text would hold them; of repeated items each is reported; repeated documents are reported each; an empty benchmark
+shuffled. Defined cases: null and empty texts match nothing; items of under SHORTEST normalised bytes, which any text would
+hold, match texts that equal them; of repeated items each is reported; repeated documents are reported each; an empty benchmark
 matches nothing; other columns are not read.
 """
 
@@ -26,10 +27,15 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 
-#: Bytes of a piece, of a gram, and of the shortest item; edits allowed as a share of a piece's length.
-PIECE, Q, SHORTEST, BUDGET = 80, 10, 20, 0.075
+#: Bytes of a piece, of a gram, and of the shortest item that is searched in texts; edits allowed as a share of a piece's
+#: length. With grams of 9 bytes at least one of any piece of 20 bytes or more is left by its edits.
+PIECE, Q, SHORTEST, BUDGET = 80, 9, 20, 0.075
+#: Words of the shortest excerpt that is found wherever it begins.
+LEAK = 13
 #: Bytes of benchmark texts searched at a time, and of a document searched at a time.
-BLOCK, SEGMENT = 16_000_000, 1 << 20
+BLOCK, SEGMENT = 2_000_000, 1 << 20
+#: Documents whose alignments are computed together.
+TOGETHER = 2_048
 #: Bits of the table that tells most grams of documents apart from those of the benchmark.
 SIEVE_BITS = 24
 
@@ -47,9 +53,15 @@ def budget(length: int) -> int:
 def pieces(item: bytes) -> list[tuple[int, bytes]]:
     """(start, piece) of an item."""
     if len(item) < SHORTEST:
-        return []
+        return [(0, item)] if item else []
     last = max(0, len(item) - PIECE)
-    return [(s, item[s : s + PIECE]) for s in sorted({*range(0, last, PIECE // 2), last})]
+    spans = {(s, min(s + PIECE, len(item))) for s in (*range(0, last, PIECE // 2), last)}
+    words = [0, *(i + 1 for i, c in enumerate(item) if c == 32)]
+    ends = [*(s - 1 for s in words[1:]), len(item)]
+    for start, end in zip(words, ends[LEAK - 1 :]):
+        if SHORTEST <= end - start:
+            spans.add((start, min(end, start + PIECE)))
+    return [(a, item[a:b]) for a, b in sorted(spans)]
 
 
 def align(pieces: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +104,12 @@ class Searcher:
         self.mixing = common.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
         self.of = [(n, s, p) for n, (_, text) in enumerate(items) for s, p in pieces(text)]
         self.keys, self.total = [k for k, _ in items], Counter(n for n, _, _ in self.of)
+        self.equal: dict[bytes, list[int]] = defaultdict(list)
         grams, piece, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n, (_, _, p) in enumerate(self.of):
+            if len(p) < SHORTEST:
+                self.equal[p].append(n)
+                continue
             grams.append(self.grams(np.frombuffer(p, np.uint8)))
             piece.append(np.full(len(grams[-1]), n))
             offset.append(np.arange(len(grams[-1])))
@@ -117,7 +133,7 @@ class Searcher:
         """(piece, first diagonal of the band) of the regions with enough shared grams."""
         grams = self.grams(raw)
         at = np.flatnonzero(self.sieve[self.slot(grams)])
-        if not len(at):
+        if not len(at) or not len(self.seen):
             return []
         grams = grams[at]
         k = np.minimum(np.searchsorted(self.seen, grams), len(self.seen) - 1)
@@ -148,6 +164,8 @@ class Searcher:
         open_: dict[int, list[tuple[int, int, int, np.ndarray]]] = defaultdict(list)
         lap = 2 * PIECE
         for t, text in enumerate(texts):
+            for n in self.equal.get(text, ()):
+                found[t][n] = (0, len(text))
             for start in range(0, max(1, len(text) - lap), SEGMENT):
                 part = text[start : start + SEGMENT + lap]
                 raw = np.frombuffer(part, np.uint8)
@@ -199,8 +217,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             find = None
             for part in parts:
                 find = find or Searcher([(k, normal(t)) for k, t in shared.value])
-                for at in range(0, part.num_rows if find.of else 0, 256):
-                    some = [c.to_pylist() for c in part.slice(at, 256).columns]
+                for at in range(0, part.num_rows if find.of else 0, TOGETHER):
+                    some = [c.to_pylist() for c in part.slice(at, TOGETHER).columns]
                     for doc_id, tag, hits in zip(some[0], some[1], find.search([normal(t) for t in some[2]])):
                         for i, *rest in hits:
                             yield doc_id, tag, find.keys[i], *rest

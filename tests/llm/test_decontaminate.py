@@ -82,3 +82,25 @@ def test_leaked_rows_go_and_clean_rows_stay(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert d.drop_leaked(frame, empty).count() == len(docs)
     assert d.leaks(frame.limit(0), marks).count() == 0
+
+
+def test_excerpts_of_thirteen_words_wherever_they_begin():
+    r = random.Random(7)
+    items = [d.normal(" ".join("".join(r.choice("aeinorst") for _ in range(r.randrange(2, 8))) for _ in range(40))) for _ in range(5)]
+    find = d.Searcher(list(enumerate(items)))
+    for k, item in enumerate(items):
+        words = item.split()
+        texts = [b"quux zyx " + b" ".join(words[i : i + d.LEAK]) + b" vlad kwak" for i in range(len(words) - d.LEAK + 1)]
+        assert all([x[0] for x in hits] == [k] for hits in find.search(texts))
+
+
+def test_short_items_by_equality_and_edits_that_leave_no_gram_of_ten():
+    piece = b"abcdefghijklmnopqrstuvwxyza"
+    edited = piece[:9] + b"1" + piece[10:17] + b"2" + piece[18:]
+    find = d.Searcher([(0, b"tiny"), (1, piece)])
+    assert d.budget(len(piece)) == 2
+    got = find.search([b"tiny", b"a tiny one", b"", edited, b"zz " + edited + b" zz"])
+    assert [[x[0] for x in hits] for hits in got] == [[0], [], [], [1], [1]]
+    assert [(n, q) for n in range(d.SHORTEST, d.PIECE + 1) for q in [n - d.Q + 1 - d.Q * d.budget(n)] if q < 1] == []
+    only_short = d.Searcher([(0, b"tiny")])
+    assert only_short.search([b"tiny", b"a long text that holds tiny things"])[0] and not only_short.search([b"a long text that holds tiny"])[0]
