@@ -8,70 +8,96 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java pattern of the word separators that every word-based contract here uses.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
-_scratch: list[str] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares; a temporary one only where the session names none."""
+    """The folder that every executor shares. Only a local session, as in tests, gets one of its own where it names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}/{name}"
-    _scratch.append(path)
-    return path
+class Scratch:
+    """The tables of one run of one operator, in a folder of its own in the shared folder.
+
+    Writing a table cuts lineage at files that outlive executors. Tables go when they are released or the run is closed; what
+    a lazy result still reads goes with ``close`` of its ``scratch``, or when the driver's JVM ends. Runs share nothing.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}", []
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def folder(self, name: str) -> str:
+        path = f"{self.root}/{len(self.paths)}-{name}"
+        self.paths.append(path)
+        return path
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table."""
+        path, schema = self.folder(name), df.schema
+        df.write.option("compression", "zstd").parquet(path)
+        del df
+        # lets the context cleaner remove shuffle files of finished jobs, whose results are in tables
+        self.spark._jvm.System.gc()
+        back = self.spark.read.schema(schema).parquet(path)
+        back.scratch_path = path  # type: ignore[attr-defined]
+        return back
 
+    def drop(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    free_shuffles(spark)
-    back = spark.read.schema(schema).parquet(path)
-    back.scratch_path = path  # type: ignore[attr-defined]
-    return back
+    def release(self, *tables: DataFrame) -> None:
+        """Removes tables that nothing reads any more."""
+        for x in tables:
+            self.drop(x.scratch_path)  # type: ignore[attr-defined]
 
+    def close(self, *kept: DataFrame) -> None:
+        """Removes all tables but these."""
+        paths = {x.scratch_path for x in kept}  # type: ignore[attr-defined]
+        for path in self.paths if paths else [self.root]:
+            if path not in paths:
+                self.drop(path)
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets the context cleaner remove shuffle files of finished jobs, whose results are in scratch tables."""
-    spark._jvm.System.gc()
+    def result(self, df: DataFrame) -> DataFrame:
+        """df, which knows that its tables lie here."""
+        df.scratch = self  # type: ignore[attr-defined]
+        return df
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _scratch:
-        _scratch.remove(path)
+def finished(df: DataFrame) -> None:
+    """Removes the tables behind the result of an operator that has been written elsewhere."""
+    if (work := getattr(df, "scratch", None)) is not None:
+        work.close()
 
 
-def release(df: DataFrame) -> None:
-    """Removes the table behind a materialised DataFrame that nothing reads any more."""
-    drop_path(df.sparkSession, df.scratch_path)  # type: ignore[attr-defined]
+def rows(docs: DataFrame) -> DataFrame:
+    """(row, k, tag): each row whole, so that no column of docs, whatever its name, meets those of an operator; k and tag
+    name it by its doc_id and text, as ``seeds.keyed`` does."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
 
 
-def mark() -> int:
-    """A place in the list of scratch tables, for ``keep_only``."""
-    return len(_scratch)
+def row_key() -> list[Column]:
+    return [F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("tag")]
 
 
-def keep_only(spark: SparkSession, since: int, *kept: DataFrame) -> None:
-    """Removes the scratch tables made since a mark, but for those of these DataFrames."""
-    paths = {x.scratch_path for x in kept}  # type: ignore[attr-defined]
-    for path in [p for p in _scratch[since:] if p not in paths]:
-        drop_path(spark, path)
+def unpacked(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs out of found(row, ..), some of them changed."""
+    field = lambda c: F.col("row").getField(c)
+    return found.select(*[changed.get(c, field(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: Elements that such a closing does not look beyond.
 BOUNDS = frozenset("ul ol dl table body article section div main".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Open elements, from the innermost out, that a block's path names.
+LEVELS = 64
+
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -27,12 +30,86 @@ class Block(NamedTuple):
     linked: float
 
 
+class Tags:
+    """The tags of a page in one pass, with no way back: what has been looked for in vain is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag: the first outside quotes, or where these don't match, the first; or -1."""
+        page, place = self.page, at
+        while place <= self.last:
+            m = STOP.search(page, place)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            if m.start() >= self.quotes[m[0]]:  # opens nothing
+                place = m.end()
+            else:
+                place = page.find(m[0], m.end()) + 1
+        self.quotes = dict.fromkeys(self.quotes, -1)  # quotes that run on to the end are none
+        return page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str]:
+        """(start, end, name, attributes) of the next tag from a place on; / before the name ends an element, and comments and
+        declarations have none. Without another tag, start and end lie at the page's end."""
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                break
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", ""
+            if start > self.last:
+                at = page.find("<!--", start)  # the only kind that needs no >
+                if at < 0:
+                    break
+                continue
+            if page.startswith(("<!", "<?"), start):
+                return start, page.find(">", start) + 1, "", ""
+            m = NAME.match(page, start)
+            end = self.end(m.end()) if m else -1
+            if m and end >= 0:
+                return start, end + 1, page[start + 1 : m.end()].lower(), page[m.end() : end]
+            at = start + 1
+        return len(page), len(page), "", ""
+
+
+STOP = re.compile(r"[>\"']")
+
+
+class Open:
+    """The open elements; where each kind of them is open is known without looking through them."""
+
+    def __init__(self):
+        self.stack: list[str] = []
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+
+    def top(self, tags) -> int:
+        """The innermost place at which one of these elements is open, or -1."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def push(self, tag: str, name: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(tag), self.names.append(name)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop()].pop()
+            self.names.pop()
+
+
 def blocks(page: str | None) -> list[Block]:
-    """Non-empty leaf blocks in page order; unclosed, stray and repeated tags are tolerated, nothing is cut off."""
+    """Non-empty leaf blocks in page order; unclosed, stray and repeated tags are tolerated, nothing is cut off. The time grows
+    with the page's length, whatever its tags."""
     page = page or ""
     out: list[Block] = []
-    stack: list[str] = []
-    names: list[str] = []
+    opened, tags = Open(), Tags(page)
     held: list[str] = []
     links, depth, at = 0, 0, 0
 
@@ -41,52 +118,42 @@ def blocks(page: str | None) -> list[Block]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(tuple(names), text, min(1.0, links / len(text))))
+                out.append(Block(tuple(opened.names[-LEVELS:]), text, min(1.0, links / len(text))))
             held.clear()
         links = 0
 
-    while True:
-        m = TAG.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
-        if piece:
-            held.append(piece)
+    while at < len(page):
+        start, end, tag, rest = tags.next(at)
+        if start > at:
+            held.append(page[at:start])
             if depth:
-                links += len(piece)
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+                links += start - at
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
+        closing, tag = tag[0] == "/", tag.lstrip("/")
         if tag in INLINE:
             if tag == "a":
-                depth = max(0, depth - 1) if m[1] else 1
+                depth = max(0, depth - 1) if closing else 1
             elif tag == "br":
                 held.append(" ")
             continue
-        if m[1]:
+        if closing:
             flush()
-            if tag in stack:
-                k = len(stack) - 1 - stack[::-1].index(tag)
-                del stack[k:], names[k:]
+            if (place := opened.top((tag,))) >= 0:
+                opened.cut(place)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = found.end() if found else len(page)
             continue
         flush()
-        if stack and stack[-1] == "p":
-            stack.pop(), names.pop()
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k] in CLOSES.get(tag, ()):
-                del stack[k:], names[k:]
-                break
-            if stack[k] in BOUNDS:
-                break
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append(tag)
-            found = [w for n in NAMES.finditer(m[3]) for w in WORD.findall((n[1] or n[2] or n[3] or "").lower())] if m[3] else []
-            names.append(" ".join([tag, *found]))
+        if opened.stack and opened.stack[-1] == "p":
+            opened.cut(len(opened.stack) - 1)
+        if (place := opened.top(CLOSES.get(tag, ()))) > opened.top(BOUNDS):
+            opened.cut(place)
+        if tag not in VOID and not rest.endswith("/"):
+            found = [w for n in NAMES.finditer(rest) for w in WORD.findall((n[1] or n[2] or n[3] or "").lower())] if rest else []
+            opened.push(tag, " ".join([tag, *found]))
     flush()
     return out

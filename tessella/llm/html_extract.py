@@ -9,7 +9,8 @@ whose labels are known. Inference covers all pages, in batches of pages of simil
 
 Defined cases: a null or empty page, and one without main text, give the empty string and length 0; scripts, styles,
 comments and titles are never text; character references are decoded once; runs of white space inside a block and line
-breaks become one space; repeated pages are extracted each; other columns are not read.
+breaks become one space; a page may have any length and number of blocks; a probability of exactly a half is main text;
+repeated pages are extracted each; no pages give no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from tessella.llm.html_blocks import Block, blocks
 TRAIN_PAGES, MADE_PAGES, UNITS, PATH_SLOTS, WORD_SLOTS = 150, 350, 12, 64, 32
 SIZE = PATH_SLOTS + WORD_SLOTS + 6
 SEED, EPOCHS, BATCH = 11, 8, 25
+#: Blocks of a page whose vectors are held at a time.
+LONG = 10_000
 #: Elements and names that make a block main text, or not; what the labels of pages without known ones go by.
 MAIN = frozenset(["article", "main"])
 OTHER = frozenset("nav header footer aside form button ad ads advert sidebar menu notice cookie banner comment comments related share newsletter".split())
@@ -64,8 +67,9 @@ class Vectors:
             got = self.words[word] = zlib.crc32(word.encode()) % WORD_SLOTS
         return got
 
-    def of(self, page: list[Block]) -> np.ndarray:
-        n = len(page)
+    def of(self, page: list[Block], start: int = 0, total: int = 0) -> np.ndarray:
+        """Vectors of blocks, which are those from ``start`` on of a page of ``total``, if that isn't all."""
+        n, total = len(page), total or len(page)
         out = np.zeros((n, SIZE), np.float32)
         slots, size = [], np.empty(n, np.int64)
         for i, b in enumerate(page):
@@ -79,7 +83,8 @@ class Vectors:
         out[:, PATH_SLOTS:-6] = seen / np.sqrt(size)[:, None]
         chars = np.array([len(b.text) for b in page])
         out[:, -6], out[:, -5] = np.log1p(size) / 3, np.log1p(chars) / 5
-        out[:, -4], out[:, -3] = np.arange(n) / n, 1.0 - np.arange(n) / n
+        place = np.arange(start, start + n) / total
+        out[:, -4], out[:, -3] = place, 1.0 - place
         out[:, -2] = [b.text[-1] in ".!?" for b in page]
         return out
 
@@ -101,11 +106,12 @@ class Labeller:
             "c": np.zeros(1, np.float32),
         }
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None, state: list | None = None) -> np.ndarray:
+        """Outputs of one direction; ``state`` holds what the run begins with, and then what it ends with."""
         steps, rows, _ = x.shape
         z = x @ self.w[f"x{d}"] + self.w[f"b{d}"]
         out = np.zeros((steps, rows, UNITS), np.float32)
-        h = c = np.zeros((rows, UNITS), np.float32)
+        h, c = state or [np.zeros((rows, UNITS), np.float32)] * 2
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             a = z[t] + h @ self.w[f"h{d}"]
             s = _sigmoid(a[:, : 3 * UNITS])
@@ -117,6 +123,8 @@ class Labeller:
                 keep.append((t, h, c, i, f, o, g, tc, m))
             h, c = o * tc * m, c2
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -160,12 +168,26 @@ class Labeller:
                     self.w[k] = (self.w[k] - rate * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
         return self
 
+    def label_long(self, page: list[Block], vectors: Vectors) -> np.ndarray:
+        """As ``label``, for one page of any number of blocks: vectors are made for LONG of them at a time, states go on."""
+        parts = range(0, len(page), LONG)
+        found = {}
+        for k, d in enumerate("fb"):
+            state: list = []
+            for at in parts if d == "f" else reversed(parts):
+                x = vectors.of(page[at : at + LONG], at, len(page))[:, None]
+                out = self._run(x, np.ones(x.shape[:2], np.float32), d, None, state)[:, 0]
+                found[at] = found.get(at, self.w["c"]) + out @ self.w["o"][k * UNITS : (k + 1) * UNITS]
+        return np.concatenate([_sigmoid(found[at]) for at in parts]) >= 0.5
+
     def label(self, pages: list[np.ndarray], at_once: int = 64) -> list[np.ndarray]:
-        """Main text or not, for every block of every page."""
+        """Main text or not, for every block of every page; pages are padded to the longest of those that run together."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
-        for k in range(0, len(order), at_once):
-            some = order[k : k + at_once]
+        while order:
+            # the longest first: as many as have room for its length
+            many = max(1, min(at_once, 4 * LONG // len(pages[order[-1]])))
+            order, some = order[:-many], order[-many:]
             x, mask, _ = padded([(pages[i], np.zeros(len(pages[i]))) for i in some])
             p = self.probabilities(x, mask)
             for j, i in enumerate(some):
@@ -259,7 +281,7 @@ def made_page(r: random.Random) -> tuple[list[Block], np.ndarray]:
 def train(pages: DataFrame) -> dict[str, np.ndarray]:
     """Weights of a labeller fitted to the bounded training set."""
     every = max(1, pages.count() // TRAIN_PAGES)
-    some = pages.where("html IS NOT NULL").where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("html").limit(TRAIN_PAGES)
+    some = pages.where("html IS NOT NULL").where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(TRAIN_PAGES)
     vectors, r = Vectors(), random.Random(SEED)
     sets = [made_page(r) for _ in range(MADE_PAGES)]
     for row in sorted(x.html for x in some.collect()):
@@ -284,7 +306,8 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> D
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)
                 found = [blocks(x) for x in part.column(2).to_pylist()]
-                labels = labeller.label([vectors.of(b) if b else np.zeros((0, SIZE), np.float32) for b in found])
+                labels = labeller.label([vectors.of(b) if 0 < len(b) <= LONG else np.zeros((0, SIZE), np.float32) for b in found])
+                labels = [labeller.label_long(b, vectors) if len(b) > LONG else y for b, y in zip(found, labels)]
                 texts = ["\n".join(b.text for b, y in zip(page, keep) if y) for page, keep in zip(found, labels)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=RESULT)
 

@@ -10,7 +10,8 @@ Spark sees fit by their size, that of hosts by a shuffled join, which splits hot
 
 Defined cases: a null, empty or text-free page adds nothing to the sums, and is judged by its address and declaration; a null
 or unusable url has the empty host and suffix; unknown declarations count as any other; ties go to the language that comes
-first in the alphabet; without a document that has a language the result is null; repeated pages count each.
+first in the alphabet; without a document that has a language the result is null; pages of any length are read whole;
+repeated pages count each; no pages give no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 
-#: Slots of hashed trigrams; most languages that a model may have; slots in one row of a sum.
-SLOTS, LANGUAGES, SLICE = 1 << 14, 256, 1 << 10
+#: Slots of hashed trigrams; slots in one row of a sum. The model grows with the number of languages, not with that of rows.
+SLOTS, SLICE = 1 << 14, 1 << 10
 #: Weight of one trigram against one piece of other evidence (neighbouring trigrams tell much the same).
 WEIGHT = 0.3
 #: Pages that the suffix's prior is worth for a host, and that the prior of all is worth for a suffix; smoothing of evidence.
@@ -54,8 +55,6 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         sums: dict[str, np.ndarray] = {}
         for part in parts:
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if lang not in sums and len(sums) >= LANGUAGES:
-                    raise ValueError(f"more than {LANGUAGES} languages")
                 sums[lang] = sums.get(lang, 0) + np.bincount(slots(text), minlength=SLOTS)
         for lang, n in sums.items():
             for i, part in enumerate(n.reshape(-1, SLICE)):
@@ -94,7 +93,7 @@ def address(url: str | None) -> tuple[str, str, str]:
     return host, host.rpartition(".")[2], code[1] if code else ""
 
 
-def features(pages: DataFrame, model: np.ndarray) -> DataFrame:
+def features(pages: DataFrame, model: np.ndarray, work: common.Scratch) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -112,19 +111,19 @@ def features(pages: DataFrame, model: np.ndarray) -> DataFrame:
                 declared = DECLARED.search(page)
                 yield page_id, url, *address(url)[:2], declared[1].lower() if declared else "", address(url)[2], ll.tolist(), r.tolist()
 
-    return common.materialize(pages.mapInArrow(lambda parts: common.batches(rows(parts), FEATURES, 2_000), FEATURES_DDL), "language-features")
+    return work.write(pages.mapInArrow(lambda parts: common.batches(rows(parts), FEATURES, 2_000), FEATURES_DDL), "language-features")
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, url, lang, its posterior, and text_lang, what the text alone says, for every row of pages."""
-    pages, since = common.first_column(pages, "page_id", "url", "html"), common.mark()
+    work, pages = common.Scratch(pages.sparkSession), common.first_column(pages, "page_id", "url", "html")
     names, model = train(docs)
     if not names:
         return pages.select("page_id", "url", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("string").alias("text_lang"))
-    found, n = features(pages, model), len(names)
+    found, n = features(pages, model, work), len(names)
 
     def sums(by: str, name: str) -> DataFrame:
-        return common.materialize(found.groupBy(by).agg(F.array(*[F.sum(F.get("r", F.lit(i))) for i in range(n)]).alias(name)), f"language-{name}")
+        return work.write(found.groupBy(by).agg(F.array(*[F.sum(F.get("r", F.lit(i))) for i in range(n)]).alias(name)), f"language-{name}")
 
     every = found.agg(F.array(*[F.coalesce(F.sum(F.get("r", F.lit(i))), F.lit(0.0)) for i in range(n)])).first()[0]
     whole = sum(every)
@@ -148,9 +147,9 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     at = lambda a: F.get(F.array(*map(F.lit, names)), (F.array_position(a, F.array_max(a)) - 1).cast("int"))
     spread = F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("score")))
     out = joined.select("page_id", "url", at(F.col("score")).alias("lang"), (1 / spread).alias("posterior"), F.when(total(F.col("r")) > 0, at(F.col("r"))).alias("text_lang"))
-    out = common.materialize(out, "language-result")
-    common.keep_only(pages.sparkSession, since, out)
-    return out
+    out = work.write(out, "language-result")
+    work.close(out)
+    return work.result(out)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

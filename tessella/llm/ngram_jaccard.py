@@ -15,8 +15,9 @@ The result is exact: a skipped pair either cannot reach the threshold or lies wi
 dealt to tasks by pairs of blocks.
 
 Defined cases: a null or empty text has an empty set and links with nothing; with fewer words than a shingle the whole
-sequence is the only shingle; copies are linked, repeated rows are copies; a null doc_id takes no part in the smallest id of
-its component; other columns are not read.
+sequence is the only shingle; texts of any length are taken whole; copies are linked, repeated rows are copies; a null doc_id
+takes no part in the smallest id of its component, which is null where all are; an empty table gives an empty result; other
+columns, whatever their names, are not read by ``join`` and come back unchanged from ``keep_one``.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def counts(docs: DataFrame, words: int) -> np.ndarray:
     return np.minimum(out.reshape(-1), 2**31 - 1).astype(np.int32)
 
 
-def set_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def set_table(docs: DataFrame, words: int, percent: int, work: common.Scratch) -> DataFrame:
     """A row per document: size and 128-bit name of its set, its prefix from the rarest shingle on, its bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(counts(docs, words))
 
@@ -145,16 +146,16 @@ def set_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 order = np.argsort(seen[slot(found)], kind="stable")[:p]
                 yield doc_id, k, tag, n, int(x.view(np.int64)), int(y.view(np.int64)), found[order].view(np.int64), bitmap(found).tobytes()
 
-    return common.materialize(docs.select("doc_id", "k", "tag", "text").mapInArrow(lambda parts: common.batches(rows(parts), SETS, 2_000), SETS_DDL), "jaccard-sets")
+    return work.write(docs.select("doc_id", "k", "tag", "text").mapInArrow(lambda parts: common.batches(rows(parts), SETS, 2_000), SETS_DDL), "jaccard-sets")
 
 
 CANDIDATES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, work: common.Scratch, name: str) -> DataFrame:
     """The pairs(u, v) of set names whose sets reach the threshold. The texts of those in pairs travel compressed, which is
     several times smaller than their sets; sets are made again where two texts meet."""
-    pairs = common.materialize(pairs, f"{name}-pairs")
+    pairs = work.write(pairs, f"{name}-pairs")
     names = pairs.select(F.col("u").alias("x")).unionAll(pairs.select(F.col("v").alias("x"))).distinct()
     wanted = reps.join(names, "x", "left_semi").select("x", "k", "tag")
 
@@ -178,11 +179,11 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
 
     schema = pa.schema([("x", pa.int64()), ("text", pa.binary())])
     packed = docs.join(wanted, seeds.KEY).select("x", "text").mapInArrow(lambda parts: common.batches(pack(parts), schema, 2_000), "x long, text binary")
-    sets = common.materialize(packed, f"{name}-texts")
+    sets = work.write(packed, f"{name}-texts")
     both = pairs.join(sets.select(F.col("x").alias("u"), F.col("text").alias("a")), "u").join(sets.select(F.col("x").alias("v"), F.col("text").alias("b")), "v")
-    links = common.materialize(both.select("u", "v", "a", "b").mapInArrow(meet, "u long, v long").distinct(), f"{name}-links")
-    common.release(sets)
-    common.release(pairs)
+    links = work.write(both.select("u", "v", "a", "b").mapInArrow(meet, "u long, v long").distinct(), f"{name}-links")
+    work.release(sets)
+    work.release(pairs)
     return links
 
 
@@ -245,22 +246,27 @@ def _blocks(percent: int):
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text); k and tag name the row."""
-    docs, since = seeds.keyed(docs), common.mark()
-    every = set_table(docs, words, percent)
-    # one class per set; its name of 64 bits must stand for one name of 128
-    classes = every.where("n > 0").groupBy("x").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("k", "tag")).alias("rep"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    checked = F.when(F.col("y0") == F.col("y1"), F.col("x")).otherwise(F.raise_error(F.lit("two sets share a 64-bit name")).cast("long"))
-    classes = common.materialize(classes.select(checked.alias("x"), "first_id", "rep.*"), "jaccard-classes")
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text); k and tag name the row, and leads is whether it is
+    the row that stands for its component: that with the smallest doc_id, null the greatest, and then the smallest tag."""
+    work, docs = common.Scratch(docs.sparkSession), seeds.keyed(docs)
+    every = set_table(docs, words, percent, work)
+    # one class per set, named by 64 bits of 128; the rare sets that share them are named anew by all of these
+    clash = work.write(every.where("n > 0").groupBy("x").agg(F.min("y").alias("y0"), F.max("y").alias("y1")).where("y0 <> y1").select("x", F.lit(True).alias("clash")), "jaccard-clashes")
+    if not clash.isEmpty():
+        named = every.join(clash, "x", "left").withColumn("x", F.when(F.col("clash"), F.xxhash64("x", "y", "n")).otherwise(F.col("x")))
+        every = work.write(named.select(*every.columns), "jaccard-named-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
+    classes = every.where("n > 0").groupBy("x").agg(first, F.min(F.struct("k", "tag")).alias("rep"))
+    classes = work.write(classes.select("x", "first", "rep.*"), "jaccard-classes")
     reps = every.join(classes.select("x", "k", "tag"), ["x", "k", "tag"], "left_semi")
     index = reps.select("x", "n", F.posexplode("prefix").alias("pos", "token"))
     listed = index.groupBy("token").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low <> high").select("token")
-    listed = common.materialize(listed, "jaccard-lists")
-    entries = common.materialize(index.join(listed, "token").select("token", "x", "n", "pos"), "jaccard-entries")
+    listed = work.write(listed, "jaccard-lists")
+    entries = work.write(index.join(listed, "token").select("token", "x", "n", "pos"), "jaccard-entries")
     # what is rare in a set is its own: the set of a list with most listed shingles lies in the middle of its kind
     central = entries.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     pivots = entries.join(central, "x").groupBy("token").agg(F.max(F.struct("c", "x"))["x"].alias("middle"), F.min("x").alias("low"))
-    with_pivots = entries.join(common.materialize(pivots, "jaccard-pivots"), "token")
+    with_pivots = entries.join(work.write(pivots, "jaccard-pivots"), "token")
 
     # one highly similar set for each: of the middles, and of the least sets, of its lists, those that share most of the prefix
     def similar(pivot: str) -> DataFrame:
@@ -281,15 +287,15 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
                 keep.append(int(np.bitwise_count(fold(p, size) ^ fold(q, size)).sum(dtype=np.int64)) <= a + b - 2 * least_overlap(a, b, percent))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=CANDIDATES).filter(pa.array(keep, pa.bool_()))
 
-    links = verified(sides.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(near, "u long, v long"), docs, reps, words, percent, "jaccard-similar")
-    roots = graph.components(links, "jaccard-near")
+    links = verified(sides.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(near, "u long, v long"), docs, reps, words, percent, work, "jaccard-similar")
+    roots = graph.components(links, work)
 
     # lists that still hold several components, in blocks
     rooted = entries.select("token", "x", "n", "pos").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    rooted = common.materialize(rooted, "jaccard-rooted")
-    common.release(entries)
+    rooted = work.write(rooted, "jaccard-rooted")
+    work.release(entries)
     several = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("length")).where("a <> b").select("token", "length")
-    several = common.materialize(several, "jaccard-several")
+    several = work.write(several, "jaccard-several")
     ratio = F.log(F.lit(100 / percent))
     left = rooted.join(several, "token").withColumn("kind", F.floor(F.log("n") / ratio).cast("int")).withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
     # a set meets its own size class and the next; sizes two classes apart cannot reach the threshold
@@ -298,30 +304,35 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     dealt = dealt.select("token", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("CAST(own > other AS int)").alias("side"), "x", "root", "n", "pos", "bits")
     order = ["token", "kind", "i", "j"]
     found = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_blocks(percent), "u long, v long").distinct()
-    more = verified(found, docs, reps, words, percent, "jaccard-rest")
-    roots = graph.components(links.unionAll(more), "jaccard-all")
+    more = verified(found, docs, reps, words, percent, work, "jaccard-rest")
+    roots = graph.components(links.unionAll(more), work)
 
     named = classes.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    named = common.materialize(named.select("x", "root", "first_id"), "jaccard-named")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = common.materialize(named.join(least, "root").select("x", "component_id"), "jaccard-labels")
+    named = work.write(named.select("x", "root", "first"), "jaccard-named")
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    label = work.write(named.drop("first").join(least, "root").select("x", "first"), "jaccard-labels")
     joined = every.select("doc_id", "k", "tag", F.col("n").alias("n_shingles"), "x").join(label, "x", "left")
-    component = F.when(F.col("x").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    result = common.materialize(joined.select("doc_id", "k", "tag", "n_shingles", component), "jaccard-result")
-    common.keep_only(docs.sparkSession, since, result)
-    return result
+    component = F.when(F.col("x").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id")
+    leads = F.coalesce(F.expr("first.doc_id <=> doc_id AND first.tag = tag"), F.lit(True)).alias("leads")
+    result = work.write(joined.select("doc_id", "k", "tag", "n_shingles", component, leads), "jaccard-result")
+    work.close(result)
+    return work.result(result)
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those that another of their component, with a smaller doc_id, stands for."""
+    """Of each component one row of docs, with all its columns: that with the smallest doc_id (null comes last), of equal ones
+    that with the smallest tag, of rows that repeat doc_id and text any one. Rows without words stay all."""
     found = join(docs, words, percent)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag"))
-    named = docs.withColumn("_tag", F.xxhash64("text", F.col("doc_id").isNull()))
-    return named.join(gone, F.expr("doc_id <=> gone_id AND _tag = gone_tag"), "left_anti").drop("_tag")
+    keys = found.where("n_shingles > 0").groupBy("k", "tag").agg(F.count(F.lit(1)).alias("n"), F.bool_and("leads").alias("leads")).where("n > 1 OR NOT leads")
+    keys = found.scratch.write(keys.select("k", "tag", "n", "leads"), "jaccard-repeated")  # type: ignore[attr-defined]
+    rows = common.rows(docs)
+    repeated = rows.join(keys.where("leads"), ["k", "tag"]).groupBy("k", "tag").agg(F.first("row").alias("row"))
+    left = rows.join(keys.select("k", "tag"), ["k", "tag"], "left_anti").select("row").unionAll(repeated.select("row"))
+    return found.scratch.result(common.unpacked(left, docs))  # type: ignore[attr-defined]
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(common.table(spark, sf_dir, "documents")).drop("k", "tag")
+    return join(common.table(spark, sf_dir, "documents")).drop("k", "tag", "leads")
 
 
 ORACLE = r"""

@@ -10,7 +10,9 @@ strictest certified cutoff holds; a rule without one rejects nothing there. By t
 is falsely rejected by the rules with probability at most RISK, for all strata at once, with confidence 1 - DELTA.
 
 Defined cases: a null or empty text has no words, so it fails the base; a null stratum is a stratum of its own; documents of
-a stratum without labels only meet the base; a document with several labels counts once for each; repeated rows stay.
+a stratum without labels only meet the base; a document with several labels counts
+once for each; texts of any length are counted whole; a ratio equal to a cutoff passes; repeated rows stay, and count each;
+empty tables give an empty result; columns beside doc_id, text and the stratum, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -89,12 +91,12 @@ def binomial_cdf(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(steps, state, add, lambda s: s["sum"])
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row per labelled stratum with a column cut_<rule>, null without a certified cutoff; materialised."""
+def cutoffs(measured: DataFrame, labels: DataFrame, work: common.Scratch, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """One row per labelled stratum with a column cut_<rule>, null without a certified cutoff."""
     ratios = measured.select("doc_id", "stratum", *[F.expr(e).alias(r) for r, e in RATIOS.items()])
     good = labels.select(F.col("doc_id"), F.col("quality")).where("quality = 1").join(ratios, "doc_id")
     sums = [F.count_if(F.col(r) > c).alias(f"k_{r}_{j}") for r, cs in CANDIDATES.items() for j, c in enumerate(cs)]
-    counted = common.materialize(good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums), "quality-counts")
+    counted = work.write(good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums), "quality-counts")
     p, level = risk / len(CANDIDATES), delta / (len(CANDIDATES) * max(counted.count(), 1))
     out = []
     for r, cs in CANDIDATES.items():
@@ -105,7 +107,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
             passed = F.when(k > F.col("n") * p, F.lit(False)).otherwise(binomial_cdf(F.col("n"), k, p) <= level)
             best = F.when(passed, F.lit(c)).otherwise(best)
         out.append(best.alias(f"cut_{r}"))
-    return common.materialize(counted.select("stratum", *out), "quality-cutoffs")
+    return work.write(counted.select("stratum", *out), "quality-cutoffs")
 
 
 def screen(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -114,12 +116,14 @@ def screen(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFra
     Figures are computed once, into a table of a few numbers a document. The cutoffs, a row per stratum, are joined as a
     table whose size Spark knows: broadcast where it is small, else a shuffled join of the narrow rows.
     """
-    measured = common.materialize(figures(docs, stratum), "quality-figures")
-    cut = cutoffs(measured, labels)
+    work = common.Scratch(docs.sparkSession)
+    measured = work.write(figures(docs, stratum), "quality-figures")
+    cut = cutoffs(measured, labels, work)
     joined = measured.join(cut.withColumnRenamed("stratum", "cut_stratum"), F.expr("stratum <=> cut_stratum"), "left")
     base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     failed = F.filter(F.array(*[F.when(F.expr(e) > F.col(f"cut_{r}"), F.lit(r)) for r, e in RATIOS.items()]), lambda x: x.isNotNull())
-    return joined.select("doc_id", *FIGURES, base.alias("base_failed"), failed.alias("rejected_by")).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    found = joined.select("doc_id", *FIGURES, base.alias("base_failed"), failed.alias("rejected_by"))
+    return work.result(found.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Two models, of toxic and of ordinary rows, give the probability of each byte of a lower-cased word, and of the blank after
 it, given the up to DEPTH - 1 bytes before, back to the blank that begins the word. All bytes of all words are counted and
-scored, whatever their length. Both models discount their own counts and give what is left to one shared, class-free model of continuation counts, itself discounted over two shorter contexts. So what either class has
-seldom seen costs both the same, and only expressions with counts of their own tell the classes apart. A word's evidence
+scored, whatever their length. Both models discount their own counts and give what is left to one shared, class-free model of
+continuation counts, itself discounted over two shorter contexts. So what either class has seldom seen costs both the same, and only expressions with counts of their own tell the classes apart. A word's evidence
 is the difference of its two log-likelihoods; a document compares the length-normalised log-likelihoods of its words, over
 the whole text and over its TOP words of greatest difference. A logistic regression on both and on the logarithm of the
 length, which says how high the greatest of many differences get by chance, gives the score.
@@ -16,7 +16,9 @@ others one after another, for many new words at a time.
 
 Defined cases: null, empty and blank texts have no words, and score what the logistic weights give a document without
 evidence; without toxic or without ordinary rows to learn from, the score of every document is the share of toxic rows (0
-without any); a null doc_id counts as the empty string; repeated rows are scored each; other columns are not read.
+without any); a null doc_id counts as the empty string; texts and words of any length are scored whole; a score of exactly 0.5
+is toxic; repeated rows are scored each; an empty table gives an empty result; other columns, whatever their names, are not
+read by ``score`` and come back unchanged from ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -51,8 +53,12 @@ SUMMED = 500_000
 REMEMBERED, NEW, CUT = 400_000, 100_000, 1 << 20
 
 
+def fold_of(doc_id: Column) -> Column:
+    return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5).cast("int")
+
+
 def fold(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("fold", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5).cast("int"))
+    return docs.withColumn("fold", fold_of(F.col("doc_id")))
 
 
 ROLLING = common.Rolling(0x5DEECE66D1F3A8B5)
@@ -153,15 +159,15 @@ def _count_words(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     yield from flush()
 
 
-def train(labelled: DataFrame, counted: Callable[[], None] = lambda: None) -> DataFrame:
+def train(labelled: DataFrame, work: common.Scratch, counted: Callable[[], None] = lambda: None) -> DataFrame:
     """Grams with their evidence (kind 0), contexts with that of any unseen byte (kind 1), by block. From labelled(toxic, packed),
     which is not read again once ``counted`` is called."""
     counts = labelled.select("toxic", "packed").mapInArrow(lambda parts: common.batches(_count_words(parts), WORDS), "word binary, t long, o long")
-    counts = common.materialize(counts.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "toxicity-words")
+    counts = work.write(counts.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "toxicity-words")
     counted()
     found = counts.mapInArrow(_word_grams, "g long, c long, low long, t long, o long").groupBy("g", "c", "low").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    found = common.materialize(found, "toxicity-grams")
-    common.release(counts)
+    found = work.write(found, "toxicity-grams")
+    work.release(counts)
     d, v, less = F.lit(DISCOUNT), F.col, F.lit(SHARED_DISCOUNT)
 
     # the shared model: how many different grams end in 4 bytes, and how many of these in 2
@@ -183,13 +189,13 @@ def train(labelled: DataFrame, counted: Callable[[], None] = lambda: None) -> Da
     # grams without a count above the discount have the evidence of unseen ones, and most contexts none
     scored = found.where((v("t") > d) | (v("o") > d)).join(own, "c").join(p4, "low").select(F.lit(0).alias("kind"), "g", (F.log(p["t"]) - F.log(p["o"])).cast("float").alias("llr"))
     unseen = own.select(F.lit(1).alias("kind"), v("c").alias("g"), (F.log(rest["t"]) - F.log(rest["o"])).cast("float").alias("llr")).where("llr <> 0")
-    flat = common.materialize(scored.unionAll(unseen), "toxicity-evidence")
-    common.release(found)
+    flat = work.write(scored.unionAll(unseen), "toxicity-evidence")
+    work.release(found)
     blocks = flat.count() // BLOCK + 1
     model = flat.withColumn("block", F.pmod("g", F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    path = common.scratch_path(flat.sparkSession, "toxicity-model")
+    path = work.folder("toxicity-model")
     model.write.option("compression", "zstd").partitionBy("block").parquet(path)
-    common.release(flat)
+    work.release(flat)
     model = flat.sparkSession.read.schema(model.schema).parquet(path)
     model.scratch_path, model.blocks = path, blocks  # type: ignore[attr-defined]
     return model
@@ -280,19 +286,19 @@ def features(evidence: np.ndarray) -> tuple[float, float, float]:
     return float(evidence.sum() / n), float(top.sum() / TOP), float(np.log1p(n))
 
 
-def measure(docs: DataFrame, model) -> DataFrame:
-    """(key, whole, peak, size) for docs(key, text), where the text may be packed."""
+def measure(docs: DataFrame, model: DataFrame, *named: str) -> DataFrame:
+    """(named.., whole, peak, size) for docs(text, named..), where the text may be packed; the named columns are longs."""
     blocks = files(model)
-    schema = pa.schema([("key", pa.int64()), ("whole", pa.float64()), ("peak", pa.float64()), ("size", pa.float64())])
+    schema = pa.schema([*((n, pa.int64()) for n in named), ("whole", pa.float64()), ("peak", pa.float64()), ("size", pa.float64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = Evidence(blocks)
         for part in parts:
-            texts = _unpack(part.column(1)) if pa.types.is_binary(part.column(1).type) else ((t or "").lower().encode().split() for t in part.column(1).to_pylist())
+            texts = _unpack(part.column(0)) if pa.types.is_binary(part.column(0).type) else ((t or "").lower().encode().split() for t in part.column(0).to_pylist())
             found = [features(x) for x in evidence.of(texts)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[i] for x in found], pa.float64()) for i in range(3))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array([x[i] for x in found], pa.float64()) for i in range(3))], schema=schema)
 
-    return docs.mapInArrow(run, "key long, whole double, peak double, size double")
+    return docs.mapInArrow(run, ", ".join([*(f"{n} long" for n in named), "whole double", "peak double", "size double"]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
@@ -310,39 +316,47 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30)
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs(doc_id, text)."""
-    docs = fold(common.first_column(docs, "doc_id", "text"))
+    found = scored(fold(common.first_column(docs, "doc_id", "text")), labels, "doc_id")
+    held_out = (fold_of(F.col("doc_id")) == 0).alias("held_out")
+    return found.scratch.result(found.select("doc_id", held_out, "score", "predicted"))  # type: ignore[attr-defined]
+
+
+def scored(docs: DataFrame, labels: DataFrame, *named: str) -> DataFrame:
+    """The named columns, which are longs, score and predicted for every row of docs(doc_id, fold, text, ..)."""
+    work = common.Scratch(docs.sparkSession)
     marks = labels.select(F.col("doc_id"), F.col("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     schema = pa.schema([("doc_id", pa.int64()), ("fold", pa.int32()), ("packed", pa.binary())])
     bits = label_bits(marks)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     packed = docs.where("fold > 0 AND doc_id IS NOT NULL").select("doc_id", "fold", "text", slot(64 * len(bits)).alias("slot")).mapInArrow(lambda parts: common.batches(_pack(parts, shared.value), schema, 2_000), "doc_id long, fold int, packed binary")
     known = packed.join(fold(marks).where("fold > 0").drop("fold"), "doc_id").select("packed", "toxic", "fold", F.xxhash64("doc_id").alias("key"))
-    known = common.materialize(known, "toxicity-labelled")
+    known = work.write(known, "toxicity-labelled")
     seen = {(x.toxic, x.fits): x.n for x in known.groupBy("toxic", (F.col("fold") == 4).alias("fits")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if all(seen.get((c, f), 0) for c in (0, 1) for f in (False, True)):
         share = CALIBRATION / sum(seen[c, True] for c in (0, 1))  # a bounded sample, by hash
         rows = known.where("fold = 4").where(F.pmod("key", F.lit(1_000_000)) < int(1_000_000 * min(1.0, share)))
-        rows = common.materialize(rows, "toxicity-fit")
-        model = train(known.where("fold < 4"), lambda: common.release(known))
-        held = measure(rows.select(F.col("toxic").cast("long").alias("key"), "packed"), model).toPandas()
-        common.release(rows)
-        a, b, c, d = (float(v) for v in logistic(held[["whole", "peak", "size"]].to_numpy(), held.key.to_numpy().astype(float)))
-        found = measure(docs.select(F.col("doc_id").alias("key"), "text"), model).withColumnRenamed("key", "doc_id")
-        found = common.materialize(found, "toxicity-measured")  # the model's table goes
-        common.release(model)
+        rows = work.write(rows, "toxicity-fit")
+        model = train(known.where("fold < 4"), work, lambda: work.release(known))
+        held = measure(rows.select("packed", F.col("toxic").cast("long").alias("toxic")), model, "toxic").toPandas()
+        work.release(rows)
+        a, b, c, d = (float(v) for v in logistic(held[["whole", "peak", "size"]].to_numpy(), held.toxic.to_numpy().astype(float)))
+        found = measure(docs.select("text", *named), model, *named)
+        found = work.write(found, "toxicity-measured")  # the model's table goes
+        work.release(model)
         value = 1 / (1 + F.exp(-F.least(F.greatest(F.lit(a) + b * F.col("whole") + c * F.col("peak") + d * F.col("size"), F.lit(-30.0)), F.lit(30.0))))
     else:
         n = sum(seen.values())
-        found, value = docs.select("doc_id"), F.lit(sum(k for (c, _), k in seen.items() if c == 1) / n if n else 0.0)
-        common.release(known)
-    found = fold(found)
-    return found.select("doc_id", (F.col("fold") == 0).alias("held_out"), value.alias("score")).withColumn("predicted", F.expr("CAST(score >= 0.5 AS int)"))
+        found, value = docs.select(*named), F.lit(sum(k for (c, _), k in seen.items() if c == 1) / n if n else 0.0)
+        work.release(known)
+    return work.result(found.select(*named, value.alias("score")).withColumn("predicted", F.expr("CAST(score >= 0.5 AS int)")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the score doesn't call toxic, with all their columns."""
-    toxic = score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("toxic_id"))
-    return docs.join(toxic, F.expr("doc_id <=> toxic_id"), "left_anti")
+    """The rows of docs that the score doesn't call toxic, with all their columns. A row goes for its own text, whatever rows
+    share its doc_id."""
+    found = scored(fold(common.first_column(docs, "doc_id", "text").select("doc_id", "text", *common.row_key())), labels, "k", "tag")
+    toxic = found.where("predicted = 1").select("k", "tag").distinct()
+    return found.scratch.result(common.unpacked(common.rows(docs).join(toxic, ["k", "tag"], "left_anti"), docs))  # type: ignore[attr-defined]
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

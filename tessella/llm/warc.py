@@ -12,7 +12,9 @@ the shared folder may be in any store these know.
 
 Defined cases: a null html is an empty payload, a null url an absent target; rows that repeat page_id and payload of a
 response are responses too; no rows make an empty index; a null page_id is written
-and read as one and comes last in the choice of the response; other columns are not read.
+and read as one and comes last in the choice of the response; pages of any length are records whole; columns with other names,
+whatever these are, are not read. Archives and index last as long as the driver's JVM; a kept archive is written by ``write``
+into a shared folder that outlives it.
 """
 
 from __future__ import annotations
@@ -92,21 +94,21 @@ def parse(data: bytes) -> tuple:
     return number("WARC-Record-ID"), url, "response", body, found, len(body), None
 
 
-def revisits(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def revisits(pages: DataFrame, work: common.Scratch) -> tuple[DataFrame, DataFrame]:
     """pages(page_id, url, html) with digest; and (d, first_id) of the payloads that occur twice or more, counted before
     anything is shuffled."""
     pages = common.first_column(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
     large = pages.where(F.octet_length("html") >= LEAST).select("digest", "page_id")
     equal = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return pages, common.materialize(equal.select(F.col("digest").alias("d"), "first_id"), "warc-equal")
+    return pages, work.write(equal.select(F.col("digest").alias("d"), "first_id"), "warc-equal")
 
 
 def write(pages: DataFrame) -> DataFrame:
     """Writes archives of all rows of pages(page_id, url, html) to the shared folder; returns their index, materialised."""
-    spark = pages.sparkSession
-    folder = common.scratch_path(spark, "warc")
-    rows, equal = revisits(pages)
+    work = common.Scratch(pages.sparkSession)
+    folder = work.folder("warc")
+    rows, equal = revisits(pages, work)
     rows = rows.join(equal, F.expr("d = digest AND octet_length(html) >= %d" % LEAST), "left").select("page_id", "url", "html", "digest", "first_id", F.expr("d IS NOT NULL").alias("shared"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +136,9 @@ def write(pages: DataFrame) -> DataFrame:
             if out is not None:
                 out.close()
 
-    index = common.materialize(rows.mapInArrow(run, INDEX_DDL), "warc-index")
+    index = work.write(rows.mapInArrow(run, INDEX_DDL), "warc-index")
     index.archives = folder  # type: ignore[attr-defined]
-    return index
+    return work.result(index)
 
 
 def ranges(rows: list[tuple[int, int]], gap: int = GAP, most: int = READ) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:

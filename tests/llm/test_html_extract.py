@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -77,3 +78,29 @@ def test_held_out_layouts():
 
 def test_empty_table(spark):
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_hostile_pages_take_time_in_proportion():
+    n = 300_000
+    pages = ["<a " * n, "<p title=\"x " * n, "<a '\">" * n, "<!-" * n, "<!--" * n, "<div>" * n + "</p>" * n, "<td><ul>" + "<x>" * n + "<td></td>" * n, "<div>x" * n, "<" * n, "</script" * n, "<li>" * n, "&amp" * n]
+    for page in pages:
+        began = time.time()
+        blocks(page)
+        assert time.time() - began < 12, page[:20]
+
+
+def test_long_pages_are_labelled_with_their_whole_context(monkeypatch):
+    labeller, vectors = h.Labeller(), h.Vectors()
+    page = blocks("".join(f"<div class='{'ad' if i % 3 else 'story'}'><p>word{i} other words.</p></div>" for i in range(95)))
+    whole = labeller.label([vectors.of(page)])[0]
+    monkeypatch.setattr(h, "LONG", 10)
+    assert labeller.label_long(page, vectors).tolist() == whole.tolist()
+    assert labeller.label([vectors.of(page), vectors.of(page[:30])])[0].tolist() == whole.tolist()
+
+
+def test_quotes_and_unclosed_tags():
+    text = lambda p: [b.text for b in blocks(p)]
+    assert text("<p title='a > b'>one</p>two") == ["one", "two"]
+    assert text('<p title="a>one</p><p>two') == ["one", "two"]
+    assert text("a < b <p>c <!-- x > y --> d<!-- never") == ["a < b", "c d"]
+    assert text("one <b") == ["one <b"]

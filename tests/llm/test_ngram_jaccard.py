@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessella.llm import graph, ngram_jaccard
 
 
@@ -84,3 +86,23 @@ def test_components(spark):
     got = {x.node: x.root for x in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[602] == got[601] == got[600] == 600
     assert {v for k, v in got.items() if 200 <= k < 400} == {200}
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = "one two three four five six seven eight nine ten " * 3
+    near = text + "eleven"
+    rows = [(3, text, "a", "b"), (3, text, "a", "b"), (None, text, "c", "b"), (9, near, "c", "b"), (None, "x y z " * 9, "d", "e"), (None, "x y z " * 9, "d", "e"), (None, None, "n", "e"), (None, None, "n", "e"), (4, "", "m", "e"), (4, "other words " * 20, "m", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _tag string, leads string")
+    left = ngram_jaccard.keep_one(docs)
+    assert left.dtypes == docs.dtypes
+    want = [rows[0], rows[4], rows[6], rows[7], rows[8], rows[9]]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+    assert ngram_jaccard.keep_one(docs.limit(0)).count() == 0
+
+
+def test_sets_that_share_a_name(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i // 2} a b c d e f g h i j k l m n") for i in range(8)], "doc_id long, text string")
+    want = sorted((x.doc_id, x.component_id) for x in ngram_jaccard.join(docs, 3, 99).collect())
+    table = ngram_jaccard.set_table
+    monkeypatch.setattr(ngram_jaccard, "set_table", lambda *a: table(*a).withColumn("x", F.lit(5).cast("long")))
+    assert sorted((x.doc_id, x.component_id) for x in ngram_jaccard.join(docs, 3, 99).collect()) == want

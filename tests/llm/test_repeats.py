@@ -45,8 +45,10 @@ def corpus(seed, n=60):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_words_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(1, 8_000), (2, 8_000), (2, 1)])
+def test_words_against_brute_force(spark, seed, block, monkeypatch):
+    """A block of 1 splits every anchor of more than four stretches, down to single windows where need be."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
     texts = corpus(seed)
     docs = spark.createDataFrame([(i if i % 11 else None, t, 7, 8) for i, t in enumerate(texts)], "doc_id long, text string, k long, spans int")
     words = [(t or "").encode().split() for t in texts]
@@ -60,20 +62,20 @@ def test_words_against_brute_force(spark, seed):
     assert sum(w[2] for w in want) > 500
 
 
-@pytest.mark.parametrize("group", [128, 1])
-def test_bytes_against_brute_force(spark, group, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+@pytest.mark.parametrize("block", [1_000_000, 1])
+def test_bytes_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     texts = corpus(3, 50)
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i if i % 11 else None, t, "a", "b", 5) for i, t in enumerate(texts)], "doc_id long, text string, tag string, row string, spans int")
     raw = [(t or "").encode() for t in texts]
     for length in (400, 60):
         want = []
         for i, (w, gone) in enumerate(zip(raw, brute(raw, length))):
             kept = bytes(x for x, g in zip(w, gone) if not g)
             spans = sum(g and (not j or not gone[j - 1]) for j, g in enumerate(gone))
-            want.append((i, len(w), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+            want.append((i if i % 11 else None, len(w), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
         got = suffix_dedup.dedup(docs, length).collect()
-        assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == sorted(want)
+        assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got), key=str) == sorted(want, key=str)
         assert sum(w[2] for w in want) > 500
 
 
@@ -86,18 +88,47 @@ def test_interval_expansion_against_brute_force(seed):
     for length in (1, 2, 7, 20):
         seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
         want = [[i for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1] for t in texts]
-        assert [x.tolist() for x in suffix_dedup.repeated_starts(texts, length)] == want
+        assert [x.tolist() for x in suffix_dedup.repeated_starts(texts, [1] * len(texts), length)] == want
+        weights = [r.choice([1, 1, 2, 5]) for _ in texts]
+        seen = Counter(t[i : i + length] for t, n in zip(texts, weights) for i in range(len(t) - length + 1) for _ in range(n))
+        want = [[i for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1] for t in texts]
+        assert [x.tolist() for x in suffix_dedup.repeated_starts(texts, weights, length)] == want
+
+
+def test_long_texts_across_segments(spark, monkeypatch):
+    monkeypatch.setattr(seeds, "SEGMENT", 50)
+    r = random.Random(4)
+    passage = [f"p{r.randrange(9)}" for _ in range(300)]
+    texts = [" ".join([f"w{r.randrange(30)}" for _ in range(700)] + passage + [f"w{r.randrange(30)}" for _ in range(400)]) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [t.encode().split() for t in texts]
+    got = {x.doc_id: x.n_removed for x in substring_dedup.dedup(docs).collect()}
+    assert got == {i: sum(g) for i, g in enumerate(brute(words, 35))} and min(got.values()) >= 300
+    got = {x.doc_id: x.n_removed for x in suffix_dedup.dedup(docs).collect()}
+    assert got == {i: sum(g) for i, g in enumerate(brute([t.encode() for t in texts], 400))} and min(got.values()) >= 600
+
+
+def test_removal_with_clashing_columns_repeated_rows_and_nulls(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage + " a", "x", "y", "z", 1), (1, passage + " a", "x", "y", "z", 1), (None, passage + " b", "q", "y", "z", 2), (None, None, "q", "y", "z", 3), (5, "", "q", "y", "z", 4)]
+    # the whole of repeated rows repeats
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k string, Tag string, spans string, m int")
+    got = substring_dedup.remove_repeats(docs)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    want = [(1, "", "x", "y", "z", 1)] * 2 + [(None, "b", "q", "y", "z", 2), *rows[3:]]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
 def test_equal_windows_own_equal_anchors():
     r = np.random.default_rng(5)
-    find = seeds.Seeder(35, 6)
+    find, names = seeds.Seeder(35, 6), seeds.common.Rolling(0x2545F4914F6CDD1D)
     common_part = r.integers(0, 2**60, 50).astype(np.uint64)
     a = np.r_[r.integers(0, 2**60, 33).astype(np.uint64), common_part, r.integers(0, 2**60, 20).astype(np.uint64)]
     b = np.r_[common_part, r.integers(0, 2**60, 70).astype(np.uint64)]
     assert len(set(find.runs(a)[0].tolist()) & set(find.runs(b)[0].tolist())) >= 1
-    x, y = find.windows(a, np.arange(33, 49)), find.windows(b, np.arange(0, 16))
-    assert (x[0] == y[0]).all() and (x[1] == y[1]).all()
+    x, y = names.windows(names.prefix(a), 35), names.windows(names.prefix(b), 35)
+    assert (x[33:49] == y[:16]).all()
 
 
 def test_empty_tables(spark):

@@ -106,7 +106,7 @@ def test_model_keeps_all_grams_in_any_number_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "NEW", 50)
     assert scores() == whole
     rows = spark.createDataFrame([(t, packed(x)) for (_, x, _, _), (_, _, t) in zip(docs, labels)], "toxic int, packed binary")
-    model = toxicity.train(rows)
+    model = toxicity.train(rows, toxicity.common.Scratch(spark))
     words = list({w for _, x, _, _ in docs for w in x.encode().split()})
     one, many = toxicity.Evidence(toxicity.files(model)), toxicity.Evidence(toxicity.files(model))
     monkeypatch.setattr(toxicity, "HELD", 1000)
@@ -135,3 +135,55 @@ def test_label_bits_hold_every_label(spark):
     bits = toxicity.label_bits(marks)
     got = np.array([x.s for x in spark.range(3000).withColumnRenamed("id", "doc_id").select("doc_id", toxicity.slot(64 * len(bits)).alias("s")).orderBy("doc_id").collect()])
     assert toxicity.may_have(bits, got[::3]).all() and toxicity.may_have(bits, got).mean() < 0.5
+
+
+def test_evidence_against_plain_kneser_ney(spark):
+    """The same two models, written with dictionaries of byte strings."""
+    docs, labels = corpus(120)
+    rows = spark.createDataFrame([(t, packed(x)) for (_, x, _, _), (_, _, t) in zip(docs, labels)], "toxic int, packed binary")
+    model = toxicity.Evidence(toxicity.files(toxicity.train(rows, toxicity.common.Scratch(spark))))
+    counts, d, less = ({}, {}), toxicity.DISCOUNT, toxicity.SHARED_DISCOUNT
+    cut = lambda w: [(b" " + w + b" ")[max(0, j + 1 - toxicity.DEPTH) : j + 1] for j in range(1, len(w) + 2)]
+    for (_, x, _, _), (_, _, t) in zip(docs, labels):
+        for w in x.encode().split():
+            for g in cut(w):
+                counts[t][g] = counts[t].get(g, 0) + 1
+    every = set(counts[0]) | set(counts[1])
+
+    def log_likelihood(word, own):
+        total = 0.0
+        for g in cut(word):
+            context = {k: n for k, n in own.items() if len(k) == len(g) and k[:-1] == g[:-1]} if len(g) == toxicity.DEPTH or g[:1] == b" " else {}
+            n = sum(context.values())
+            rest = sum(min(k, d) for k in context.values()) / n if n else 1.0
+            total += np.log(max(own.get(g, 0) - d, 0) / n + rest * shared(g[-4:])) if n else np.log(shared(g[-4:]))
+        return total
+
+    four = {}
+    for g in every:
+        four[g[-4:]] = four.get(g[-4:], 0) + 1
+    two = {}
+    for g in four:
+        two[g[-2:]] = two.get(g[-2:], 0) + 1
+
+    def shared(g):
+        def part(table, key, below):
+            same = {k: n for k, n in table.items() if k[:-1] == key[:-1] and len(k) == len(key)}
+            return (table[key] - less) / sum(same.values()) + less * len(same) / sum(same.values()) * below
+
+        return part(four, g, part(two, g[-2:], 1 / 256))
+
+    words = sorted({w for _, x, _, _ in docs for w in x.encode().split()})[:40]
+    model.learn(words)
+    for w in words:
+        assert abs(model[w] - (log_likelihood(w, counts[1]) - log_likelihood(w, counts[0]))) < 1e-3 * max(1, abs(model[w])), w
+
+
+def test_a_row_goes_for_its_own_text(spark):
+    docs, labels = corpus(300)
+    extra = [(None, "grumfa grumfel grumfix grumfo " * 5, "x", 0.0), (None, "bala kone miso tuvi", "x", 0.0), (None, None, "x", 0.0), (7000, "grumfa grumfel grumfix grumfo " * 5, "x", 0.0), (7000, "bala kone miso tuvi", "x", 0.0), (7000, "bala kone miso tuvi", "x", 0.0)]
+    frame = spark.createDataFrame(docs + extra, "doc_id long, text string, toxic_id string, k double")
+    left = toxicity.drop_toxic(frame, spark.createDataFrame(labels, MARKS))
+    assert left.dtypes == frame.dtypes
+    got = [tuple(x) for x in left.where("doc_id IS NULL OR doc_id = 7000").collect()]
+    assert sorted(got, key=str) == sorted([extra[1], extra[2], extra[4], extra[5]], key=str)
