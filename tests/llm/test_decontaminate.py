@@ -111,26 +111,26 @@ def test_every_length_of_piece_is_found_within_its_budget():
     r = random.Random(2)
     for length in range(d.SHORTEST, 81):
         item = bytes(r.choice(b"abcdefgh") for _ in range(length))
-        edits = decontaminate.budget(length)
+        edits = d.budget(length)
         for shift in range(3):
             held = bytearray(item)
             for k in range(edits):
                 held[min(length - 1, (k + 1) * length // (edits + 1) + shift - 1)] = ord("z")
             text = b"q" * 50 + bytes(held) + b"q" * 50
-            find = decontaminate.Searcher([(7, item)])
+            find = d.Searcher([(7, item)])
             assert (find.need >= 1).all()
             found = find.search([text])[0]
             assert [(x[0], x[5]) for x in found] == [(0, edits)], (length, shift)
         held = bytearray(item)
         for k in range(edits + 1):
             held[(k + 1) * length // (edits + 2)] = ord("z")
-        assert decontaminate.Searcher([(7, item)]).search([b"q" * 50 + bytes(held) + b"q" * 50])[0] == []
+        assert d.Searcher([(7, item)]).search([b"q" * 50 + bytes(held) + b"q" * 50])[0] == []
 
 
 def test_removal_with_clashing_columns_repeated_rows_and_nulls(spark):
     leak = "the quick brown fox jumps over the lazy dog and then runs far away from all of them"
     rows = [(1, "x " + leak, "a", "b"), (1, "clean", "a", "b"), (None, leak, "a", "b"), (None, None, "a", "b"), (None, None, "a", "b"), (2, "", "a", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _tag string, gone_id string")
-    left = decontaminate.drop_leaked(docs, spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    left = d.drop_leaked(docs, spark.createDataFrame([(1, leak)], "item_id long, text string"))
     assert left.dtypes == docs.dtypes
     assert sorted(map(tuple, left.collect()), key=str) == sorted([x for x in rows if leak not in (x[1] or "")], key=str)
