@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tessella.plans import decisions, evaluation, packing, provenance, relational, scoring, screening  # noqa: F401
+from tessella.plans import decisions, evaluation, exchange, inference, items, packing, provenance, relational, scoring, screening  # noqa: F401
 from tessella.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +33,36 @@ def unpacked(text: Column | str) -> Column:
     byte = F.transform(F.sequence(F.lit(0), (n / 2).cast("int") - 1), lambda i: F.conv(F.substr(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
     values = F.array(*[F.lit(v).cast("int") for v in VALUES])
     return F.flatten(F.transform(byte, lambda b: F.transform(F.array(*[F.lit(k) for k in (1, 4, 16, 64)]), lambda m: F.get(values, F.floor(b / m).cast("int") % 4))))
+
+
+def one_bit(data: Column) -> Column:
+    """Signs of bytes, one bit each, the lowest first: 1 is +1, 0 is -1."""
+
+    @F.pandas_udf("array<int>")
+    def signs(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else 2 * np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little").astype(np.int32) - 1)
+
+    return signs(data)
+
+
+def leaves(value: Column | str) -> Column:
+    """Leaves of JSON values as a map from path to text; levels are joined by dots, places in lists are numbers."""
+
+    @F.pandas_udf("map<string,string>")
+    def walk(s: pd.Series) -> pd.Series:
+        def of(text):
+            if text is None:
+                return None
+            out, held = {}, [("", json.loads(text))]
+            while held:
+                path, x = held.pop()
+                inner = x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else None
+                if inner is None:
+                    out[path] = x if isinstance(x, str) else json.dumps(x)
+                else:
+                    held += [(f"{path}.{k}" if path else str(k), y) for k, y in inner]
+            return out
+
+        return s.map(of)
+
+    return walk(value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]+"
 #: ASCII punctuation and the articles that answers are compared without (fixed values of the metric).
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-ARTICLES = r"\b(a|an|the)\b"
+#: Word ends are letter classes, as what \b means differs between dialects.
+ARTICLES = r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])"
 
 
 def words(text: Column | str) -> Column:
@@ -32,12 +34,21 @@ def answer_words(text: Column | str) -> Column:
     return F.filter(F.split(F.regexp_replace(plain, ARTICLES, " "), r"\s+"), lambda w: w != "")
 
 
+NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
+#: What introduces an answer, with any mark-up before its letter (fixed forms of the metric).
+ANSWER = r"[Aa]nswer\s*(?:is)?[\s:：*(]*"
+BOXED_LETTER = r"\\boxed\{\s*\(?([A-D])\)?\s*\}"
+
+
+def boxed(text: Column | str) -> Column:
+    """What the last \\boxed{} holds, which may nest braces once; null without one."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"), F.lit(1)), F.lit(-1))
+
+
 def last_number(text: Column | str) -> Column:
-    """The number in the last \\boxed{}, which may nest braces once, else the last number; without , and $. Null if none."""
-    boxed = F.regexp_extract_all(text, F.lit(r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"), F.lit(1))
-    plain = F.regexp_extract_all(text, F.lit(r"-?\$?\d[\d,]*(?:\.\d+)?"), F.lit(0))
-    found = F.coalesce(F.try_element_at(boxed, F.lit(-1)), F.try_element_at(plain, F.lit(-1)))
-    return F.translate(found, ",$ ", "")
+    """The last number of the last \\boxed{}, or without one there of the whole text; , and $ do not count. Null if none."""
+    last = lambda c: F.try_element_at(F.regexp_extract_all(F.translate(c, ",$", ""), F.lit(NUMBER), F.lit(0)), F.lit(-1))
+    return F.coalesce(last(boxed(text)), last(F.col(text) if isinstance(text, str) else text))
 
 
 def numbers_agree(a: Column, b: Column, within: float = 1e-6) -> Column:
@@ -45,10 +56,11 @@ def numbers_agree(a: Column, b: Column, within: float = 1e-6) -> Column:
     return F.coalesce(F.abs(a.try_cast("double") - b.try_cast("double")) < within, F.lit(False))
 
 
-def last_choice(text: Column | str, letters: str = "ABCD") -> Column:
-    """The letter of the last 'Answer: X' or \\boxed{X}; an 'A' that goes on as an article does not count."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?:(?i:answer)\s*:?\s*\(?|\\boxed\{{\s*(?:\\text\{{)?)([{letters}])(?![A-Za-z0-9_])(?!\s+[a-z])"), F.lit(1))
-    return F.try_element_at(found, F.lit(-1))
+def last_choice(text: Column | str) -> Column:
+    """The letter of the last answer, bold or in brackets or not, or \\boxed{}; an 'A' before a lower-case word is an article."""
+    plain = F.regexp_replace(text, rf"({ANSWER})A(?=\s+[a-z])", "$1a")
+    found = F.regexp_extract_all(plain, F.lit(rf"{ANSWER}[A-D](?![A-Za-z0-9])|{BOXED_LETTER}"), F.lit(0))
+    return F.regexp_extract(F.try_element_at(found, F.lit(-1)), r"([A-D])[^A-D]*$", 1)
 
 
 def only_match(text: Column | str, pattern: str) -> Column:
@@ -67,3 +79,36 @@ def between_markers(text: Column | str, start: str, end: str) -> Column:
     plain = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r\n?", "\n")
     inner = F.regexp_extract(plain, rf"(?s){start}[^\n]*\n(.*?)(?:\n[^\n]*{end}|\z)", 1)
     return F.trim(F.when(inner != "", inner).otherwise(plain))
+
+
+def letters_and_digits(text: Column | str, by: str = " ") -> Column:
+    """Lower-case runs of ASCII letters and digits, joined by ``by``; with "" all in one."""
+    plain = F.regexp_replace(F.lower(text), "[^a-z0-9]+", by)
+    return F.trim(plain) if by == " " else F.regexp_replace(plain, f"^{by}+|{by}+$", "") if by else plain
+
+
+def title_core(title: Column | str) -> Column:
+    """A title up to a colon or semicolon, without the article before it."""
+    return F.regexp_replace(letters_and_digits(F.regexp_extract(title, "^[^;:]*", 0)), "^(the|a|an) ", "")
+
+
+def sentences(text: Column | str) -> Column:
+    """A text split at white space after an end of sentence."""
+    return F.split(text, r"(?<=[.!?])\s+")
+
+
+def byte_slice(text: str, percent: str, size: int) -> Column:
+    """(start, bytes, decoded) of ``size`` bytes after the first line break at or behind a share of the text's bytes; what is no
+    whole character there is decoded as U+FFFD. Null without a line break."""
+    @F.pandas_udf("start long, bytes binary, decoded string")
+    def cut(texts: pd.Series, shares: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, f in zip(texts, shares):
+            raw = b"" if t is None else t.encode()
+            at = raw.find(b"\n", len(raw) * f // 100) + 1
+            part = raw[at : at + size]
+            out.append((at, part, part.decode(errors="replace")) if at else (None, None, None))
+        return pd.DataFrame(out, columns=["start", "bytes", "decoded"]).astype({"start": "Int64"})
+
+    found = cut(text, percent)
+    return F.when(found["start"].isNotNull(), found)

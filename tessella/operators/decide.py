@@ -38,3 +38,53 @@ def greedy(costs: list[tuple[str, float]], budget: float) -> list[str]:
             out.append(name)
             budget -= cost
     return out
+
+
+def diagnostics(m: Column, rule: dict[str, float], binding: str = "calibrated") -> Column:
+    """(branch, arms, stop) of one row of metrics m: an instrument that fails on the reference arm stops everything; else how
+    well answers are bound, and whether knowledge shows without options, choose the arms of the next experiment.
+
+    ``binding`` names the accuracy that the reference arm is held against; with "raw", only the floor moves.
+    """
+    broken = (m[f"reference_{binding}"] < rule["reference_binding"]) | (m["reference_pairwise"] < rule["reference_pairwise"])
+    knows = F.greatest(m["cloze_chat_low"], m["cloze_raw_low"]) > rule["knowledge_low"]
+    informative = F.greatest(m["reference_cloze_chat_low"], m["reference_cloze_raw_low"]) > rule["informative_low"]
+    rising = ((m["letter_rise"] >= rule["rise"]) & (m["letter_rise_low"] > 0)) | ((m["cloze_rise"] >= rule["rise"]) & (m["cloze_rise_low"] > 0))
+    intact = m["binding"] >= rule["intact"]
+    branch = F.when(broken, "harness_invalid").when(m["binding"] < rule["broken"], "readout_broken").when(intact & ~informative, "ambiguous").when(intact & ~knows, "knowledge_lost").when(intact, "closed_book_readout").otherwise("ambiguous")
+    arms = F.when(branch == "harness_invalid", F.array().cast("array<string>")).when(branch == "knowledge_lost", F.array(F.lit("U"), F.lit("B"))).otherwise(F.array(F.lit("M"), F.lit("U")))
+    arms = F.when(rising & (branch != "harness_invalid"), F.array_union(arms, F.array(F.lit("B")))).otherwise(arms)
+    return F.struct(branch.alias("branch"), arms.alias("arms"), (branch == "harness_invalid").alias("stop"))
+
+
+def factorial(arms: Column, branch: Column) -> Column:
+    """The recommendation from an array of arms (arm, effect, book_gain, costs_ok, recovered, fresh_confirmed, ladder, pairwise),
+    and the winning arms, the greatest pairwise score first."""
+    wins = F.filter(arms, lambda a: a["recovered"] & a["fresh_confirmed"] & a["costs_ok"])
+    winners = F.transform(F.sort_array(F.transform(wins, lambda a: F.struct((-a["pairwise"]).alias("k"), a["arm"].alias("arm")))), lambda x: x["arm"])
+    effect = lambda *names: F.exists(arms, lambda a: a["arm"].isin(*names) & a["effect"])
+    ladder = (branch == "knowledge_lost") & F.exists(arms, lambda a: (a["arm"] == "B") & (a["effect"] | a["ladder"])) & ~effect("U", "MU")
+    any_ = F.exists(arms, lambda a: a["effect"] | a["book_gain"])
+    found = F.when(F.size(winners) > 0, "rent_with_recipe").when(effect("M", "MU"), "iterate_on_choices").when(ladder, "rent_token_ladder").when(any_, "iterate").otherwise("stop")
+    return F.struct(found.alias("recommendation"), winners.alias("winners"))
+
+
+def dose(effect: Column, low: Column, high: Column, least: float, corroborated: Column, affordable: Column, floor: Column) -> Column:
+    """Increase where a material effect holds elsewhere, is affordable and above the floor; keep where it is worse or open."""
+    material = (effect >= least) & (low > 0)
+    return F.when(material & corroborated & affordable & floor, "increase").when(high < 0, "keep_worse").otherwise("keep_inconclusive")
+
+
+def robustness(variants: Column, original: str, gain_low: float, share: float, at_least: int) -> Column:
+    """One of four verdicts from an array of variants (variant, sane, mean, low): all sane variants but the original must gain,
+    by a share of the original's gain; variants that are not sane do not count."""
+    of = F.get(F.filter(variants, lambda v: v["variant"] == original), F.lit(0))
+    sane = F.filter(variants, lambda v: (v["variant"] != original) & v["sane"])
+    hold = F.forall(sane, lambda v: (v["low"] > gain_low) & (v["mean"] >= share * of["mean"]))
+    open_ = (of["low"] <= gain_low) | (F.size(sane) < at_least)
+    return F.when(~F.coalesce(of["sane"], F.lit(False)), "harness_invalid").when(open_, "inconclusive").when(hold, "robust").otherwise("not_robust")
+
+
+def gap_closed(arm: Column, low: Column, high: Column, tolerance: float) -> Column:
+    """The share of the gap between two references that an arm closes, null where there is none above the tolerance."""
+    return F.when(F.abs(high - low) > tolerance, (arm - low) / (high - low))

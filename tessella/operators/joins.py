@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast; beyond, the join is left to Spark's shuffled joins.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side is broadcast; beyond, the join is left to Spark's shuffled joins.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``rows`` rows, which are counted no further than that."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most ``rows`` rows, counted no further than that, of at most ``size`` bytes."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema), F.lit(16))
+    n, found = df.select(width.alias("w")).limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and found <= size else df
 
 
 def complete_cases(scores: DataFrame, item: str, arm: str, score: str, arms: list) -> DataFrame:
@@ -39,3 +41,11 @@ def differing_rows(a: DataFrame, b: DataFrame, ignore: list[str]) -> DataFrame:
     columns = [c for c in a.columns if c not in ignore]
     one = a.select(*columns).exceptAll(b.select(*columns)).withColumn("side", F.lit("left"))
     return one.unionAll(b.select(*columns).exceptAll(a.select(*columns)).withColumn("side", F.lit("right")))
+
+
+def annotated_differences(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Keys of rows that differ, or lack on one side, but for one column; and by how much that column differs where both have it."""
+    rest = [c for c in a.columns if c not in (*key, value)]
+    left = a.select(*key, F.struct(*rest).alias("_l"), F.col(value).alias("_a"))
+    right = b.select(*key, F.struct(*rest).alias("_r"), F.col(value).alias("_b"))
+    return left.join(right, key, "full_outer").select(*key, (~F.col("_l").eqNullSafe(F.col("_r"))).alias("differs"), F.abs(F.col("_a") - F.col("_b")).alias("delta"))

@@ -21,8 +21,8 @@ def multi_measure(spark, sf_dir):
 @query("""SELECT p_brand, p_type, grouping(p_brand)::INTEGER AS no_brand, grouping(p_type)::INTEGER AS no_type, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part GROUP BY GROUPING SETS ((), (p_brand), (p_type))""")
 def grouping_levels(spark, sf_dir):
     """One accumulator over all, by one key and by another."""
-    table(spark, sf_dir, "part").createOrReplaceTempView("tessella_part")
-    return spark.sql("SELECT p_brand, p_type, CAST(grouping(p_brand) AS INT) AS no_brand, CAST(grouping(p_type) AS INT) AS no_type, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM tessella_part GROUP BY GROUPING SETS ((), (p_brand), (p_type))")
+    sets = table(spark, sf_dir, "part").groupingSets([[], [F.col("p_brand")], [F.col("p_type")]], F.col("p_brand"), F.col("p_type"))
+    return sets.agg(F.grouping("p_brand").cast("int").alias("no_brand"), F.grouping("p_type").cast("int").alias("no_type"), F.count(F.lit(1)).alias("n"), R(F.avg("p_retailprice")).alias("price"))
 
 
 @query("""SELECT event_type, round(median(value), 6) AS median, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95, round(stddev_samp(value), 6) AS sd, round(min(value), 6) AS least, round(max(value), 6) AS most, count(*) FILTER (value > 100) AS over_100, bool_and(value > 0) AS all_positive, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")

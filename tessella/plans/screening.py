@@ -140,7 +140,7 @@ def tfidf_screen(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT c.conv_id, c.turn, list_filter(string_split_regex(regexp_replace(translate(lower(c.text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+'), lambda x: x <> '') AS w FROM conversations c WHERE role IN ('user', 'assistant')),
+WITH t AS (SELECT c.conv_id, c.turn, list_filter(string_split_regex(regexp_replace(regexp_replace(translate(lower(c.text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '(^|[^\p{L}\p{N}_])(a|an|the)([^\p{L}\p{N}_]|$)', '\1 \3', 'g'), '(^|[^\p{L}\p{N}_])(a|an|the)([^\p{L}\p{N}_]|$)', '\1 \3', 'g'), '\s+'), lambda x: x <> '') AS w FROM conversations c WHERE role IN ('user', 'assistant')),
 a AS (SELECT conv_id, turn, unnest(w) AS x FROM t), k AS (SELECT conv_id, turn, x, count(*) AS c FROM a GROUP BY ALL),
 s AS (SELECT conv_id, turn, len(w) AS n FROM t),
 o AS (SELECT p.conv_id, p.turn, sum(least(p.c, q.c)) AS same FROM k p JOIN k q ON p.conv_id = q.conv_id AND q.turn = p.turn + 1 AND p.x = q.x GROUP BY ALL)
