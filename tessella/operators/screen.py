@@ -53,10 +53,11 @@ def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def greatest_cosine(weights: DataFrame, key: str, reference: Column) -> DataFrame:
-    """For each row that is no reference, its greatest cosine with a reference; by shared terms, never all pairs."""
+    """For each row that is no reference, its greatest cosine with a reference; by shared terms, never all pairs. Spark broadcasts the
+    references' terms where it finds them small as it runs."""
     refs = weights.where(reference).select(F.col(key).alias("_ref"), "term", F.col("w").alias("_v"))
     rest = weights.where(~reference)
-    dots = rest.join(bounded(refs), "term").groupBy(key, "_ref").agg(F.sum(F.col("w") * F.col("_v")).alias("dot"))
+    dots = rest.join(refs, "term").groupBy(key, "_ref").agg(F.sum(F.col("w") * F.col("_v")).alias("dot"))
     best = dots.groupBy(key).agg(F.max("dot").alias("cosine"))
     return rest.select(key).distinct().join(best, key, "left").na.fill(0.0, ["cosine"])
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import stats
 from tessella.operators import decide, joins
-from tessella.plans.registry import ORACLE_SQL, QUERIES, query, table
+from tessella.plans import screening
+from tessella.plans.registry import ORACLE_SQL, query, table
 
 R = lambda c, n=6: F.round(c, n)
 #: Degrees of freedom up to which Student's critical values are tabled; beyond them the normal value serves.
@@ -66,12 +67,12 @@ def best_position(spark, sf_dir):
     return c.join(F.broadcast(every)).select("position", "hits", R(F.col("hits") / F.col("all"), 9).alias("share"), R("chance", 9).alias("chance"))
 
 
-@query(f"""WITH b AS ({ORACLE_SQL["contamination_fractions"]}), f AS (SELECT doc_id, fraction FROM b)
-SELECT count(*) AS n, count(*) FILTER (fraction > 0) AS some, count(*) FILTER (fraction > 0.3) AS over_30, count(*) FILTER (fraction > 0.5) AS over_50, round(max(fraction), 6) AS most, round(avg(fraction), 6) AS mean, (SELECT string_agg(doc_id, ' ' ORDER BY fraction DESC, doc_id DESC) FROM (SELECT * FROM f ORDER BY fraction DESC, doc_id DESC LIMIT 3)) AS top FROM f""")
+@query(f"""WITH b AS ({ORACLE_SQL["contamination_fractions"]}), f AS (SELECT item_id, fraction FROM b)
+SELECT count(*) AS n, count(*) FILTER (fraction > 0) AS some, count(*) FILTER (fraction > 0.3) AS over_30, count(*) FILTER (fraction > 0.5) AS over_50, round(max(fraction), 6) AS most, round(avg(fraction), 6) AS mean, (SELECT string_agg(item_id, ' ' ORDER BY fraction DESC, item_id DESC) FROM (SELECT * FROM f ORDER BY fraction DESC, item_id DESC LIMIT 3)) AS top FROM f""")
 def contamination_summary(spark, sf_dir):
     """How many texts share word grams at all, over 30 and over 50 %; the greatest and mean share; and the three worst."""
-    f = QUERIES["contamination_fractions"](spark, sf_dir).select("doc_id", "fraction")
-    top = f.orderBy(F.desc("fraction"), F.desc("doc_id")).limit(3).agg(F.sort_array(F.collect_list(F.struct("fraction", "doc_id")), False)["doc_id"].alias("t"))
+    f = screening.contamination_fractions(spark, sf_dir).select("item_id", "fraction")
+    top = f.orderBy(F.desc("fraction"), F.desc("item_id")).limit(3).agg(F.sort_array(F.collect_list(F.struct("fraction", "item_id")), False)["item_id"].alias("t"))
     v = F.col("fraction")
     found = f.agg(F.count(F.lit(1)).alias("n"), F.count_if(v > 0).alias("some"), F.count_if(v > 0.3).alias("over_30"), F.count_if(v > 0.5).alias("over_50"), R(F.max(v)).alias("most"), R(F.avg(v)).alias("mean"))
     return found.join(F.broadcast(top)).select("*", F.array_join(F.transform("t", lambda x: x.cast("string")), " ").alias("top")).drop("t")

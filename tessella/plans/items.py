@@ -230,9 +230,9 @@ def span_cases(spark, sf_dir):
     return k.select("doc_id", "h", "i", "p", part((begin + 1).cast("int"), (F.col("p") - begin).cast("int")).alias("history"), part((F.col("p") + 1).cast("int"), F.lit(16)).alias("measured"))
 
 
-@query(r"""WITH b AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL AND contains(text, chr(10))), f AS (SELECT doc_id, x, n, f, (n * f // 100) AS at FROM b, (VALUES (25), (65)) v(f)),
-l AS (SELECT doc_id, f, n, at, x, regexp_extract(x[2 * at + 1:], '^((?:[1-9A-F][0-9A-F]|0[0-9B-F])*)0A', 1) AS skipped, regexp_matches(x[2 * at + 1:], '^(?:[1-9A-F][0-9A-F]|0[0-9B-F])*0A') AS found FROM f)
-SELECT doc_id, f, (at + length(skipped) // 2 + 1)::BIGINT AS start, sha256(unhex(x[2 * (at + length(skipped) // 2 + 1) + 1:2 * (at + length(skipped) // 2 + 1 + 64)])) AS slice FROM l WHERE found""")
+@query(r"""WITH b AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL AND contains(text, chr(10))), f AS (SELECT doc_id, x, n, f, (n * f // 100) AS p FROM b, (VALUES (25), (65)) v(f)),
+l AS (SELECT doc_id, f, n, p, x, regexp_extract(x[2 * p + 1:], '^((?:[1-9A-F][0-9A-F]|0[0-9B-F])*)0A', 1) AS skipped, regexp_matches(x[2 * p + 1:], '^(?:[1-9A-F][0-9A-F]|0[0-9B-F])*0A') AS found FROM f)
+SELECT doc_id, f, (p + length(skipped) // 2 + 1)::BIGINT AS start, sha256(unhex(x[2 * (p + length(skipped) // 2 + 1) + 1:2 * (p + length(skipped) // 2 + 1 + 64)])) AS slice FROM l WHERE found""")
 def byte_slices(spark, sf_dir):
     """64 bytes after the next line break behind a quarter and behind 65 % of a text's bytes."""
     docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("\n"))).withColumn("f", F.explode(F.array(F.lit(25), F.lit(65))))

@@ -13,13 +13,14 @@ from tessella.plans.registry import query, table
 @query(r"""
 WITH t AS (SELECT doc_id, list_concat(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ['<eos>']) AS t FROM documents),
 o AS (SELECT *, coalesce(sum(len(t)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM t),
-e AS (SELECT start + i - 1 AS pos, t[i] AS token FROM (SELECT start, t, unnest(range(1, len(t) + 1)) AS i FROM o WHERE start < 50000)),
-s AS (SELECT pos // 1024 AS seq, list(token ORDER BY pos) AS tokens FROM e WHERE pos < 50000 GROUP BY 1)
+e AS (SELECT start + i - 1 AS pos, t[i] AS token FROM (SELECT start, t, unnest(range(1, len(t) + 1)) AS i FROM o WHERE start < (SELECT sum(len(t)) // 2 FROM t))),
+s AS (SELECT pos // 1024 AS seq, list(token ORDER BY pos) AS tokens FROM e WHERE pos < (SELECT sum(len(t)) // 2 FROM t) GROUP BY 1)
 SELECT seq, len(tokens)::INTEGER AS n, sha256(array_to_string(tokens, ' ')) AS digest FROM s""")
 def pack_sequences(spark, sf_dir):
-    """Words of all documents in order, each ended, in sequences of 1024 up to a budget of 50,000."""
+    """Words of all documents in order, each ended, in sequences of 1024 up to half of all tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w"))
-    s = packing.sequences(docs, "doc_id", "w", 1024, 50_000, "<eos>")
+    budget = (docs.agg(F.coalesce(F.sum(F.size("w") + 1), F.lit(0))).first()[0]) // 2
+    s = packing.sequences(docs, "doc_id", "w", 1024, budget, "<eos>")
     return s.select("seq", F.size("tokens").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("digest"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import stats
 from tessella.functions import vectors as V
 from tessella.operators import joins, resample
+from tessella.operators.packing import offsets
 from tessella.plans.registry import query, table
 
 R = lambda c, n=6: F.round(c, n)
@@ -99,13 +100,13 @@ BOOT = "range(0, {b}) r(rep), range(0, (SELECT count(*) FROM v)) i(i)"
 HASH = "('0x' || substr(sha256('{s}:' || rep || ':' || i), 1, 8))::BIGINT"
 
 
-@query(f"""WITH v AS (SELECT c_custkey AS place, c_acctbal AS x FROM customer WHERE c_custkey < 100),
+@query(f"""WITH v AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS place, c_acctbal AS x FROM customer),
 d AS (SELECT rep, {HASH.format(s='b1')} % (SELECT count(*) FROM v) AS place FROM {BOOT.format(b=100)}), m AS (SELECT rep, avg(x) AS m FROM d JOIN v USING (place) GROUP BY rep), s AS (SELECT list(m ORDER BY m) AS m FROM m)
 SELECT round(m[3], 4) AS low, round(m[98], 4) AS high FROM s""")
 def bootstrap_interval(spark, sf_dir):
-    """Interval of a mean from resamples by a portable hash, by a fixed place of the sorted means. The hundred resampled
-    values are what the interval is asked for."""
-    v = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("place"), F.col("c_acctbal").alias("x"))
+    """Interval of a mean from resamples by a portable hash, by a fixed place of the sorted means."""
+    v = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.lit(1).alias("one"))
+    v = offsets(v, "c_custkey", "one").withColumnRenamed("start", "place")
     s = resample.rank_interval(resample.bootstrap_means(v, "place", "x", "b1", 100), 2, 97)
     return s.select(R("low", 4).alias("low"), R("high", 4).alias("high"))
 

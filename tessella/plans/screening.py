@@ -120,7 +120,7 @@ def top_openings(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT 'd' || doc_id AS k, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'b' || item_id, text FROM benchmark),
+WITH t AS (SELECT 'd' || doc_id AS k, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark),
 w AS (SELECT k, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) > 1) AS w FROM t),
 p AS (SELECT k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
 f AS (SELECT k, term, count(*) AS tf FROM p GROUP BY 1, 2),
@@ -132,8 +132,8 @@ c AS (SELECT a.k, b.k AS ref, sum(a.w * b.w) AS dot FROM y a JOIN y b USING (ter
 m AS (SELECT k, max(dot) AS cosine FROM c GROUP BY 1)
 SELECT DISTINCT y.k AS key, round(coalesce(cosine, 0), 6) AS cosine FROM y LEFT JOIN m USING (k) WHERE y.k LIKE 'd%'""")
 def tfidf_screen(spark, sf_dir):
-    """Greatest TF-IDF cosine of every English document with a benchmark item, by shared terms."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
+    """Greatest TF-IDF cosine of every document with a benchmark item, by shared terms."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("key"), "text")
     found = screen.greatest_cosine(screen.tfidf(docs.unionAll(items), "key", "text"), "key", F.col("key").startswith("b"))
     return found.select("key", F.round("cosine", 6).alias("cosine"))
