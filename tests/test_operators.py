@@ -28,7 +28,7 @@ def test_last_choice(spark, text, want):
     assert one(spark, T.last_choice("t"), t=text) == want
 
 
-@pytest.mark.parametrize("text,want", [("is 1,234.5 or $7", "7"), (r"9 \boxed{1{2}3} 4", "1{2}3"), (r"\boxed{$5,000} then 6", "5000"), ("no", None), ("-3", "-3")])
+@pytest.mark.parametrize("text,want", [("is 1,234.5 or $7", "7"), (r"9 \boxed{1{2}3} 4", "3"), (r"\boxed{x} then 7", "7"), (r"\boxed{12 cm}", "12"), (r"\boxed{$5,000} then 6", "5000"), ("no", None), ("-3", "-3")])
 def test_last_number(spark, text, want):
     assert one(spark, T.last_number("t"), t=text) == want
 
