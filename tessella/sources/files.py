@@ -166,7 +166,7 @@ def mentions(path: str, text: str) -> tuple[list[int], str]:
             held += [*x.values(), *x.keys()]
         elif isinstance(x, list):
             held += x
-        elif isinstance(x, bool) or x is None:
+        elif isinstance(x, bool | float) or x is None:
             continue
         elif isinstance(x, int):
             ids.add(x)
