@@ -12,12 +12,13 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(links: DataFrame, work: common.Scratch) -> DataFrame:
+def components(links: DataFrame, work: common.Scratch | None = None) -> DataFrame:
     """(node, root) for every node of links(u, v), where root is the least node of its component.
 
     Each pass is partially aggregated and joins on a node, so that a node with very many links is split by the skew join;
     the number of passes grows with the logarithm of the longest chain. Links of a node to itself are allowed.
     """
+    work = work or common.Scratch(links.sparkSession)
     edges = work.write(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "graph-links")
     before, now = None, _state(edges)
     while now != before and now[0]:

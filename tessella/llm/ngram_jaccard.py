@@ -7,9 +7,13 @@ sets or more matter. The order, rarest first, comes from counts of all shingles
 First each set is compared with highly similar sets of its lists: of the middles of its lists, and of their least sets, the
 one that shares most of its prefix. A list's middle is its set with the most shingles that other sets have too. What these
 comparisons link is a component, whose sets take over each other's answers: no two of them are ever
-compared. Then only those lists stay that hold several components. They are cut into blocks by size, and within a block by
-position; blocks whose sizes or positions rule out enough overlap are skipped as a whole, and so are pairs of one component
-and pairs whose parity bitmaps differ in too many bits. What is left is checked on the sets themselves.
+compared. Then only those lists stay that hold several components. Long ones are cut into cells by size and position, and
+cells whose sizes or positions rule out enough overlap never meet; within a block the same rule skips sub-blocks, and pairs
+of one component and pairs whose parity bitmaps differ in too many bits are skipped too.
+
+What is left is answered by derivation. Each set's lead is, of itself and the sets it is linked with, that with the most
+links. Leads are compared first, and their answers kept with the size of the overlap. For two sets, each of which differs from
+its lead in few known shingles, bounds of their overlap follow: by these alone most are answered, the others are compared.
 
 The result is exact: a skipped pair either cannot reach the threshold or lies within one component. Lists of any length are
 dealt to tasks by pairs of blocks.
@@ -152,9 +156,9 @@ def set_table(docs: DataFrame, words: int, percent: int, work: common.Scratch) -
 CANDIDATES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, work: common.Scratch, name: str) -> DataFrame:
-    """The pairs(u, v) of set names whose sets reach the threshold. The texts of those in pairs travel compressed, which is
-    several times smaller than their sets; sets are made again where two texts meet."""
+def compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, work: common.Scratch, name: str) -> DataFrame:
+    """The pairs(u, v) of set names with the sizes nu and nv of their sets, and that of what is in both. The texts of those in
+    pairs travel compressed, which is several times smaller than their sets; sets are made again where two texts meet."""
     pairs = work.write(pairs, f"{name}-pairs")
     names = pairs.select(F.col("u").alias("x")).unionAll(pairs.select(F.col("v").alias("x"))).distinct()
     wanted = reps.join(names, "x", "left_semi").select("x", "k", "tag")
@@ -168,83 +172,209 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
     def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, large, last, mine = Shingles(words), zstandard.ZstdDecompressor(), None, None
         for part in parts:
-            keep = []
+            sizes = []
             for u, a, b in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
                 if u != last:
                     last, mine = u, find.of(large.decompress(a))
                 its = find.of(large.decompress(b))
-                both = len(np.intersect1d(mine, its, assume_unique=True))
-                keep.append(100 * both >= percent * (len(mine) + len(its) - both))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=CANDIDATES).filter(pa.array(keep, pa.bool_()))
+                sizes.append((len(np.intersect1d(mine, its, assume_unique=True)), len(mine), len(its)))
+            columns = zip(*sizes) if sizes else ([], [], [])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in columns]], names=["u", "v", "both", "nu", "nv"])
 
     schema = pa.schema([("x", pa.int64()), ("text", pa.binary())])
     packed = docs.join(wanted, seeds.KEY).select("x", "text").mapInArrow(lambda parts: common.batches(pack(parts), schema, 2_000), "x long, text binary")
     sets = work.write(packed, f"{name}-texts")
     both = pairs.join(sets.select(F.col("x").alias("u"), F.col("text").alias("a")), "u").join(sets.select(F.col("x").alias("v"), F.col("text").alias("b")), "v")
-    links = work.write(both.select("u", "v", "a", "b").mapInArrow(meet, "u long, v long").distinct(), f"{name}-links")
+    told = both.select("u", "v", "a", "b").mapInArrow(meet, "u long, v long, both long, nu long, nv long").dropDuplicates(["u", "v"])
+    told = work.write(told, f"{name}-compared")
     work.release(sets)
     work.release(pairs)
-    return links
-
-
-def _pairs(left: list, right: list | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of two blocks of one list, or within one, that pass size, position and bitmap; of different components."""
-    width = min(len(r[4]) for r in left + (right or []))
-
-    def columns(rows):
-        x, root, n, pos = (np.array(c, np.int64) for c in zip(*(r[:4] for r in rows)))
-        by = np.lexsort((pos, n))
-        bits = np.stack([fold(np.frombuffer(rows[i][4], np.uint8), width) for i in by]).view(np.uint64)
-        return x[by], root[by], n[by], pos[by], bits
-
-    a = columns(left)
-    b = a if right is None else columns(right)
-    step = 64
-    for i in range(0, len(a[0]), step):
-        x, root, n, pos, bits = (c[i : i + step] for c in a)
-        for j in range(i if right is None else 0, len(b[0]), step):
-            x2, root2, n2, pos2, bits2 = (c[j : j + step] for c in b)
-            # the whole sub-block is out of reach by size, or by position
-            if 100 * n[-1] < percent * n2[0] or 100 * n2[-1] < percent * n[0]:
-                continue
-            need = least_overlap(n[0] + 0, n2[0] + 0, percent)
-            if min(pos.max(), pos2.max()) + 1 + min(n.max() - pos.min(), n2.max() - pos2.min()) - 1 < need:
-                continue
-            need = least_overlap(n[:, None], n2[None], percent)
-            most = np.minimum(pos[:, None], pos2[None]) + 1 + np.minimum((n - pos)[:, None], (n2 - pos2)[None]) - 1
-            ok = (most >= need) & (root[:, None] != root2[None])
-            if not ok.any():
-                continue
-            p, q = np.nonzero(ok)
-            apart = np.bitwise_count(bits[p] ^ bits2[q]).sum(1, dtype=np.int64)
-            near = apart <= n[p] + n2[q] - 2 * need[p, q]
-            u, v = x[p[near]], x2[q[near]]
-            yield np.maximum(u, v), np.minimum(u, v)
+    return told
+
+
+LEVELS = [32 * 4**level for level in range(16)]
+#: The longest group whose pairs are formed together with those of other groups of its length; pairs formed at a time; rows
+#: of a sub-block.
+SHORT, AT_ONCE, STEP = 48, 1 << 19, 64
+
+
+class _Rows:
+    """Rows of whole groups as arrays: x, root, n, pos, and the bitmaps folded to every width below their own."""
+
+    def __init__(self, part: pa.RecordBatch):
+        self.key = np.stack([part.column(i).to_numpy() for i in range(5)])
+        self.side, self.x, self.root, self.n, self.pos = (part.column(i).to_numpy() for i in range(5, 10))
+        bits = part.column(10)
+        at = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        raw, width = np.frombuffer(bits.buffers()[2], np.uint8), np.diff(at)
+        self.level = np.searchsorted(LEVELS, width)
+        #: by level: the bitmaps of that width of the rows that reach it, and the place of each row among them
+        self.folded: list[tuple[np.ndarray, np.ndarray]] = []
+        for level in range(int(self.level.max()), -1, -1):
+            mine = np.flatnonzero(self.level >= level)
+            out = np.empty((len(mine), LEVELS[level]), np.uint8)
+            own = self.level[mine] == level
+            out[own] = raw[at[mine[own]][:, None] + np.arange(LEVELS[level])]
+            if self.folded:
+                out[~own] = np.bitwise_xor.reduce(self.folded[-1][0].view(np.uint8).reshape(-1, 4, LEVELS[level]), axis=1)
+            place = np.zeros(len(width), np.int64)
+            place[mine] = np.arange(len(mine))
+            self.folded.append((out.view(np.uint64), place))
+        self.folded.reverse()
+
+    def passing(self, p: np.ndarray, q: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+        """Of these pairs of rows those of different components that pass size, position and bitmap."""
+        ok = self.root[p] != self.root[q]
+        p, q = p[ok], q[ok]
+        need = least_overlap(self.n[p], self.n[q], percent)
+        ok = np.minimum(self.pos[p], self.pos[q]) + np.minimum(self.n[p] - self.pos[p], self.n[q] - self.pos[q]) >= need
+        p, q, most = p[ok], q[ok], (self.n[p] + self.n[q] - 2 * need)[ok]
+        level = np.minimum(self.level[p], self.level[q])
+        near = np.zeros(len(p), bool)
+        for one in np.unique(level):
+            at = np.flatnonzero(level == one)
+            bits, place = self.folded[one]
+            near[at] = np.bitwise_count(bits[place[p[at]]] ^ bits[place[q[at]]]).sum(1, dtype=np.int64) <= most[at]
+        if near.any():
+            u, v = self.x[p[near]], self.x[q[near]]
+            yield _distinct(u, v)
+
+    def reach(self, a: slice, b: slice, percent: int) -> bool:
+        """Whether sizes and positions of two sub-blocks allow enough overlap, and their components differ."""
+        (n, pos, root), (n2, pos2, root2) = ((c[a] for c in (self.n, self.pos, self.root)), (c[b] for c in (self.n, self.pos, self.root)))
+        if 100 * n.max() < percent * n2.min() or 100 * n2.max() < percent * n.min():
+            return False
+        if min(pos.max(), pos2.max()) + min(n.max() - pos.min(), n2.max() - pos2.min()) < least_overlap(n.min(), n2.min(), percent):
+            return False
+        return not (root[0] == root2[0] and (root == root[0]).all() and (root2 == root[0]).all())
+
+    def pairs(self, percent: int) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.r_[True, (np.diff(self.key, axis=1) != 0).any(0)])
+        size = np.diff(np.r_[starts, len(self.x)])
+        whole = (self.key[1, starts] == self.key[2, starts]) & (self.key[3, starts] == self.key[4, starts])
+        for length in np.unique(size[whole & (size > 1) & (size <= SHORT)]):
+            i, j = np.triu_indices(length, 1)
+            group = starts[whole & (size == length)]
+            some = max(1, AT_ONCE // len(i))
+            for k in range(0, len(group), some):
+                first = group[k : k + some, None]
+                yield from self.passing((first + i).ravel(), (first + j).ravel(), percent)
+        for k in np.flatnonzero(~whole | (size > SHORT)):
+            start, end = int(starts[k]), int(starts[k] + size[k])
+            middle = start if whole[k] else start + int(np.searchsorted(self.side[start:end], 1))
+            for i in range(start, end if whole[k] else middle, STEP):
+                a = slice(i, min(i + STEP, end if whole[k] else middle))
+                for j in range(i if whole[k] else middle, end, STEP):
+                    b = slice(j, min(j + STEP, end))
+                    if self.reach(a, b, percent):
+                        p, q = (c.ravel() for c in np.meshgrid(np.arange(a.start, a.stop), np.arange(b.start, b.stop), indexing="ij"))
+                        yield from self.passing(p[p < q], q[p < q], percent)
+
+
+def _distinct(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=CANDIDATES)
 
 
 def _blocks(percent: int):
-    """Candidates of rows sorted by list, size class and pair of blocks; each group is at most two blocks."""
+    """Candidates of rows(token, a, b, i, j, side, x, root, n, pos, bits) sorted by group and size: one block, or two."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [])
-
-        def flush():
-            if key is not None:
-                one = key[2] == key[3]
-                for u, v in _pairs(held[0], None, percent) if one and len(held[0]) > 1 else _pairs(held[0], held[1], percent) if not one and held[0] and held[1] else ():
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=CANDIDATES)
-
+        held = None
         for part in parts:
-            for token, kind, i, j, side, *row in zip(*(c.to_pylist() for c in part.columns)):
-                if (token, kind, i, j) != key:
-                    yield from flush()
-                    key, held = (token, kind, i, j), ([], [])
-                held[side].append(row)
-        yield from flush()
+            if not part.num_rows:
+                continue
+            table = pa.Table.from_batches([part] if held is None else [held, part]).combine_chunks()
+            part = table.to_batches()[0]
+            key = np.stack([part.column(i).to_numpy() for i in range(5)])
+            last = int(np.flatnonzero((key != key[:, -1:]).any(0))[-1]) + 1 if (key != key[:, -1:]).any() else 0
+            if last:
+                yield from _Rows(part.slice(0, last)).pairs(percent)
+            held = part.slice(last)
+        if held is not None:
+            yield from _Rows(held).pairs(percent)
 
     return run
 
 
+def _dealt(rooted: DataFrame, several: DataFrame, bits: DataFrame, percent: int, work: common.Scratch) -> DataFrame:
+    """Entries of the lists in groups of at most two blocks.
+
+    A list of up to ``BLOCK`` entries is one block. A longer one is cut into cells by size and position in the prefix; cells
+    whose ranges of sizes and positions cannot qualify never meet; a cell of more than ``BLOCK`` entries is dealt by hash.
+    """
+    ratio = F.log(F.lit(100 / percent))
+    size = F.floor(F.log("n") / ratio)
+    place = F.least(F.floor(F.col("pos") * 400 / ((100 - percent) * F.col("n") + 100)), F.lit(3))
+    left = rooted.join(several, "token").join(bits, "x").withColumn("cell", F.when(F.col("length") > BLOCK, size * 4 + place + 1).otherwise(0).cast("long"))
+    left = work.write(left.select("token", "cell", "length", "x", "root", "n", "pos", "bits"), "jaccard-left")
+    zero = F.lit(0).cast("long")
+    short = left.where("cell = 0").select("token", *[zero.alias(c) for c in ("a", "b", "i", "j", "side")], "x", "root", "n", "pos", "bits")
+    long = left.where("cell > 0")
+    cells = long.groupBy("token", "cell").agg(*[f("n").alias(f"n{m}") for m, f in (("0", F.min), ("1", F.max))], *[f("pos").alias(f"p{m}") for m, f in (("0", F.min), ("1", F.max))], F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    cells = work.write(cells, "jaccard-cells")
+    one, two = (cells.select("token", *[F.col(c).alias(f"{side}_{c}") for c in cells.columns if c != "token"]) for side in "ab")
+    meet = one.join(two, "token").where("a_cell <= b_cell AND (a_r0 <> a_r1 OR b_r0 <> b_r1 OR a_r0 <> b_r0)")
+    meet = meet.where(f"100 * a_n1 >= {percent} * b_n0 AND 100 * b_n1 >= {percent} * a_n0")
+    meet = meet.where(f"{100 + percent} * (least(a_p1, b_p1) + least(a_n1 - a_p0, b_n1 - b_p0)) >= {percent} * (a_n0 + b_n0)")
+    meet = work.write(meet.select("token", F.col("a_cell").alias("a"), F.col("b_cell").alias("b"), "a_parts", "b_parts"), "jaccard-meetings")
+    own = F.pmod(F.xxhash64("x"), F.col("own_parts"))
+
+    def side(which: str, other: str, number: int) -> DataFrame:
+        joined = long.join(meet.withColumn("cell", F.col(which)), ["token", "cell"]).withColumn("own_parts", F.col(f"{which}_parts")).withColumn("own", own)
+        joined = joined.withColumn("other", F.explode(F.expr(f"sequence(0L, {other}_parts - 1)")))
+        inside = F.col("a") == F.col("b")
+        if number:
+            joined = joined.where("a <> b")
+            return joined.select("token", "a", "b", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).cast("long").alias("side"), "x", "root", "n", "pos", "bits")
+        i, j = F.when(inside, F.least("own", "other")).otherwise(F.col("own")), F.when(inside, F.greatest("own", "other")).otherwise(F.col("other"))
+        return joined.select("token", "a", "b", i.alias("i"), j.alias("j"), F.when(inside & (F.col("own") > F.col("other")), 1).otherwise(0).cast("long").alias("side"), "x", "root", "n", "pos", "bits")
+
+    every = short.unionAll(side("a", "b", 0)).unionAll(side("b", "a", 1))
+    group = ["token", "a", "b", "i", "j"]
+    return every.repartition(*group).sortWithinPartitions(*group, "side", "n", "pos")
+
+
+def _links(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(f"100 * both >= {percent} * (nu + nv - both)")
+
+
+def _leads(links: DataFrame) -> DataFrame:
+    """(x, lead, lost, gained) for each set with links: of itself and the sets it is linked with, that with the most links; how
+    many shingles of that are not in x, and how many of x are not in that."""
+    ends = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "both", F.col("nv").alias("nu"), F.col("nu").alias("nv")))
+    degree = ends.groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
+    near = ends.join(degree.select(F.col("u").alias("v"), "degree"), "v").select(F.col("u").alias("x"), F.struct("degree", F.col("v").alias("lead"), (F.col("nv") - F.col("both")).alias("lost"), (F.col("nu") - F.col("both")).alias("gained")).alias("best"))
+    self = degree.select(F.col("u").alias("x"), F.struct("degree", F.col("u").alias("lead"), F.lit(0).cast("long").alias("lost"), F.lit(0).cast("long").alias("gained")).alias("best"))
+    return near.unionAll(self).groupBy("x").agg(F.max("best").alias("best")).select("x", "best.lead", "best.lost", "best.gained")
+
+
+def _derived(found: DataFrame, links: DataFrame, sizes: DataFrame, compare, percent: int, work: common.Scratch) -> DataFrame:
+    """Links(u, v) among candidates: leads are compared first; from the answer of two leads follow bounds for the candidates
+    that they lead, which settle most; only the others are compared themselves."""
+    leads = work.write(_leads(links), "jaccard-leads")
+
+    def led(pairs: DataFrame, side: str) -> DataFrame:
+        mine = leads.select(F.col("x").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("lead", "lost", "gained")])
+        out = pairs.join(mine, side, "left").withColumn(f"lead_{side}", F.coalesce(f"lead_{side}", side))
+        return out.fillna(0, [f"lost_{side}", f"gained_{side}"])
+
+    pairs = led(led(found, "u"), "v").withColumn("p", F.greatest("lead_u", "lead_v")).withColumn("q", F.least("lead_u", "lead_v"))
+    pairs = work.write(pairs.select("u", "v", "p", "q", (F.col("lost_u") + F.col("lost_v")).alias("lost"), (F.col("gained_u") + F.col("gained_v")).alias("gained")), "jaccard-led")
+    told = compare(pairs.select(F.col("p").alias("u"), F.col("q").alias("v")).distinct(), "jaccard-leading")
+    first = _links(told, percent).select("u", "v")
+    known = pairs.join(told.select(F.col("u").alias("p"), F.col("v").alias("q"), "both", "nu", "nv"), ["p", "q"])
+    # two leads that are linked join their components: what they lead takes over their answer
+    open_ = known.where(f"100 * both < {percent} * (nu + nv - both)").where("lost + gained > 0")
+    size = lambda side: sizes.select(F.col("x").alias(side), F.col("n").alias(f"n_{side}"))
+    need = f"({percent} * (n_u + n_v))"
+    open_ = open_.join(size("u"), "u").join(size("v"), "v").where(f"{100 + percent} * (both + gained) >= {need}")
+    certain = F.expr(f"{100 + percent} * (both - lost) >= {need}")
+    open_ = work.write(open_.select("u", "v", certain.alias("certain")), "jaccard-open")
+    rest = _links(compare(open_.where("NOT certain").select("u", "v").distinct(), "jaccard-rest"), percent).select("u", "v")
+    return first.unionAll(open_.where("certain").select("u", "v")).unionAll(rest)
+
+
 def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text); k and tag name the row, and leads is whether it is
     the row that stands for its component: that with the smallest doc_id, null the greatest, and then the smallest tag."""
@@ -287,8 +417,9 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
                 keep.append(int(np.bitwise_count(fold(p, size) ^ fold(q, size)).sum(dtype=np.int64)) <= a + b - 2 * least_overlap(a, b, percent))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=CANDIDATES).filter(pa.array(keep, pa.bool_()))
 
-    links = verified(sides.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(near, "u long, v long"), docs, reps, words, percent, work, "jaccard-similar")
-    roots = graph.components(links, work)
+    compare = lambda pairs, name: compared(pairs, docs, reps, words, work, name)
+    links = _links(compare(sides.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(near, "u long, v long"), "jaccard-similar"), percent)
+    roots = graph.components(links.select("u", "v"), work)
 
     # lists that still hold several components, in blocks
     rooted = entries.select("token", "x", "n", "pos").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
@@ -296,16 +427,10 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     work.release(entries)
     several = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("length")).where("a <> b").select("token", "length")
     several = work.write(several, "jaccard-several")
-    ratio = F.log(F.lit(100 / percent))
-    left = rooted.join(several, "token").withColumn("kind", F.floor(F.log("n") / ratio).cast("int")).withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
-    # a set meets its own size class and the next; sizes two classes apart cannot reach the threshold
-    left = left.withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("kind", F.explode(F.expr("array(kind, kind + 1)")))
-    dealt = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).join(sized.select("x", "bits"), "x")
-    dealt = dealt.select("token", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("CAST(own > other AS int)").alias("side"), "x", "root", "n", "pos", "bits")
-    order = ["token", "kind", "i", "j"]
-    found = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_blocks(percent), "u long, v long").distinct()
-    more = verified(found, docs, reps, words, percent, work, "jaccard-rest")
-    roots = graph.components(links.unionAll(more), work)
+    dealt = _dealt(rooted, several, sized.select("x", "bits"), percent, work)
+    found = work.write(dealt.mapInArrow(_blocks(percent), "u long, v long").distinct(), "jaccard-found")
+    more = _derived(found, links, sized.select("x", "n"), compare, percent, work)
+    roots = graph.components(links.select("u", "v").unionAll(more), work)
 
     named = classes.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     named = work.write(named.select("x", "root", "first"), "jaccard-named")
