@@ -6,20 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def offsets(docs: DataFrame, order: str, size: str, groups: int = 64) -> DataFrame:
-    """docs with start: the sum of the sizes before each, in the order of a numeric column.
+#: Rows of a range that are aimed at, and ranges that quantiles cut before each is cut further in even steps.
+RANGE_ROWS, CUTS = 1_000_000, 64
 
-    Two passes: sums of ranges of the order, whose number is fixed, then running sums within ranges. No window spans all.
+
+def range_of(docs: DataFrame, order: str) -> Column:
+    """Number of the range that a row lies in, rising with an integer column; rows without a value come before all.
+
+    Approximate quantiles cut first, so that outlying values do not leave the others in one range; each range is then cut in
+    even steps, whose number grows with the rows.
+    """
+    n, low, high, cuts = docs.agg(F.count(order), F.min(order), F.max(order), F.percentile_approx(order, [i / CUTS for i in range(1, CUTS)], 100 * CUTS)).first()
+    if not n:
+        return F.lit(-1).cast("long")
+    edges = sorted({int(low), *map(int, cuts)})
+    fine = n // (CUTS * RANGE_ROWS) + 1
+    steps = [(after - edge) // fine + 1 for edge, after in zip(edges, [*edges[1:], int(high)])]
+
+    def among(a: int, b: int) -> str:
+        if b - a == 1:
+            return f"{a * fine} + ({order} - {edges[a]}L) div {steps[a]}L"
+        mid = (a + b) // 2
+        return f"IF({order} < {edges[mid]}L, {among(a, mid)}, {among(mid, b)})"
+
+    return F.when(F.col(order).isNull(), F.lit(-1).cast("long")).otherwise(F.expr(among(0, len(edges))))
+
+
+def offsets(docs: DataFrame, order: str, size: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
+    """docs with start: the sum of the sizes before each, in the order of an integer column and what breaks its ties, in all
+    or in each stratum.
+
+    Two passes: sums of ranges of the order, then running sums within ranges. No window spans a whole stratum.
     """
-    bounds = docs.agg(F.min(order), F.max(order)).first()
-    low, high = (0, 0) if bounds[0] is None else (int(bounds[0]), int(bounds[1]))
-    step = (high - low) // groups + 1
-    ranged = docs.withColumn("_range", F.expr(f"CAST(({order} - {low}) div {step} AS int)"))
-    sums = ranged.groupBy("_range").agg(F.sum(size).alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(before.drop("_sum")), "_range")  # at most ``groups`` rows
-    return joined.withColumn("start", F.col("_before") + F.coalesce(F.sum(size).over(w), F.lit(0))).drop("_range", "_before")
+    ranged = docs.withColumn("_range", range_of(docs, order))
+    sums = ranged.groupBy(*by, "_range").agg(F.sum(size).alias("_sum"))
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_range", *[F.col(c).alias(f"_by_{c}") for c in by], F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
+    w = Window.partitionBy(*by, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_range") == F.col("_in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    joined = ranged.join(before.withColumnRenamed("_range", "_in"), same)
+    found = joined.withColumn("start", F.col("_before") + F.coalesce(F.sum(size).over(w), F.lit(0)))
+    return found.drop("_range", "_in", "_before", *[f"_by_{c}" for c in by])
 
 
 def sequences(docs: DataFrame, order: str, tokens: str, length: int, budget: int, end: str) -> DataFrame:

@@ -50,9 +50,7 @@ def ternary_codes(spark, sf_dir):
 SELECT doc_id, source FROM r JOIN n USING (source) WHERE n >= 3 AND i IN (0, (n - 1) // 2, n - 1)""")
 def evenly_spaced(spark, sf_dir):
     """Three evenly spaced rows of each source, by i * (n - 1) div 2."""
-    from pyspark.sql import Window
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    r = docs.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    r = packing.offsets(docs.withColumn("one", F.lit(1)), "doc_id", "one", by=("source",)).withColumnRenamed("start", "i")
     n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     return r.join(n, "source").where("i IN (0, (n - 1) div 2, n - 1)").select("doc_id", "source")

@@ -93,10 +93,12 @@ def stratified_sample(spark, sf_dir):
 SELECT doc_id, lang, ((row_number() OVER (PARTITION BY lang ORDER BY sha256('gold:' || doc_id)) - 1) % 4)::INTEGER AS gold FROM documents""")
 def balanced_assignment(spark, sf_dir):
     """A cyclic label of four for the documents of each language, in hash order."""
-    from pyspark.sql import Window
+    from tessella.operators.packing import offsets
 
-    w = Window.partitionBy("lang").orderBy(F.sha2(F.concat(F.lit("gold:"), F.col("doc_id").cast("string")), 256))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.pmod(F.row_number().over(w) - 1, F.lit(4)).alias("gold"))
+    digest = F.sha2(F.concat(F.lit("gold:"), F.col("doc_id").cast("string")), 256)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(1).alias("one"), digest.alias("digest"))
+    placed = offsets(docs.withColumn("key", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")), "key", "one", ("lang",), ("digest",))
+    return placed.select("doc_id", "lang", F.pmod("start", F.lit(4)).cast("int").alias("gold"))
 
 
 @query("""SELECT bin, count(*) AS n FROM (SELECT CASE WHEN w < 100 THEN '0-100' WHEN w < 400 THEN '100-400' ELSE '400+' END AS bin FROM (SELECT len(regexp_extract_all(text, '\\S+')) AS w FROM documents)) GROUP BY bin""")

@@ -218,3 +218,21 @@ def test_hadamard_is_its_own_inverse():
     assert np.allclose(hadamard(hadamard(x)), x) and np.allclose((hadamard(x) ** 2).sum(), (x**2).sum())
     with pytest.raises(ValueError):
         hadamard(np.ones(6))
+
+
+def test_offsets_by_stratum_with_outliers_and_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 1)
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", None]), i * 3, r.randrange(9)) for i in range(700)] + [("a", 10**15, 4), ("b", -(10**12), 2), ("a", None, 5)]
+    r.shuffle(rows)
+    frame = spark.createDataFrame(rows, "by string, i long, n long").repartition(5)
+    ordered = sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0))
+    for by in ((), ("by",)):
+        sums, want = {}, []
+        for b, i, n in ordered:
+            key = b if by else 0
+            want.append((str(b), str(i), n, sums.get(key, 0)))
+            sums[key] = sums.get(key, 0) + n
+        got = [(str(x.by), str(x.i), x.n, x.start) for x in packing.offsets(frame, "i", "n", by).collect()]
+        assert sorted(got) == sorted(want)
+    assert packing.offsets(frame.limit(0), "i", "n", ("by",)).count() == 0
