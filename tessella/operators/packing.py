@@ -11,29 +11,35 @@ RANGE_ROWS, CUTS = 1_000_000, 64
 
 
 def range_of(docs: DataFrame, order: str) -> Column:
-    """Number of the range that a row lies in, rising with an integer column; rows without a value come before all.
+    """Number of the range that a row lies in, rising with a numeric column; nulls and what is infinitely small come before
+    all ranges, what is infinitely great or no number after them.
 
     Approximate quantiles cut first, so that outlying values do not leave the others in one range; each range is then cut in
     even steps, whose number grows with the rows.
     """
-    n, low, high, cuts = docs.agg(F.count(order), F.min(order), F.max(order), F.percentile_approx(order, [i / CUTS for i in range(1, CUTS)], 100 * CUTS)).first()
-    if not n:
-        return F.lit(-1).cast("long")
-    edges = sorted({int(low), *map(int, cuts)})
+    whole = dict(docs.dtypes)[order] in ("tinyint", "smallint", "int", "bigint")
+    kind, number, end = ("bigint", int, "L") if whole else ("double", float, "D")
+    value = F.col(order).cast(kind)
+    finite = F.when(F.abs(value.cast("double")) < F.lit(float("inf")), value)
+    n, low, high, cuts = docs.agg(F.count(finite), F.min(finite), F.max(finite), F.percentile_approx(finite, [i / CUTS for i in range(1, CUTS)], 100 * CUTS)).first()
+    edges = sorted({number(low), *map(number, cuts)}) if n else [number(0)]
     fine = n // (CUTS * RANGE_ROWS) + 1
-    steps = [(after - edge) // fine + 1 for edge, after in zip(edges, [*edges[1:], int(high)])]
+    widths = [after - edge for edge, after in zip(edges, [*edges[1:], number(high or 0)])]
 
     def among(a: int, b: int) -> str:
         if b - a == 1:
-            return f"{a * fine} + ({order} - {edges[a]}L) div {steps[a]}L"
+            past = f"(CAST({order} AS {kind}) - {edges[a]}{end})"
+            step = f"{past} div {widths[a] // fine + 1}L" if whole else f"least({fine - 1}, floor({past} / {widths[a] / fine or 1.0}D))"
+            return f"{a * fine} + {step}"
         mid = (a + b) // 2
-        return f"IF({order} < {edges[mid]}L, {among(a, mid)}, {among(mid, b)})"
+        return f"IF({order} < {edges[mid]}{end}, {among(a, mid)}, {among(mid, b)})"
 
-    return F.when(F.col(order).isNull(), F.lit(-1).cast("long")).otherwise(F.expr(among(0, len(edges))))
+    before = F.col(order).isNull() | (value.cast("double") == F.lit(float("-inf")))
+    return F.when(before, F.lit(-1)).when(finite.isNull(), F.lit(len(edges) * fine)).otherwise(F.expr(among(0, len(edges)))).cast("long")
 
 
 def offsets(docs: DataFrame, order: str, size: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
-    """docs with start: the sum of the sizes before each, in the order of an integer column and what breaks its ties, in all
+    """docs with start: the sum of the sizes before each, in the order of a numeric column and what breaks its ties, in all
     or in each stratum.
 
     Two passes: sums of ranges of the order, then running sums within ranges. No window spans a whole stratum.

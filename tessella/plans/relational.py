@@ -27,9 +27,12 @@ def grouping_levels(spark, sf_dir):
 
 @query("""SELECT event_type, round(median(value), 6) AS median, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95, round(stddev_samp(value), 6) AS sd, round(min(value), 6) AS least, round(max(value), 6) AS most, count(*) FILTER (value > 100) AS over_100, bool_and(value > 0) AS all_positive, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
 def exact_quantiles(spark, sf_dir):
-    v = F.col("value")
-    p = F.percentile(v, F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95)))
-    s = table(spark, sf_dir, "events").groupBy("event_type").agg(p.alias("p"), R(F.stddev_samp(v), 6).alias("sd"), R(F.min(v), 6).alias("least"), R(F.max(v), 6).alias("most"), F.count_if(v > 100).alias("over_100"), F.every(v > 0).alias("all_positive"), F.countDistinct("user_id").alias("users"))
+    from tessella.operators.quantiles import quantiles
+
+    v, events = F.col("value"), table(spark, sf_dir, "events")
+    s = events.groupBy("event_type").agg(R(F.stddev_samp(v), 6).alias("sd"), R(F.min(v), 6).alias("least"), R(F.max(v), 6).alias("most"), F.count_if(v > 100).alias("over_100"), F.every(v > 0).alias("all_positive"), F.countDistinct("user_id").alias("users"))
+    p = quantiles(events, "value", [0.5, 0.05, 0.95], ("event_type",), "p").withColumnRenamed("event_type", "type")
+    s = s.join(p, F.col("event_type").eqNullSafe(F.col("type")), "left")
     return s.select("event_type", *[R(F.col("p")[i], 6).alias(n) for i, n in enumerate(("median", "p05", "p95"))], "sd", "least", "most", "over_100", "all_positive", "users")
 
 

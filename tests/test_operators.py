@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessella.functions import codes, stats
 from tessella.functions import text as T
 from tessella.functions import vectors as V
-from tessella.operators import decide, joins, ledger, packing, provenance, resample, screen
+from tessella.operators import decide, joins, ledger, packing, provenance, quantiles, resample, screen
 from tessella.sources import scores, tensors
 from tessella.streaming import journal
 
@@ -236,3 +236,29 @@ def test_offsets_by_stratum_with_outliers_and_many_ranges(spark, monkeypatch):
         got = [(str(x.by), str(x.i), x.n, x.start) for x in packing.offsets(frame, "i", "n", by).collect()]
         assert sorted(got) == sorted(want)
     assert packing.offsets(frame.limit(0), "i", "n", ("by",)).count() == 0
+
+
+def test_offsets_over_any_number(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 1)
+    r = random.Random(9)
+    values = [r.gauss(0, 1) ** 9 for _ in range(500)] + [float("inf"), float("-inf"), float("nan"), 1e300, -1e300, 0.0, None]
+    frame = spark.createDataFrame([(x, 2) for x in values], "x double, n long").repartition(4)
+    rank = lambda x: (0, 0.0) if x is None else (2, 0.0) if x != x else (1, x)
+    got = [x.start for x in sorted(packing.offsets(frame, "x", "n").collect(), key=lambda x: rank(x.x))]
+    assert got == [2 * i for i in range(len(values))]
+
+
+def test_quantiles_are_those_of_sorted_values(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 1)
+    r, shares = random.Random(10), [0.5, 0.0, 0.05, 1.0, 0.333]
+    rows = [(r.choice(["a", "b", None]), r.choice([float(r.randrange(5)), r.gauss(0, 1) ** 7, None])) for _ in range(900)] + [("one", 4.5), ("none", None)]
+    frame = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {x.g: x.q for x in quantiles.quantiles(frame, "x", shares, ("g",)).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for g in got:
+        some = sorted(x for k, x in rows if k == g and x is not None)
+        at = [p * (len(some) - 1) for p in shares]
+        assert got[g] == pytest.approx([some[int(h)] + (some[math.ceil(h)] - some[int(h)]) * (h - int(h)) for h in at])
+    every = sorted(x for _, x in rows if x is not None)
+    assert quantiles.quantiles(frame, "x", [0.0, 1.0]).first().q == [every[0], every[-1]]
+    assert quantiles.quantiles(frame.limit(0), "x", [0.5], ("g",)).count() == 0 == quantiles.quantiles(frame.limit(0), "x", [0.5]).count()
