@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import codes
 from tessella.functions import text as T
 from tessella.operators import packing
-from tessella.plans.registry import query, table
+from tessella.plans.registry import query, spread, table
 
 
 @query(r"""
@@ -18,7 +18,7 @@ s AS (SELECT pos // 1024 AS seq, list(token ORDER BY pos) AS tokens FROM e WHERE
 SELECT seq, len(tokens)::INTEGER AS n, sha256(array_to_string(tokens, ' ')) AS digest FROM s""")
 def pack_sequences(spark, sf_dir):
     """Words of all documents in order, each ended, in sequences of 1024 up to half of all tokens."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.words("text").alias("w"))
     budget = (docs.agg(F.coalesce(F.sum(F.size("w") + 1), F.lit(0))).first()[0]) // 2
     s = packing.sequences(docs, "doc_id", "w", 1024, budget, "<eos>")
     return s.select("seq", F.size("tokens").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("digest"))

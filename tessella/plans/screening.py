@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import screen
-from tessella.plans.registry import query, table
+from tessella.plans.registry import query, spread, table
 
 W = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
 GRAMS = "list_transform(range(1, len({0}) - 11), lambda i: array_to_string({0}[i:i+12], ' '))"
@@ -23,7 +23,7 @@ SELECT d.doc_id, coalesce(n_grams, 0)::BIGINT AS n_grams, coalesce(hits, 0)::BIG
 FROM d LEFT JOIN o USING (doc_id) LEFT JOIN x ON array_to_string(w, ' ') = x.t""")
 def screen_reasons(spark, sf_dir):
     """Word 13-gram decontamination: overlap counts and the first reason to drop each document."""
-    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, bench = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark")
     found = screen.overlap(docs, "doc_id", "text", bench, "text")
     exact = bench.select(T.normalize("text").alias("same")).distinct()
     joined = docs.select("doc_id", T.normalize("text").alias("norm")).join(found, "doc_id", "left").join(screen.bounded(exact), F.col("norm") == F.col("same"), "left")
@@ -41,7 +41,7 @@ def contamination_fractions(spark, sf_dir):
     items' grams before anything is shuffled."""
     items = screen.grams(table(spark, sf_dir, "benchmark"), "item_id", "text", 13)
     wanted = screen.bounded(items.select("gram").distinct())
-    seen = screen.grams(table(spark, sf_dir, "documents"), "doc_id", "text", 13).select("gram").join(wanted, "gram", "left_semi").distinct()
+    seen = screen.grams(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", 13).select("gram").join(wanted, "gram", "left_semi").distinct()
     f = items.join(seen.withColumn("hit", F.lit(1)), "gram", "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_grams"), F.count("hit").alias("hits"))
     n, h = F.col("n_grams"), F.col("hits")
     return f.select("item_id", n, h, F.round(h / n, 9).alias("fraction"), (h > 0).alias("any_hit"), (h > 0.3 * n).alias("over_30"), (h > 0.5 * n).alias("over_50"))
@@ -53,7 +53,7 @@ s AS (SELECT *, ok AND doc_id = min(doc_id) FILTER (ok) OVER (PARTITION BY norm)
 SELECT doc_id, CASE WHEN NOT ok THEN 'length' WHEN NOT first THEN 'duplicate' ELSE 'kept' END AS reason FROM s""")
 def dedupe_first_seen(spark, sf_dir):
     """Normalised texts, first seen stays; a text that the length bounds reject was never seen."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.words("text").alias("w"))
     docs = docs.select("doc_id", F.sha2(F.array_join("w", " "), 256).alias("norm"), F.size("w").between(24, 384).alias("ok"))
     seen = screen.first_seen(docs, "norm", "doc_id", F.col("ok"))
     return seen.select("doc_id", screen.first_reason([("length", ~F.col("ok")), ("duplicate", ~F.col("_first"))]).alias("reason"))
@@ -135,7 +135,7 @@ m AS (SELECT k, max(dot) AS cosine FROM c GROUP BY 1)
 SELECT DISTINCT y.k AS key, round(coalesce(cosine, 0), 6) AS cosine FROM y LEFT JOIN m USING (k) WHERE y.k LIKE 'd%'""")
 def tfidf_screen(spark, sf_dir):
     """Greatest TF-IDF cosine of every document with a benchmark item, by shared terms."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("key"), "text")
     found = screen.greatest_cosine(screen.tfidf(docs.unionAll(items), "key", "text"), "key", F.col("key").startswith("b"))
     return found.select("key", F.round("cosine", 6).alias("cosine"))
@@ -149,7 +149,7 @@ o AS (SELECT p.conv_id, p.turn, sum(least(p.c, q.c)) AS same FROM k p JOIN k q O
 SELECT s.conv_id, s.turn, round(coalesce(2.0 * same / nullif(s.n + r.n, 0), 0), 9) AS f1 FROM s JOIN s r ON r.conv_id = s.conv_id AND r.turn = s.turn + 1 LEFT JOIN o ON o.conv_id = s.conv_id AND o.turn = s.turn""")
 def token_f1(spark, sf_dir):
     """Multiset word overlap of each turn with the next one: 2 * shared / (sum of lengths)."""
-    turns = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')").select("conv_id", "turn", T.answer_words("text").alias("w"))
+    turns = spread(table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')").select("conv_id", "turn", "text")).select("conv_id", "turn", T.answer_words("text").alias("w"))
     counts = turns.select("conv_id", "turn", F.explode("w").alias("x")).groupBy("conv_id", "turn", "x").agg(F.count(F.lit(1)).alias("c"))
     after = counts.select("conv_id", (F.col("turn") - 1).alias("turn"), "x", F.col("c").alias("c2"))
     same = counts.join(after, ["conv_id", "turn", "x"]).groupBy("conv_id", "turn").agg(F.sum(F.least("c", "c2")).alias("same"))
