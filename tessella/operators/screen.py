@@ -39,27 +39,37 @@ def first_seen(df: DataFrame, by: str, order: str, passed: Column) -> DataFrame:
     return joined.withColumn("_first", passed & (F.col(order) == F.col("_least"))).drop("_least")
 
 
-def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, w): sublinear tf, smooth idf over all rows of df, L2; terms are words of two characters or more and
-    pairs of them."""
+def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, w): sublinear tf, smooth idf over all rows of df; terms are words of two characters or more and pairs of
+    them."""
     found = df.select(key, F.filter(T.words(text), lambda w: F.length(w) > 1).alias("_w"))
     pairs = F.expr("CASE WHEN size(_w) > 1 THEN transform(sequence(0, size(_w) - 2), i -> concat(_w[i], ' ', _w[i + 1])) ELSE array() END")
     terms = found.select(key, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = df.count()
     idf = terms.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
-    weights = terms.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    return terms.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+
+
+def norms(weights: DataFrame, key: str) -> DataFrame:
+    return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
+def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, w): term weights at length one (L2)."""
+    weights = term_weights(df, key, text)
+    return weights.join(norms(weights, key), key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def greatest_cosine(weights: DataFrame, key: str, reference: Column) -> DataFrame:
-    """For each row that is no reference, its greatest cosine with a reference; by shared terms, never all pairs. Spark broadcasts the
+    """For each row that is no reference, its greatest cosine with a reference; by shared terms, never all pairs. Weights need
+    not have length one: lengths divide the sums of products, so that no weight is shuffled for them. Spark broadcasts the
     references' terms where it finds them small as it runs."""
     refs = weights.where(reference).select(F.col(key).alias("_ref"), "term", F.col("w").alias("_v"))
-    rest = weights.where(~reference)
-    dots = rest.join(refs, "term").groupBy(key, "_ref").agg(F.sum(F.col("w") * F.col("_v")).alias("dot"))
-    best = dots.groupBy(key).agg(F.max("dot").alias("cosine"))
-    return rest.select(key).distinct().join(best, key, "left").na.fill(0.0, ["cosine"])
+    of_refs = norms(weights.where(reference), key).select(F.col(key).alias("_ref"), F.col("norm").alias("_norm"))
+    dots = weights.where(~reference).join(refs, "term").groupBy(key, "_ref").agg(F.sum(F.col("w") * F.col("_v")).alias("dot"))
+    best = dots.join(of_refs, "_ref").groupBy(key).agg(F.max(F.col("dot") / F.col("_norm")).alias("best"))
+    own = norms(weights.where(~reference), key)
+    return own.join(best, key, "left").select(key, F.coalesce(F.col("best") / F.col("norm"), F.lit(0.0)).alias("cosine"))
 
 
 def hash_ordered(df: DataFrame, strata: list[str], key: str, seed: str, k: int) -> DataFrame:

@@ -137,7 +137,7 @@ def tfidf_screen(spark, sf_dir):
     """Greatest TF-IDF cosine of every document with a benchmark item, by shared terms."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("key"), "text")
-    found = screen.greatest_cosine(screen.tfidf(docs.unionAll(items), "key", "text"), "key", F.col("key").startswith("b"))
+    found = screen.greatest_cosine(screen.term_weights(docs.unionAll(items), "key", "text"), "key", F.col("key").startswith("b"))
     return found.select("key", F.round("cosine", 6).alias("cosine"))
 
 
