@@ -1,4 +1,4 @@
-"""Walsh-Hadamard transforms of arrays, in JVM expressions for small blocks and in Arrow batches for any power of two."""
+"""Walsh-Hadamard transforms of arrays, in Arrow batches, for any power of two."""
 
 from __future__ import annotations
 
@@ -22,5 +22,11 @@ def hadamard(values: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def hadamard_array(values: pd.Series) -> pd.Series:
-    """The transform of each array of the column; null stays null."""
-    return values.map(lambda v: None if v is None else hadamard(np.asarray(v, float)))
+    """The transform of each array of the column, those of one length in a batch together; null stays null."""
+    out = np.full(len(values), None, object)
+    lengths = np.array([-1 if v is None else len(v) for v in values], int)
+    for n in np.unique(lengths[lengths >= 0]):
+        at = np.flatnonzero(lengths == n)
+        for i, row in zip(at, hadamard(np.stack([np.asarray(values.iloc[i], float) for i in at]))):
+            out[i] = row
+    return pd.Series(out)

@@ -262,3 +262,13 @@ def test_quantiles_are_those_of_sorted_values(spark, monkeypatch):
     every = sorted(x for _, x in rows if x is not None)
     assert quantiles.quantiles(frame, "x", [0.0, 1.0]).first().q == [every[0], every[-1]]
     assert quantiles.quantiles(frame.limit(0), "x", [0.5], ("g",)).count() == 0 == quantiles.quantiles(frame.limit(0), "x", [0.5]).count()
+
+
+def test_hadamard_of_mixed_lengths_and_nulls(spark):
+    from tessella.functions.transforms import hadamard_array
+
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, 0.0, 0.0, -1.0]), (3, [3.0, 3.0]), (4, [5.0])]
+    got = {x.i: x.h for x in spark.createDataFrame(rows, "i long, v array<double>").coalesce(1).select("i", hadamard_array("v").alias("h")).collect()}
+    assert got[1] is None and got[4] == [5.0]
+    assert got[0] == pytest.approx([3 / 2**0.5, -1 / 2**0.5]) and got[3] == pytest.approx([6 / 2**0.5, 0])
+    assert got[2] == pytest.approx([0, 1, 1, 0])
