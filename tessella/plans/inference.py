@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import stats
 from tessella.operators import decide, joins
 from tessella.plans import screening
+from tessella.operators.packing import offsets
 from tessella.plans.registry import ORACLE_SQL, query, table
 
 R = lambda c, n=6: F.round(c, n)
@@ -198,15 +199,16 @@ def robustness_verdicts(spark, sf_dir):
 SELECT role, conv_id, turn, row_number() OVER (ORDER BY md5(concat_ws(':', 'order', conv_id, turn)), conv_id, turn) - 1 AS place FROM r WHERE k <= greatest(1, n // 10)""")
 def shuffled_quota(spark, sf_dir):
     """A tenth of each stratum without replacement, by hash; and a place for each in one order over all, in two passes."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.md5(F.concat_ws(":", F.lit("draw"), "conv_id", "turn")).alias("h"))
-    w = Window.partitionBy("role").orderBy("h")
-    size = turns.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
-    drawn = turns.withColumn("k", F.row_number().over(w)).join(F.broadcast(size), "role").where(F.expr("k <= greatest(1, n div 10)"))
-    drawn = drawn.withColumn("o", F.md5(F.concat_ws(":", F.lit("order"), "conv_id", "turn"))).withColumn("b", F.left("o", F.lit(2)))
-    bins = drawn.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    before = bins.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("o", "conv_id", "turn")) - 1
-    return drawn.join(F.broadcast(before), "b").select("role", "conv_id", "turn", place.alias("place"))
+    def hashed(df, word):
+        digest = F.md5(F.concat_ws(":", F.lit(word), "conv_id", "turn"))
+        return df.select("conv_id", "turn", "role", F.lit(1).alias("one"), digest.alias("h")).withColumn("key", F.conv(F.left("h", F.lit(15)), 16, 10).cast("long"))
+
+    turns = hashed(table(spark, sf_dir, "conversations"), "draw")
+    size = turns.groupBy(F.col("role").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    placed = offsets(turns, "key", "one", ("role",), ("h",))
+    drawn = placed.join(size, F.col("role").eqNullSafe(F.col("of"))).where(F.expr("start < greatest(1, n div 10)"))
+    order = offsets(hashed(drawn, "order"), "key", "one", ties=("h", "conv_id", "turn"))
+    return order.select("role", "conv_id", "turn", F.col("start").alias("place"))
 
 
 @query("""WITH t AS (SELECT l_partkey, l_suppkey, list(l_linenumber ORDER BY l_linenumber) AS ids, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2)
