@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import byte_bpe, decontaminate, html_extract, language_id, ngram_jaccard, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
+from tessella.llm import byte_bpe, decontaminate, exact_dedup, fill_in_middle, hard_negatives, html_extract, language_id, ngram_jaccard, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +26,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
     "op6_ngram_jaccard": ngram_jaccard.ORACLE,
     "op10_suffix_dedup": suffix_dedup.ORACLE,
+    "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
