@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -5,6 +6,7 @@ import struct
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,10 +121,66 @@ def test_offsets_and_sequences(spark):
     assert got == {s: flat[s * 16 : min(450, s * 16 + 16)] for s in range(-(-450 // 16))}
 
 
-def test_bootstrap_is_the_same_at_any_partitioning(spark):
-    v = spark.createDataFrame([(i, float(i)) for i in range(20)], "i long, x double")
-    a, b = (sorted(x["mean"] for x in resample.bootstrap_means(d, "i", "x", "s", 30).collect()) for d in (v, v.repartition(7)))
-    assert a == pytest.approx(b) and len(set(a)) > 10
+def plain_resamples(x, seed, reps):
+    """Sums of every replicate, by recursion over the whole tree of ranges."""
+    n, out = len(x), np.zeros(reps)
+
+    def down(low, high, draws):
+        first, last = low * resample.BLOCK, min(high * resample.BLOCK, n)
+        if high - low == 1:
+            out[:] += resample.block_sums(x[first:last], draws, resample.generator(seed, first, last))
+            return last - first
+        mid = (low + high) // 2
+        left = resample.generator(seed, first, high * resample.BLOCK).binomial(draws, (mid * resample.BLOCK - first) / (last - first))
+        down(low, mid, left)
+        down(mid, high, draws - left)
+
+    down(0, -(-n // resample.BLOCK), np.full(reps, n))
+    return out / n
+
+
+@pytest.mark.parametrize("n", [1, 7, 16, 17, 100, 1000])
+def test_bootstrap_against_plain_resampling_at_any_partitioning(spark, monkeypatch, n):
+    monkeypatch.setattr(resample, "BLOCK", 16)
+    x = np.random.default_rng(4).normal(3, 2, n)
+    v = spark.createDataFrame([(int(i), float(a)) for i, a in enumerate(x)] + [(5, None)], "i long, x double")
+    want = plain_resamples(x, "s", 300)
+    for d in (v, v.repartition(7)):
+        got = resample.bootstrap_means(d, "i", "x", "s", 300).orderBy("rep").collect()
+        assert [r["mean"] for r in got] == pytest.approx(list(want)) and {r["n"] for r in got} == {n}
+    assert resample.bootstrap_means(v.where("x > 1e9"), "i", "x", "s", 300).count() == 0
+
+
+def test_multiplicities_are_multinomial():
+    """Each place is drawn once on average, with the variance and covariance of a multinomial, across blocks too."""
+    n, reps = 10, 40_000
+    counts = np.zeros((reps, n))
+    for block in range(3):
+        draws = resample.draws_in_block("m", n, reps, block, 4)
+        at = slice(block * 4, min(block * 4 + 4, n))
+        for k in range(at.stop - at.start):
+            unit = np.zeros(at.stop - at.start)
+            unit[k] = 1
+            counts[:, block * 4 + k] = resample.block_sums(unit, draws, resample.generator("m", at.start, at.stop))
+    assert (counts.sum(1) == n).all()
+    cov = np.cov(counts.T)
+    assert np.abs(counts.mean(0) - 1).max() < 0.02 and np.abs(np.diag(cov) - (1 - 1 / n)).max() < 0.03
+    assert np.abs(cov[~np.eye(n, dtype=bool)] + 1 / n).max() < 0.03
+
+
+def test_interval_rules(spark):
+    m = sorted(random.Random(2).random() for _ in range(10_000))
+    got = {x.rule: (x.low, x.high) for x in resample.interval_rules(spark.createDataFrame([(x,) for x in m], "mean double")).collect()}
+    assert got["counted"] == (m[249], m[9749]) and got["index"] == (m[int(0.025 * 9999)], m[int(0.975 * 9999)])
+    assert got["interpolated"] == pytest.approx(tuple(np.quantile(m, [0.025, 0.975])))
+
+
+def test_two_way_means_number_their_sides(spark):
+    """Sides of any keys and sizes; constant cells have that mean in every replicate, and one side's spread is its own."""
+    cells = [(10 * i, 7 + j, 5.0 + i) for i in range(3) for j in range(4)]
+    got = resample.two_way_means(spark.createDataFrame(cells, "a long, b long, x double"), "a", "b", "x", "t", 400).collect()
+    draws = lambda rep: [int(hashlib.sha256(f"ta:{rep}:{i}".encode()).hexdigest()[:8], 16) % 3 for i in range(3)]
+    assert {x.rep: x["mean"] for x in got} == pytest.approx({r: 5 + sum(draws(r)) / 3 for r in range(400)})
 
 
 def test_codes_round_trip(spark):
