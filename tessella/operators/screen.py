@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,37 +44,146 @@ def first_seen(df: DataFrame, by: str, order: str, passed: Column) -> DataFrame:
     return joined.withColumn("_first", passed & (F.col(order) == F.col("_least"))).drop("_least")
 
 
-def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, w): sublinear tf, smooth idf over all rows of df; terms are words of two characters or more and pairs of
-    them."""
+def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _t): words of two characters or more and pairs of them, each as often as it occurs."""
     found = df.select(key, F.filter(T.words(text), lambda w: F.length(w) > 1).alias("_w"))
     pairs = F.expr("CASE WHEN size(_w) > 1 THEN transform(sequence(0, size(_w) - 2), i -> concat(_w[i], ' ', _w[i + 1])) ELSE array() END")
-    terms = found.select(key, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return found.select(key, F.concat("_w", pairs).alias("_t"))
+
+
+def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf), counted where the rows lie, as runs of their sorted terms.
+
+    The generator is an outer one: of others Spark infers a filter, whose pushed copy would sort a row's terms once a term.
+    """
+    ordered = _terms(df, key, text).select(key, F.sort_array("_t").alias("_t"))
+    starts = ordered.select(key, "_t", F.expr("CASE WHEN size(_t) > 0 THEN filter(sequence(0, size(_t) - 1), i -> i = 0 OR _t[i] <> _t[i - 1]) END").alias("_s"))
+    return starts.select(key, F.inline_outer(F.expr("transform(_s, (s, j) -> struct(_t[s] AS term, coalesce(get(_s, j + 1), size(_t)) - s AS tf))"))).where("term IS NOT NULL")
+
+
+def smooth_idf(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, idf) over all rows of df, whose keys differ."""
     n = df.count()
-    idf = terms.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
-    return terms.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    seen = _terms(df, key, text).select(F.explode_outer(F.array_distinct("_t")).alias("term")).where("term IS NOT NULL").groupBy("term")
+    return seen.agg((F.log((1 + F.lit(n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
 
 
-def norms(weights: DataFrame, key: str) -> DataFrame:
-    return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+def term_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """(key, term, w): sublinear tf times idf; counts are shuffled once, by term."""
+    return counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
 
 
 def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, w): term weights at length one (L2)."""
-    weights = term_weights(df, key, text)
-    return weights.join(norms(weights, key), key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
-def greatest_cosine(weights: DataFrame, key: str, reference: Column) -> DataFrame:
-    """For each row that is no reference, its greatest cosine with a reference; by shared terms, never all pairs. Weights need
-    not have length one: lengths divide the sums of products, so that no weight is shuffled for them. Spark broadcasts the
-    references' terms where it finds them small as it runs."""
-    refs = weights.where(reference).select(F.col(key).alias("_ref"), "term", F.col("w").alias("_v"))
-    of_refs = norms(weights.where(reference), key).select(F.col(key).alias("_ref"), F.col("norm").alias("_norm"))
-    dots = weights.where(~reference).join(refs, "term").groupBy(key, "_ref").agg(F.sum(F.col("w") * F.col("_v")).alias("dot"))
-    best = dots.join(of_refs, "_ref").groupBy(key).agg(F.max(F.col("dot") / F.col("_norm")).alias("best"))
-    own = norms(weights.where(~reference), key)
-    return own.join(best, key, "left").select(key, F.coalesce(F.col("best") / F.col("norm"), F.lit(0.0)).alias("cosine"))
+    weights = term_weights(term_counts(df, key, text), smooth_idf(df, key, text), key)
+    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weights.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+
+
+#: References of a block, whose index a task holds; rows scored against it at a time; and the share of a block's references
+#: from which on a term counts as common.
+REFERENCES, ROWS_AT_ONCE, COMMON = 1024, 256, 0.05
+
+
+class ReferenceIndex:
+    """References of one block at length one: postings of rare terms, a matrix of common ones and what it adds at most."""
+
+    def __init__(self, terms: list, weights: list, common: float = COMMON):
+        sizes = np.array([len(x) for x in terms])
+        flat, w, of = pa.concat_arrays(terms), np.concatenate(weights), np.repeat(np.arange(len(terms)), sizes)
+        w = w / np.sqrt(np.bincount(of, w * w, len(terms)))[of]
+        self.n = len(terms)
+        coded = flat.dictionary_encode()
+        self.terms, code = coded.dictionary, coded.indices.to_numpy()
+        held = np.bincount(code, minlength=len(self.terms))
+        order = np.argsort(code, kind="stable")
+        self.start, self.refs, self.w = np.r_[0, np.cumsum(held)], of[order], w[order]
+        self.column = np.where(held > common * self.n, np.cumsum(held > common * self.n) - 1, -1)
+        self.matrix = np.zeros((int(self.column.max(initial=-1)) + 1, self.n))
+        at = self.column[code]
+        self.matrix[at[at >= 0], of[at >= 0]] = w[at >= 0]
+        self.most = np.sqrt((self.matrix**2).sum(0))
+
+    def best(self, terms: list, weights: list) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row, the greatest dot product with a reference, and with how many it was formed whole.
+
+        Products over rare terms come first. What common terms can add to one is bounded by the lengths of both sides there;
+        references whose bound is below the best so far are passed over.
+        """
+        sizes = np.array([len(x) for x in terms])
+        code = pc.index_in(pa.concat_arrays(terms), self.terms).fill_null(-1).to_numpy()
+        w, row = np.concatenate(weights), np.repeat(np.arange(len(terms)), sizes)
+        w, row, code = w[code >= 0], row[code >= 0], code[code >= 0]
+        rare = self.column[code] < 0
+        length = (self.start[code + 1] - self.start[code])[rare]
+        at = np.repeat(self.start[code[rare]] - np.r_[0, np.cumsum(length)][:-1], length) + np.arange(length.sum())
+        pair = np.repeat(row[rare], length) * self.n + self.refs[at]
+        dots = np.bincount(pair, np.repeat(w[rare], length) * self.w[at], len(terms) * self.n).reshape(len(terms), self.n)
+        own = np.zeros((len(terms), len(self.matrix)))
+        own[row[~rare], self.column[code[~rare]]] = w[~rare]
+        bound = dots + np.outer(np.sqrt((own**2).sum(1)), self.most)
+        alive = (bound * (1 + 1e-12) >= dots.max(1, initial=0)[:, None]) & (bound > 0)
+        count = alive.sum(1)
+        best = np.zeros(len(terms))
+        many = count * 8 > self.n
+        if many.any():
+            best[many] = np.where(alive[many], dots[many] + own[many] @ self.matrix, 0).max(1, initial=0)
+        i, r = np.nonzero(alive & ~many[:, None])
+        np.maximum.at(best, i, dots[i, r] + np.einsum("ij,ji->i", own[i], self.matrix[:, r]))
+        return best, count
+
+
+def greatest_cosine(df: DataFrame, key: str, text: str, reference: Column) -> DataFrame:
+    """(key, cosine, pairs): for each row with terms that is no reference, its greatest cosine with one, and how many pairs were
+    formed for it. Term weights are those of ``tfidf``.
+
+    Rows keep only the terms that references have too, in one row each, and are dealt to parts; references are dealt to blocks
+    of bounded size, each of which goes to every part. A task holds one block's index and lets rows pass it.
+    """
+    held, idf = F.struct("term", "w"), smooth_idf(df, key, text)
+    asked = term_counts(df.where(reference), key, text)
+    refs = term_weights(asked, idf, key).groupBy(key).agg(F.collect_list(held).alias("_v"))
+    known = asked.select("term").distinct().withColumn("_known", F.lit(True))
+    weights = term_weights(term_counts(df.where(~reference), key, text), idf, key).join(known, "term", "left")
+    lists = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), F.collect_list(F.when(F.col("_known"), held)).alias("_v"))
+    blocks, spark = max(-(-df.where(reference).count() // REFERENCES), 1), df.sparkSession
+    # more parts than tasks, as parts are hashed to tasks
+    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    tagged = [F.col("_v.term").alias("terms"), F.col("_v.w").alias("weights")]
+    left = refs.select(every(parts).alias("part"), of(blocks).alias("block"), F.lit(0).alias("side"), F.col(key), F.lit(None).cast("double").alias("norm"), *tagged)
+    right = lists.select(of(parts).alias("part"), every(blocks).alias("block"), F.lit(1).alias("side"), F.col(key), F.col("_norm").alias("norm"), *tagged)
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"name {kind}, cosine double, pairs long"
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, terms, values, index = None, [], [], None
+        split = lambda column: [column.values.slice(a, b - a) for a, b in zip(column.offsets.to_pylist(), column.offsets.to_pylist()[1:])]
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                cell = list(zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), batch.column("side").to_pylist()))
+                edges = [0, *(i for i in range(1, len(cell)) if cell[i] != cell[i - 1]), len(cell)]
+                for a, b in zip(edges, edges[1:]):
+                    part = batch.slice(a, b - a)
+                    t, v = split(part.column("terms")), [x.to_numpy() for x in split(part.column("weights"))]
+                    if cell[a][:2] != at:
+                        at, terms, values, index = cell[a][:2], [], [], None
+                    if cell[a][2] == 0:
+                        terms += t
+                        values += v
+                        continue
+                    best, n = np.zeros(len(t)), np.zeros(len(t), np.int64)
+                    if terms and index is None:
+                        index = ReferenceIndex(terms, values)
+                    if index is not None:
+                        best, n = index.best(t, v)
+                    yield pa.RecordBatch.from_arrays([part.column(key), pa.array(best / part.column("norm").to_numpy()), pa.array(n)], names=["name", "cosine", "pairs"])
+
+    met = left.unionByName(right).repartition(max(parts // 4, 1), "part").sortWithinPartitions("part", "block", "side")
+    found = met.mapInArrow(scored, schema)
+    return found.groupBy(F.col("name").alias(key)).agg(F.max("cosine").alias("cosine"), F.sum("pairs").alias("pairs"))
 
 
 def hash_ordered(df: DataFrame, strata: list[str], key: str, seed: str, k: int) -> DataFrame:

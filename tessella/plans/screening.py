@@ -134,10 +134,10 @@ c AS (SELECT a.k, b.k AS ref, sum(a.w * b.w) AS dot FROM y a JOIN y b USING (ter
 m AS (SELECT k, max(dot) AS cosine FROM c GROUP BY 1)
 SELECT DISTINCT y.k AS key, round(coalesce(cosine, 0), 6) AS cosine FROM y LEFT JOIN m USING (k) WHERE y.k LIKE 'd%'""")
 def tfidf_screen(spark, sf_dir):
-    """Greatest TF-IDF cosine of every document with a benchmark item, by shared terms."""
+    """Greatest TF-IDF cosine of every document with a benchmark item, by bounds; common terms form no pairs."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("key"), "text")
-    found = screen.greatest_cosine(screen.term_weights(docs.unionAll(items), "key", "text"), "key", F.col("key").startswith("b"))
+    found = screen.greatest_cosine(docs.unionAll(items), "key", "text", F.col("key").startswith("b"))
     return found.select("key", F.round("cosine", 6).alias("cosine"))
 
 

@@ -7,6 +7,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,43 @@ def test_tfidf_by_hand(spark):
     assert {t: w for (k, t), w in got.items() if k == 1} == pytest.approx({t: w / norm for t, w in raw.items()})
 
 
+@pytest.mark.parametrize("common", [0.0, 0.05, 2.0])
+def test_greatest_products_with_any_share_of_common_terms(common):
+    """Against all products, whatever counts as common; only where common terms are few pairs is there anything to pass over."""
+    r = np.random.default_rng(5)
+    vocabulary = [f"t{i}" for i in range(300)]
+
+    def rows(n):
+        picked = [np.unique((300 * r.random(r.integers(1, 60)) ** 3).astype(int)) for _ in range(n)]
+        return picked, [r.random(len(p)) + 0.1 for p in picked]
+
+    refs, docs = rows(90), rows(70)
+    refs[0][7], refs[1][7] = np.arange(240, 300), np.ones(60)  # of rare terms, and a row of the same
+    docs[0][3], docs[1][3] = refs[0][7], refs[1][7]
+    docs[0][4], docs[1][4] = np.zeros(0, int), np.zeros(0)
+    dense = lambda x: np.array([np.bincount(p, w, 300) for p, w in zip(*x)])
+    unit = dense(refs) / np.linalg.norm(dense(refs), axis=1, keepdims=True)
+    names = lambda x: [pa.array([vocabulary[i] for i in p], pa.string()) for p in x]
+    best, pairs = screen.ReferenceIndex(names(refs[0]), refs[1], common).best(names(docs[0]), docs[1])
+    assert best == pytest.approx((dense(docs) @ unit.T).max(1)) and pairs[4] == 0 and (pairs <= 90).all()
+    assert common == 0 or pairs[3] < 45
+
+
+def test_greatest_cosine_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(screen, "REFERENCES", 3)
+    r = random.Random(6)
+    texts = [" ".join(f"w{int(40 * r.random() ** 2)}" for _ in range(r.randrange(1, 30))) for _ in range(60)] + ["", "a", "zz yy", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    unit = {}
+    for x in screen.tfidf(df, "k", "t").collect():
+        unit.setdefault(x.k, {})[x.term] = x.w
+    got = {x.k: x.cosine for x in screen.greatest_cosine(df, "k", "t", F.col("k") % 5 == 0).collect()}
+    want = {i: max(sum(w * unit[j].get(t, 0) for t, w in u.items()) for j in unit if j % 5 == 0) for i, u in unit.items() if i % 5}
+    assert got == pytest.approx(want) and got[62] == 0
+    none = screen.greatest_cosine(df, "k", "t", F.col("k") < 0)
+    assert {x.cosine for x in none.collect()} == {0.0}
+
+
 def test_offsets_and_sequences(spark):
     r = random.Random(1)
     docs = [(i * 7 - 30, [f"t{i}.{j}" for j in range(r.randrange(6))]) for i in range(200)]
