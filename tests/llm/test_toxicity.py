@@ -122,7 +122,7 @@ def test_model_keeps_all_grams_in_any_number_of_blocks(spark, monkeypatch):
     for (_, x, _, _), (_, _, t) in zip(docs, labels):
         for g in toxicity.grams(x.encode().split())[0].tolist():
             count[t][g] = count[t].get(g, 0) + 1
-    want = {g for t in (0, 1) for g, n in count[t].items() if n > toxicity.DISCOUNT}
+    want = set(count[0]) | set(count[1])
     assert model.blocks > 2 and sorted(x.g for x in kept.collect()) == sorted(want)
 
 
@@ -142,7 +142,8 @@ def test_evidence_against_plain_kneser_ney(spark):
     docs, labels = corpus(120)
     rows = spark.createDataFrame([(t, packed(x)) for (_, x, _, _), (_, _, t) in zip(docs, labels)], "toxic int, packed binary")
     model = toxicity.Evidence(toxicity.files(toxicity.train(rows, toxicity.common.Scratch(spark))))
-    counts, d, less = ({}, {}), toxicity.DISCOUNT, toxicity.SHARED_DISCOUNT
+    counts, less = ({}, {}), toxicity.SHARED_DISCOUNT
+    off = lambda n: toxicity.DISCOUNT * min(n, toxicity.DISCOUNTED)
     cut = lambda w: [(b" " + w + b" ")[max(0, j + 1 - toxicity.DEPTH) : j + 1] for j in range(1, len(w) + 2)]
     for (_, x, _, _), (_, _, t) in zip(docs, labels):
         for w in x.encode().split():
@@ -155,8 +156,8 @@ def test_evidence_against_plain_kneser_ney(spark):
         for g in cut(word):
             context = {k: n for k, n in own.items() if len(k) == len(g) and k[:-1] == g[:-1]} if len(g) == toxicity.DEPTH or g[:1] == b" " else {}
             n = sum(context.values())
-            rest = sum(min(k, d) for k in context.values()) / n if n else 1.0
-            total += np.log(max(own.get(g, 0) - d, 0) / n + rest * shared(g[-4:])) if n else np.log(shared(g[-4:]))
+            rest = sum(map(off, context.values())) / n if n else 1.0
+            total += np.log((own.get(g, 0) - off(own.get(g, 0))) / n + rest * shared(g[-4:])) if n else np.log(shared(g[-4:]))
         return total
 
     four = {}
@@ -179,6 +180,16 @@ def test_evidence_against_plain_kneser_ney(spark):
         assert abs(model[w] - (log_likelihood(w, counts[1]) - log_likelihood(w, counts[0]))) < 1e-3 * max(1, abs(model[w])), w
 
 
+def test_rare_expressions_teach(spark):
+    """A word seen once, twice or three times in toxic rows only tells more each time, and more than one never seen."""
+    docs, labels = corpus(200)
+    docs += [(500 + i, " ".join(w for k, w in enumerate(["vexonda", "qumbrital", "zolfregin"], 1) if i < k), "x", 0.0) for i in range(3)]
+    rows = [(t, packed(x)) for (_, x, _, _), (_, _, t) in zip(docs, labels)] + [(1, packed(x)) for _, x, _, _ in docs[-3:]]
+    model = toxicity.Evidence(toxicity.files(toxicity.train(spark.createDataFrame(rows, "toxic int, packed binary"), toxicity.common.Scratch(spark))))
+    model.learn([b"vexonda", b"qumbrital", b"zolfregin", b"hyplestam"])
+    assert model[b"hyplestam"] < model[b"vexonda"] < model[b"qumbrital"] < model[b"zolfregin"]
+
+
 def test_a_row_goes_for_its_own_text(spark):
     docs, labels = corpus(300)
     extra = [(None, "grumfa grumfel grumfix grumfo " * 5, "x", 0.0), (None, "bala kone miso tuvi", "x", 0.0), (None, None, "x", 0.0), (7000, "grumfa grumfel grumfix grumfo " * 5, "x", 0.0), (7000, "bala kone miso tuvi", "x", 0.0), (7000, "bala kone miso tuvi", "x", 0.0)]
