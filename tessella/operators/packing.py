@@ -28,11 +28,11 @@ def range_of(docs: DataFrame, order: str) -> Column:
 
     def among(a: int, b: int) -> str:
         if b - a == 1:
-            past = f"(CAST({order} AS {kind}) - {edges[a]}{end})"
+            past = f"(CAST(`{order}` AS {kind}) - {edges[a]}{end})"
             step = f"{past} div {widths[a] // fine + 1}L" if whole else f"least({fine - 1}, floor({past} / {widths[a] / fine or 1.0}D))"
             return f"{a * fine} + {step}"
         mid = (a + b) // 2
-        return f"IF({order} < {edges[mid]}{end}, {among(a, mid)}, {among(mid, b)})"
+        return f"IF(`{order}` < {edges[mid]}{end}, {among(a, mid)}, {among(mid, b)})"
 
     before = F.col(order).isNull() | (value.cast("double") == F.lit(float("-inf")))
     return F.when(before, F.lit(-1)).when(finite.isNull(), F.lit(len(edges) * fine)).otherwise(F.expr(among(0, len(edges)))).cast("long")
@@ -82,3 +82,54 @@ def slot_index(seq: Column, period: int, places: list[int]) -> Column:
     for p in places:
         partial = partial + F.when(inside > p, 1).otherwise(0)
     return F.floor(seq / period) * len(places) + partial
+
+
+def slot_sequence(index: Column, period: int, places: list[int]) -> Column:
+    """Where the sequence of that index of a stream goes, when the stream fills these places of the period: the inverse of
+    ``slot_index``."""
+    at = F.array(*[F.lit(p).cast("long") for p in sorted(places)])
+    return F.floor(index / len(places)) * period + F.get(at, F.pmod(index, F.lit(len(places))).cast("int"))
+
+
+def slots_before(n: int, period: int, places: list[int]) -> int:
+    """How many of the first n sequences lie on these places."""
+    return n // period * len(places) + sum(p < n % period for p in places)
+
+
+def windows(docs: DataFrame, order: str, ids: str, length: int, first: int, count: int, wrap: bool = False) -> DataFrame:
+    """(k, ids): ``count`` windows of ``length`` ids from window ``first`` on, of the ids of all documents in order; k from 0.
+
+    A stream that wraps begins again after its last id, in the middle of a window too; one that doesn't must be long enough.
+    A document is cut where windows begin, and only pieces of windows that are asked for are shuffled, never single ids.
+    """
+    sized = docs.select(order, F.col(ids).alias("_ids"), F.size(ids).cast("long").alias("_n")).where("_n > 0")
+    total = sized.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    low, high = first * length, (first + count) * length
+    if high > low and (not total or not wrap and high > total):
+        raise ValueError(f"a stream of {total} ids has no {count} windows of {length} from the one numbered {first} on")
+    placed = offsets(sized, order, "_n")
+    if wrap and total:
+        placed = placed.withColumn("_pass", F.explode(F.sequence(F.lit(low // total), F.lit(max(high - 1, low) // total)))).withColumn("start", F.col("start") + F.col("_pass") * total)
+    needed = placed.where((F.col("start") < high) & (F.col("start") + F.col("_n") > low))
+    span = needed.withColumn("_a", F.greatest("start", F.lit(low))).withColumn("_b", F.least(F.col("start") + F.col("_n"), F.lit(high)))
+    cut = F.expr(f"""transform(sequence(_a div {length}, (_b - 1) div {length}), k -> struct(k - {first} AS k, greatest(k * {length}, _a) AS at,
+        slice(_ids, CAST(greatest(k * {length}, _a) - start + 1 AS int), CAST(least((k + 1) * {length}, _b) - greatest(k * {length}, _a) AS int)) AS part))""")
+    pieces = span.select(F.inline_outer(cut)).where("k IS NOT NULL")
+    return pieces.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("p")).select("k", F.flatten("p.part").alias("ids"))
+
+
+def mixed(streams: dict[str, tuple[DataFrame, str, str]], places: dict[str, list[int]], period: int, length: int, n: int, starts: dict[str, int], wrapping: set[str]) -> DataFrame:
+    """(seq, source, source_seq, ids): n sequences, each filled by the stream whose place in the period it is.
+
+    streams: (documents, order, ids) by name; starts: the window that each begins at, so that a mixture can be continued;
+    wrapping: which begin again after their end. Every sequence follows from its stream's window by a closed form.
+    """
+    if sorted(p for ps in places.values() for p in ps) != list(range(period)):
+        raise ValueError("each place of the period must have one stream")
+    out = None
+    for name, (docs, order, ids) in streams.items():
+        count = slots_before(n, period, places[name])
+        found = windows(docs, order, ids, length, starts.get(name, 0), count, name in wrapping)
+        rows = found.select(slot_sequence(F.col("k"), period, places[name]).cast("long").alias("seq"), F.lit(name).alias("source"), (F.col("k") + starts.get(name, 0)).cast("long").alias("source_seq"), "ids")
+        out = rows if out is None else out.unionAll(rows)
+    return out

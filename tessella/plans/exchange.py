@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import mean_interval
-from tessella.sources import files, scores
+from tessella.sources import files, ranges, scores, tensors
 from tessella.plans.registry import query, table
 
 
@@ -100,13 +100,36 @@ def tensor_headers(spark, sf_dir):
                 head[f"tensor.{x['p_partkey']}"] = {"dtype": "F16", "shape": [int(x["p_size"])], "data_offsets": [at, at + 2 * int(x["p_size"])]}
                 at += 2 * int(x["p_size"])
             data = json.dumps(head).encode()
-            return len(data).to_bytes(8, "little") + data
+            return len(data).to_bytes(8, "little") + data + bytes(at)
 
         return t.map(one)
 
     _write_files(listed.select("shard", header("t").alias("content")), "shard", f"{path}/shards", "")
-    found = files.shard_headers(spark, f"{path}/shards")
-    return found.select("shard", "tensor", "dtype", F.element_at("shape", 1).alias("size"), "start")
+    ranges.register(spark)
+    found = spark.read.format("shard_headers").option("path", f"{path}/shards").load()
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("shard"), "tensor", "dtype", F.element_at("shape", 1).alias("size"), "start")
+
+
+@query("""WITH b AS (SELECT p_brand, count(*) AS n, list(p_partkey ORDER BY p_partkey) AS keys, sum(p_size) AS size FROM part GROUP BY 1)
+SELECT p_brand || '.gguf' AS file, 'part.count' AS key, n::VARCHAR AS value FROM b UNION ALL SELECT p_brand || '.gguf', 'part.keys', '[' || array_to_string(keys, ', ') || ']' FROM b""")
+def container_metadata(spark, sf_dir):
+    """Two of the metadata pairs of containers, one for each brand; the filter reaches the header's reader, which skips others."""
+    path = files.folder(spark)
+    listed = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("shard")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_size"))).alias("t"))
+
+    @F.pandas_udf("binary")
+    def header(t):
+        def one(rows):
+            keys = [int(x["p_partkey"]) for x in rows]
+            pairs = {"general.name": (tensors.STRING, "parts"), "part.names": (tensors.ARRAY, (tensors.STRING, [f"part {k}" for k in keys])), "part.count": (4, len(keys)), "part.keys": (tensors.ARRAY, (11, keys)), "part.mean": (12, sum(keys) / len(keys))}
+            return tensors.container(pairs, [(f"tensor.{k}", 0, [1], 4 * i) for i, k in enumerate(keys)])
+
+        return t.map(one)
+
+    _write_files(listed.select("shard", header("t").alias("content")), "shard", f"{path}/containers", ".gguf")
+    ranges.register(spark)
+    found = spark.read.format("container_metadata").option("path", f"{path}/containers").load().where("key IN ('part.count', 'part.keys')")
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "key", "value")
 
 
 @query("SELECT v.vec_id % 7 || '.bin' AS file, v.vec_id, round(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings v")

@@ -124,23 +124,44 @@ def arrow_streams(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return files.mapInArrow(rows, f"subject string, {schema}")
 
 
-def shard_headers(spark: SparkSession, path: str, most: int = 8 << 20) -> DataFrame:
-    """(shard, tensor, dtype, shape, start, end) from the headers of tensor shards: 8 bytes of size, then JSON."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("shard"), F.substring("content", 1, 8 + most).alias("head"))
+def write_ids(sequences: DataFrame, number: str, ids: str, path: str, each: int) -> DataFrame:
+    """Sequences of ids, numbered from 0, as files of unsigned 32-bit integers with ``each`` sequences a file; a row (file, first,
+    n, sha256) for each. A task writes its files under names of its own and renames each when it is whole, so that a task that
+    is run again replaces what is there by the same bytes. Runs as it is called."""
+    numbered = sequences.select((F.col(number) / each).cast("long").alias("file"), F.col(number).cast("long").alias("number"), F.col(ids).cast("array<bigint>").alias("ids"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path)
+        store.create_dir(base, recursive=True)
+        at, out, digest, first, n, beside = None, None, None, 0, 0, ""
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if out is not None:
+                out.close()
+                name = f"{at:012d}.u32"
+                store.move(beside, f"{base}/{name}")
+                yield pa.RecordBatch.from_pylist([{"file": name, "first": first, "n": n, "sha256": digest.hexdigest()}])
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for shard, head in zip(part.shard, part["head"]):
-                size = struct.unpack("<Q", head[:8])[0] if len(head) >= 8 else 0
-                if not 2 <= size <= most or len(head) < 8 + size:
-                    raise ValueError(f"{shard}: header of {size} bytes")
-                for name, x in json.loads(head[8 : 8 + size]).items():
-                    if name != "__metadata__":
-                        out.append((shard, name, x["dtype"], x["shape"], *x["data_offsets"]))
-            yield pd.DataFrame(out, columns=["shard", "tensor", "dtype", "shape", "start", "end"])
-
-    return files.mapInPandas(rows, "shard string, tensor string, dtype string, shape array<long>, start long, end long")
+            for file, seq, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                if file != at:
+                    yield from close()
+                    at, first, n, digest, beside = file, seq, 0, hashlib.sha256(), f"{base}/.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(beside)
+                if seq != first + n:
+                    raise ValueError(f"sequence {first + n} is missing")
+                data = found.values.to_numpy().astype("<u4").tobytes()
+                out.write(data)
+                digest.update(data)
+                n += 1
+        yield from close()
+
+    done = numbered.repartition("file").sortWithinPartitions("file", "number").mapInArrow(run, "file string, first long, n long, sha256 string")
+    report = f"{path}.report"
+    done.write.parquet(report)
+    return sequences.sparkSession.read.schema(done.schema).parquet(report)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:

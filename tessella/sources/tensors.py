@@ -65,6 +65,25 @@ class Header:
         return [self.value(inner, keep) for _ in range(n)]
 
 
+def container(metadata: dict[str, tuple[int, Any]], descriptors: list[tuple[str, int, list[int], int]], align: int = 32) -> bytes:
+    """The header of a container, up to its payload: pairs of key and (kind, value), where the value of an array is (kind, values)."""
+
+    def text(x: str) -> bytes:
+        return struct.pack("<Q", len(x.encode())) + x.encode()
+
+    def value(kind: int, x: Any) -> bytes:
+        if kind == STRING:
+            return text(x)
+        if kind == ARRAY:
+            return struct.pack("<IQ", x[0], len(x[1])) + b"".join(value(x[0], y) for y in x[1])
+        return struct.pack(f"<{SCALARS[kind]}", x)
+
+    pairs = b"".join(text(k) + struct.pack("<I", kind) + value(kind, x) for k, (kind, x) in metadata.items())
+    named = b"".join(text(n) + struct.pack(f"<I{len(dims)}QIQ", len(dims), *dims, kind, offset) for n, kind, dims, offset in descriptors)
+    head = MAGIC + struct.pack("<IQQ", 3, len(descriptors), len(metadata)) + pairs + named
+    return head + bytes(-len(head) % align)
+
+
 class _File(InputPartition):
     def __init__(self, path: str, start: int = 0, stop: int = 0):
         self.path, self.start, self.stop = path, start, stop
