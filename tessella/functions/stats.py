@@ -1,9 +1,11 @@
-"""Intervals and summary statistics as aggregate or plain columns, and Student's t on the driver."""
+"""Intervals and summary statistics as aggregate or plain columns; Student's quantile for any degrees of freedom."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,38 +25,37 @@ def mean_interval(value: Column, critical: float | Column = Z95) -> tuple[Column
     return F.avg(value), F.avg(value) - half, F.avg(value) + half
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Lentz's evaluation of the continued fraction of the incomplete beta function."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1) or tiny)
-    h = d
-    for m in range(1, 400):
-        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 / (1.0 + t * d or tiny)
-            c = 1.0 + t / c or tiny
-            h *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return h
-
-
-def t_cdf(t: float, df: float) -> float:
-    x = df / (df + t * t)
-    a, b = df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    tail = front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
-    return 1 - tail / 2 if t > 0 else tail / 2
-
-
-def t_critical(df: int, coverage: float = 0.95) -> float:
-    """Two-sided critical value of Student's t, by bisection."""
-    low, high, goal = 0.0, 1e6, 0.5 + coverage / 2
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if t_cdf(mid, df) < goal else (low, mid)
-    return (low + high) / 2
-
-
-def t_table(largest: int, coverage: float = 0.95) -> list[tuple[int, float]]:
-    """Rows (df, critical) up to a largest df, beyond which the normal value serves; to be joined to grouped counts."""
-    return [(df, t_critical(df, coverage)) for df in range(1, largest + 1)]
+def half_ratio(x: Column) -> Column:
+    """Gamma(x + 1/2) / Gamma(x) for x > 0: Stirling's series beyond SHIFT, and what lies between as a product."""
+    y = x + F.lit(float(SHIFT))
+    series = 0.5 * F.log(y) - 1 / (8 * y) + 1 / (192 * y**3) - 1 / (640 * y**5) + 17 / (14336 * y**7)
+    below = reduce(lambda a, k: a * ((x + k) / (x + (k + 0.5))), range(SHIFT), F.lit(1.0))
+    return F.exp(series) * below
+
+
+#: Up to where the ratio of gamma functions is a product, nodes of the quadrature, and steps to the root.
+SHIFT, NODES, STEPS = 16, 32, 64
+
+
+def t_quantile(df: Column, coverage: Column | float = 0.95) -> Column:
+    """Two-sided critical value of Student's t for any degrees of freedom above 0 and any coverage between 0 and 1.
+
+    With t = sqrt(df) tan(u), the coverage of -t..t is a constant times the integral of cos(u)^(df - 1) from 0 to u. The
+    integrand is smooth at the scale of u for all df, so Gauss-Legendre nodes on 0..u give it to double precision. It falls
+    with u, so that Newton's steps from 0 on never pass the root; their number is fixed. Null outside the domain.
+    """
+    nodes, weights = np.polynomial.legendre.leggauss(NODES)
+    at = F.array(*[F.struct(F.lit(float((x + 1) / 2)).alias("x"), F.lit(float(w / 2)).alias("w")) for x, w in zip(nodes, weights)])
+    df = df.cast("double")
+    held = F.struct(df.alias("df"), (F.lit(coverage) if isinstance(coverage, float) else coverage).cast("double").alias("p"), (2 * half_ratio(df / 2) / math.sqrt(math.pi)).alias("c"), F.lit(0.0).alias("u"))
+
+    def density(s: Column, u: Column) -> Column:
+        return F.exp((s["df"] - 1) / 2 * F.log1p(-(F.sin(u) ** 2)))
+
+    def step(s: Column, _: Column) -> Column:
+        area = F.aggregate(at, F.lit(0.0), lambda total, n: total + n["w"] * density(s, n["x"] * s["u"])) * s["u"] * s["c"]
+        after = F.least(s["u"] + F.greatest(s["p"] - area, F.lit(0.0)) / (s["c"] * density(s, s["u"])), F.lit(math.pi / 2 * (1 - 1e-12)))
+        return F.struct(s["df"].alias("df"), s["p"].alias("p"), s["c"].alias("c"), after.alias("u"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), held, step, lambda s: F.sqrt(s["df"]) * F.tan(s["u"]))
+    return F.when((df > 0) & (held["p"] > 0) & (held["p"] < 1), found)

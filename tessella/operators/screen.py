@@ -36,6 +36,40 @@ def overlap(docs: DataFrame, key: str, text: str, banned: DataFrame, banned_text
     return marked.groupBy(key).agg(F.count(F.lit(1)).alias("n_grams"), F.count("banned").alias("hits"), F.avg(F.col("banned").isNotNull().cast("double")).alias("fraction"))
 
 
+#: Words that a phrase is looked up by, of a phrase at most, and of the gram that stands for a longer text.
+HEAD, WHOLE, GRAM = 4, 12, 13
+
+
+def phrases(items: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, phrase) of what documents are searched for: texts of 4 to 12 words whole, every 13-word gram of longer ones;
+    and every text for equality, shorter ones for nothing else."""
+    found = items.select(key, T.words(text).alias("_w"))
+    whole = found.where(F.size("_w").between(HEAD, WHOLE)).select(key, F.lit("phrase").alias("kind"), F.array_join("_w", " ").alias("phrase"))
+    grams = found.where(F.size("_w") >= GRAM).select(key, F.lit("gram").alias("kind"), F.explode(F.array_distinct(T.word_grams("_w", GRAM))).alias("phrase"))
+    same = found.where(F.size("_w") > 0).select(key, F.lit("equal").alias("kind"), F.array_join("_w", " ").alias("phrase"))
+    return whole.unionAll(grams).unionAll(same)
+
+
+def phrase_matches(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
+    """(item, key, kind, place) of the first place, in words from 0, where a document holds an item's phrase, by kind.
+
+    Phrases are looked up by their first four words: a document's places whose four words begin no phrase go before anything is
+    shuffled, where the phrases' beginnings are few enough to be broadcast; the others compare the words that follow. Equality
+    is decided by digests of whole texts.
+    """
+    wanted = phrases(items, item, item_text)
+    inner = wanted.where("kind <> 'equal'").select(item, "kind", "phrase", F.substring_index("phrase", " ", HEAD).alias("head"))
+    words = docs.select(F.col(key), T.words(text).alias("_w"))
+    places = F.expr(f"CASE WHEN size(_w) >= {HEAD} THEN transform(sequence(1, size(_w) - {HEAD - 1}), i -> struct(i - 1 AS place, array_join(slice(_w, i, {HEAD}), ' ') AS head, array_join(slice(_w, i, {GRAM}), ' ') AS tail)) END")
+    at = words.select(key, F.inline_outer(places)).where("head IS NOT NULL")
+    begun = at.join(bounded(inner.select("head").distinct()), "head", "left_semi")
+    held = begun.join(bounded(inner), "head").where(F.startswith(F.concat("tail", F.lit(" ")), F.concat("phrase", F.lit(" "))))
+    same = words.where("size(_w) > 0").select(key, F.sha2(F.array_join("_w", " "), 256).alias("digest"))
+    equal = same.join(bounded(wanted.where("kind = 'equal'").select(item, F.sha2("phrase", 256).alias("digest"))), "digest")
+    every = held.select(item, key, "kind", "place").unionAll(equal.select(item, key, F.lit("equal"), F.lit(0)))
+    return every.groupBy(item, key, "kind").agg(F.min("place").alias("place"))
+
+
 def first_seen(df: DataFrame, by: str, order: str, passed: Column) -> DataFrame:
     """df with _first: whether a row is the first of its kind among the rows that pass; only these count as seen."""
     passed = F.coalesce(passed, F.lit(False))

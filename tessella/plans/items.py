@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.plans.registry import query, table
+from tessella.operators import screen
+from tessella.plans.registry import query, spread, table
 
 MD5 = lambda *c: F.md5(F.concat_ws(":", *c))
 
@@ -141,14 +142,21 @@ def option_keys(spark, sf_dir):
     return k.join(r, ["options", "p_size"]).where("p_partkey <> first").select("p_partkey", "first", "n")
 
 
-@query(r"""WITH i AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:8], ' ') || ' ' AS p FROM benchmark WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) >= 8), d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS t FROM documents)
-SELECT item_id, count(DISTINCT doc_id) AS docs FROM i JOIN d ON contains(t, p) GROUP BY item_id""")
+@query(r"""WITH t AS (SELECT item_id, regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\p{L}\p{N}_]+') AS w FROM benchmark UNION ALL SELECT item_id + 1000000, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') FROM benchmark),
+p AS (SELECT item_id, 'phrase' AS kind, array_to_string(w, ' ') AS p FROM t WHERE len(w) BETWEEN 4 AND 12 UNION ALL SELECT item_id, 'gram', unnest(list_distinct(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' ')))) FROM t WHERE len(w) >= 13),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS place, w[i:i + 12] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)), n AS (SELECT doc_id, place, array_to_string(g[1:k], ' ') AS p FROM g, range(4, 14) t(k) WHERE len(g) >= k),
+m AS (SELECT item_id, doc_id, kind, min(place) AS place FROM p JOIN n USING (p) GROUP BY ALL UNION ALL SELECT item_id, doc_id, 'equal', 0 FROM t JOIN d USING (w) WHERE len(w) > 0)
+SELECT item_id, kind, count(*) AS docs, min(doc_id) AS first_doc, arg_min(place, doc_id)::INTEGER AS first_place, sum(place)::BIGINT AS places FROM m GROUP BY 1, 2""")
 def phrase_audit(spark, sf_dir):
-    """Documents that hold a short question as a whole phrase: a join on word grams of its length, by hash, then by text."""
-    asked = table(spark, sf_dir, "benchmark").withColumn("w", T.words("text")).where("size(w) >= 8").select("item_id", F.array_join(F.slice("w", 1, 8), " ").alias("phrase"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w")).where("size(w) >= 8")
-    grams = docs.select("doc_id", F.explode(F.array_distinct(T.word_grams("w", 8))).alias("phrase"))
-    return asked.join(grams, "phrase").groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
+    """Documents that hold an item's first line, or (numbered a million on) its whole text: short ones as whole phrases, long
+    ones by their 13-word grams, all by equality; how many, and the first document with the first place in it."""
+    bench = table(spark, sf_dir, "benchmark")
+    asked = bench.select("item_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("text")).unionAll(bench.select(F.col("item_id") + 1_000_000, "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = screen.phrase_matches(docs, "doc_id", "text", asked, "item_id", "text")
+    first = F.min(F.struct("doc_id", "place"))
+    return found.groupBy("item_id", "kind").agg(F.count(F.lit(1)).alias("docs"), first["doc_id"].alias("first_doc"), first["place"].alias("first_place"), F.sum("place").alias("places"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS first, source, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:12])) AS key FROM documents), k AS (SELECT *, min(doc_id) OVER (PARTITION BY key) AS key_first FROM d),

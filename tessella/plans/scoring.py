@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import stats
 from tessella.functions import vectors as V
-from tessella.operators import joins, resample
+from tessella.operators import accumulate, joins, resample
 from tessella.operators.quantiles import quantiles
 from tessella.plans.registry import query, table
+from tessella.sources import files
 
 R = lambda c, n=6: F.round(c, n)
 ARMS = "SELECT l_partkey, avg(l_extendedprice) FILTER (l_returnflag = 'A') AS a, avg(l_extendedprice) FILTER (l_returnflag = 'N') AS n, avg(l_extendedprice) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1"
@@ -170,3 +171,18 @@ def difference_profile(spark, sf_dir):
     s = a.agg(F.count_if(F.col("x") == F.col("y")).alias("same"), F.avg((F.col("x") != F.col("y")).cast("int")).alias("changed"), F.max("d").alias("max_abs"), F.sqrt(F.sum(F.col("d") * F.col("d")) / F.sum(F.col("x") * F.col("x"))).alias("l2"), F.corr("x", "y").alias("c"))
     s = s.join(p, F.lit(True), "left")  # one row each
     return s.select("same", R("changed", 9).alias("changed"), R("max_abs", 4).alias("max_abs"), *[R(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], R("l2", 8).alias("relative_l2"), R("c", 8).alias("correlation"))
+
+
+@query("""WITH p AS (SELECT l_returnflag, l_extendedprice AS x, CASE WHEN l_linenumber < 7 THEN l_quantity * 1000 END AS y FROM lineitem), b AS (SELECT * FROM p WHERE y IS NOT NULL)
+SELECT l_returnflag, count(*) AS n, (SELECT count(*) FROM p WHERE y IS NULL AND p.l_returnflag = b.l_returnflag) AS n_missing, count(*) FILTER (x = y) AS n_same_bits, round(max(abs(x - y)), 4) AS max_abs, round(avg((x <> y)::INTEGER), 8) AS changed, round(avg(x - y), 4) AS mean_difference, round(avg(abs(x - y)), 4) AS mean_abs,
+round(sqrt(sum((x - y) ^ 2) / sum(x * x)), 8) AS relative_l2, round(corr(x, y), 8) AS correlation, round(stddev_samp(x), 4) AS sd_x FROM b GROUP BY 1""")
+def merged_profile(spark, sf_dir):
+    """Profiles of two aligned measures by group, from states of two runs over chunks, stored and merged."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_extendedprice").alias("x"), F.when(F.col("l_linenumber") < 7, F.col("l_quantity") * 1000).alias("y"))
+    chunk = F.pmod(F.xxhash64("l_orderkey"), F.lit(32)).alias("chunk")
+    states, path = accumulate.partial(items.select("*", chunk), "x", "y", ("l_returnflag", "chunk")), files.folder(spark)
+    for run, part in (("one", "chunk < 20"), ("two", "chunk >= 20")):
+        states.where(part).write.parquet(f"{path}/{run}")
+    every = accumulate.merged(spark.read.parquet(f"{path}/one", f"{path}/two"), ("l_returnflag",))
+    digits = {"changed": 8, "relative_l2": 8, "correlation": 8}
+    return every.select("l_returnflag", "n", "n_missing", "n_same_bits", R("max_abs", 4).alias("max_abs"), *[R(c, digits.get(k, 4)).alias(k) for k, c in accumulate.profile().items()])

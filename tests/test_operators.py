@@ -2,6 +2,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import struct
 import subprocess
 import sys
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tessella.functions import codes, stats
 from tessella.functions import text as T
 from tessella.functions import vectors as V
-from tessella.operators import decide, joins, ledger, packing, provenance, quantiles, resample, screen
+from tessella.operators import accumulate, decide, joins, ledger, packing, provenance, quantiles, resample, screen
 from tessella.sources import scores, tensors
 from tessella.streaming import journal
 
@@ -59,9 +60,20 @@ def test_vectors(spark):
         one(spark, V.difference("a", "b"), a=v, b=v[:2])
 
 
-def test_student_t():
-    assert [round(stats.t_critical(df), 4) for df in (1, 2, 5, 30, 1000)] == [12.7062, 4.3027, 2.5706, 2.0423, 1.9623]
-    assert stats.t_table(3)[2][0] == 3
+#: Critical values of tables, for 95 % but where a coverage is named.
+STUDENT = [(1, 0.95, 12.706204736432095), (2, 0.95, 4.302652729696142), (5, 0.95, 2.570581835636314), (60, 0.95, 2.000297821058262), (61, 0.95, 1.999623584994945), (1_000_000, 0.95, 1.959966357), (1, 0.5, 1.0), (2, 0.5, 0.816496580927726), (1, 0.9999, 6366.197671), (3, 0.99, 5.840909309733), (30, 0.9, 1.697260886593)]
+
+
+def test_student_quantile_at_any_degrees_of_freedom(spark):
+    rows = spark.createDataFrame([(float(a), b) for a, b, _ in STUDENT] + [(0.0, 0.95), (5.0, 1.0), (None, 0.95)], "df double, p double")
+    got = [x.t for x in rows.select(stats.t_quantile(F.col("df"), F.col("p")).alias("t")).collect()]
+    for (df, p, want), t in zip(STUDENT, got):
+        assert t == pytest.approx(want, rel=1e-9), (df, p)
+    assert got[len(STUDENT):] == [None] * 3
+    t, df = spark.range(1).select(stats.t_quantile(F.lit(2.5)).alias("t")).first().t, 2.5
+    x = (np.arange(200_000) + 0.5) * t / 200_000
+    c = math.gamma((df + 1) / 2) / math.gamma(df / 2) / math.sqrt(df * math.pi)
+    assert 2 * c * ((1 + x * x / df) ** (-(df + 1) / 2)).sum() * t / 200_000 == pytest.approx(0.95, abs=1e-9)
 
 
 def test_wilson(spark):
@@ -91,6 +103,33 @@ def test_ledger_without_grace(spark):
     assert ledger.stage_seconds(journal_rows(spark, rows)).agg(F.sum("seconds")).first()[0] == 5760
 
 
+def plain_ledger(rows, now, heartbeat):
+    """(stage, started, seconds), by looking through all events for each start."""
+    out = {}
+    for t, e, s, _ in rows:
+        if e != "start":
+            continue
+        after = min((u for u, f, r, _ in rows if f == "start" and r == s and u > t), default=math.inf)
+        own = [(u, f, x) for u, f, r, x in rows if r == s and f != "start" and t <= u < after]
+        done = [x if x is not None else u - t for u, f, x in own if f == "finish"]
+        last = max([u for u, f, _ in own if f == "heartbeat"], default=t)
+        if heartbeat is not None:
+            last = min([last + heartbeat, *([now] if now is not None else []), *[u for u, f, _, _ in rows if f == "start" and u > t][:0]] + ([min(u for u, f, _, _ in rows if f == "start" and u > t)] if any(f == "start" and u > t for u, f, _, _ in rows) else []))
+        out[s, t] = max(done) if done else max(last - t, 0)
+    return out
+
+
+@pytest.mark.parametrize("heartbeat,now", [(None, None), (7.0, None), (7.0, 480.0)])
+def test_ledger_against_plain_loops_over_many_ranges(spark, monkeypatch, heartbeat, now):
+    """Stages that run through many ranges of time, starts and events at the same moment, and events before any start."""
+    monkeypatch.setattr(packing, "RANGE_ROWS", 1)
+    r = random.Random(12)
+    rows = [(float(r.randrange(500)), r.choice(["start", "heartbeat", "heartbeat", "heartbeat", "finish"]), "hot" if r.random() < 0.6 else r.choice("abcde"), None if r.random() < 0.5 else float(r.randrange(50))) for _ in range(600)]
+    rows = [(t, e, s, x if e == "finish" else None) for t, e, s, x in rows]
+    got = {(x.stage, x.started): x.seconds for x in ledger.stage_seconds(journal_rows(spark, rows).repartition(3), now, heartbeat).collect()}
+    assert got == pytest.approx(plain_ledger(rows, now, heartbeat))
+
+
 def test_only_the_last_line_may_be_torn(spark):
     lines = lambda xs: spark.createDataFrame(list(enumerate(xs)), "n long, line string")
     good = ledger.recovered(lines(['{"a": 1}', '{"a": 2}', '{"a": ']), "n", "line", "a INT")
@@ -150,6 +189,30 @@ def test_greatest_cosine_over_several_blocks(spark, monkeypatch):
     assert {x.cosine for x in none.collect()} == {0.0}
 
 
+def test_phrase_matches_against_brute_force(spark):
+    """Phrases of 1 to 20 words: at the end, at the start, within, twice, nested, beside word edges that are none."""
+    r = random.Random(11)
+    word = lambda: "w%d" % r.randrange(6)
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 3, 4, 4, 5, 7, 12, 12, 13, 14, 20, 4])] + [(50, "A b, C d!"), (51, None), (52, "")]
+    docs = [(i, " ".join(word() for _ in range(r.randrange(0, 60)))) for i in range(120)]
+    for k, (i, t) in enumerate(items[:13]):
+        docs += [(200 + k, f"x {t} y"), (300 + k, t), (400 + k, f"{t}z q {t}"), (500 + k, f"é {t.upper()}: {t}")]
+    docs += [(900, None), (901, ""), (902, "a b c d"), (903, "aa b c d")]
+    got = {(x.i, x.d, x.kind): x.place for x in screen.phrase_matches(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(items, "i long, u string"), "i", "u").collect()}
+    cut, want = lambda t: re.findall(r"\w+", (t or "").lower()), {}
+    for i, t in items:
+        p = cut(t)
+        grams = [p] if 4 <= len(p) <= 12 else [p[k : k + 13] for k in range(len(p) - 12)]
+        for d, u in docs:
+            w = cut(u)
+            places = [k for k in range(len(w)) for g in grams if w[k : k + len(g)] == g]
+            if places:
+                want[i, d, "phrase" if len(p) < 13 else "gram"] = min(places)
+            if p and p == w:
+                want[i, d, "equal"] = 0
+    assert got == want and len({k for _, _, k in got}) == 3
+
+
 def test_offsets_and_sequences(spark):
     r = random.Random(1)
     docs = [(i * 7 - 30, [f"t{i}.{j}" for j in range(r.randrange(6))]) for i in range(200)]
@@ -229,6 +292,27 @@ def test_codes_round_trip(spark):
     assert one(spark, codes.absmean("c")[1], c=[0.0, 0.5, -2.0, 0.1]) == [0, 1, -1, 0]
 
 
+def test_states_merge_to_that_of_the_whole(spark):
+    """However rows are split, with a mean far from 0, missing sides, signed zeros and groups that one part lacks."""
+    r = np.random.default_rng(7)
+    x = 1e9 + r.normal(size=500)
+    rows = [(int(i % 3) if i < 400 else None, float(a), float(a + e)) for i, (a, e) in enumerate(zip(x, r.normal(size=500) * (r.random(500) < 0.5)))]
+    rows += [(0, None, 1.0), (1, 2.0, None), (2, None, None), (1, 0.0, -0.0), (7, None, None)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    whole = {x.g: x for x in accumulate.partial(df, "x", "y", ("g",)).select("g", "n", "n_missing", "n_same_bits", "n_equal", "least", "most", "max_abs", "m_xx", "m_xy").collect()}
+    parts = [accumulate.partial(df.where(F.pmod(F.xxhash64("x"), F.lit(5)) == k), "x", "y", ("g",)) for k in range(5)]
+    halves = accumulate.merged(parts[0].unionAll(parts[1]), ("g",)).unionAll(accumulate.merged(parts[2].unionAll(parts[3]).unionAll(parts[4]), ("g",)))
+    got = accumulate.merged(halves, ("g",)).select("*", *[c.alias(k) for k, c in accumulate.profile().items()]).collect()
+    assert {x.g for x in got} == set(whole) == {0, 1, 2, None, 7}
+    for s in got:
+        w = whole[s.g]
+        assert [s[k] for k in ("n", "n_missing", "n_same_bits", "n_equal", "least", "most", "max_abs")] == [w[k] for k in ("n", "n_missing", "n_same_bits", "n_equal", "least", "most", "max_abs")]
+        both = np.array([(a, b) for g, a, b in rows if g == s.g and a is not None and b is not None])
+        if len(both) and s.g != 1:
+            assert s.m_xx == pytest.approx(both[:, 0].var() * len(both), rel=1e-6) and s.correlation == pytest.approx(np.corrcoef(both.T)[0, 1], rel=1e-6)
+    assert next(x for x in got if x.g == 7).correlation is None and next(x for x in got if x.g == 1).n_same_bits + 1 == next(x for x in got if x.g == 1).n_equal
+
+
 def test_key_mismatches_and_differing_rows(spark):
     a, b = (spark.createDataFrame([(x, 1.0) for x in xs], "k long, v double") for xs in ([1, 2, 2], [1, 2, 3]))
     assert sorted(map(tuple, joins.key_mismatches(a, b, "k").collect())) == [(2, 2, 1), (3, 0, 1)]
@@ -289,15 +373,70 @@ def test_digests(spark, tmp_path):
     assert got.length == 3 and got.sha256.startswith("ba7816bf")
 
 
-def test_stream_appends_each_id_once(spark, tmp_path):
+def test_a_journal_is_read_by_offsets_and_holds_back_its_torn_end(spark, tmp_path, monkeypatch):
+    """Lines come once, whole, whatever ranges they are read by; a torn last line waits until it is complete."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    journal.register(spark)
+    out, cp = f"{tmp_path}/out", f"{tmp_path}/cp"
+    read = lambda: sorted(x.line for x in spark.read.parquet(out).collect())
+
+    def run():
+        query = journal.follow(spark, str(folder), range_bytes=16).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    lines = [f"line {i} é" + "x" * (i % 40) for i in range(200)]
+    (folder / "a").write_text("\n".join(lines) + "\ntorn")
+    (folder / "b").write_text("one\n\ntwo\n")
+    (folder / "empty").write_text("")
+    run()
+    assert read() == sorted([*lines, "one", "", "two"])
+    with open(folder / "a", "a") as f:
+        f.write(" and mended\nnext to")
+    (folder / "c").write_text("late\n")
+    run()
+    run()
+    assert read() == sorted([*lines, "one", "", "two", "torn and mended", "late"])
+
+
+JOURNAL_RUN = """
+import os, sys
+from pyspark.sql import SparkSession
+from tessella.streaming import journal
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+folder, out, cp, kill = sys.argv[1:]
+journal.register(spark)
+rows = journal.parsed(journal.follow(spark, folder), "id LONG, v DOUBLE")
+journal.append_once(rows, "id", out, cp, (lambda n: os._exit(9)) if kill == "kill" else None)
+"""
+
+
+def test_a_killed_and_resumed_run_appends_each_id_once(spark, tmp_path):
+    """Killed after a batch was written and before it was recorded as done, then run again, twice, with more rows and repeats."""
     folder = tmp_path / "in"
     folder.mkdir()
-    put = lambda name, ids: (folder / name).write_text("".join(json.dumps({"id": i, "ts": "2024-01-01 00:00:0%d" % i, "v": 1.0}) + "\n" for i in ids))
-    put("a.json", [1, 2, 2])
-    for _ in range(2):
-        journal.append_once(journal.follow(spark, str(folder), "id LONG, ts TIMESTAMP, v DOUBLE"), "id", f"{tmp_path}/out", f"{tmp_path}/cp")
-        put("b.json", [2, 3])
-    assert sorted(x.id for x in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+    put = lambda name, ids: (folder / name).write_text("".join(json.dumps({"id": i, "v": 1.0}) + "\n" for i in ids))
+    run = lambda kill: subprocess.run([sys.executable, "-c", JOURNAL_RUN, str(folder), f"{tmp_path}/out", f"{tmp_path}/cp", kill], capture_output=True).returncode
+    put("a", [1, 2, 2, None])
+    assert run("kill") == 9
+    assert run("go") == 0
+    put("b", [2, 3, 1])
+    assert run("go") == 0 and run("go") == 0
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((x.id is None, x.id or 0) for x in got) == [(False, 1), (False, 2), (False, 3), (True, 0)]
+
+
+def test_windows_by_event_time_leave_late_rows_out(spark, tmp_path):
+    """A row is late against what the batches before the last have moved the watermark to."""
+    (tmp_path / "in").mkdir()
+    journal.register(spark)
+    parts = [[("00:00", "a", 1.0), ("01:00", "a", 1.0), ("07:00", "a", 1.0)], [("09:00", "a", 2.0)], [("00:30", "a", 5.0), ("30:00", "b", 0.0)], [("31:00", "b", 0.0)]]
+    for i, rows in enumerate(parts):
+        (tmp_path / "in" / str(i)).write_text("".join(json.dumps({"t": f"2024-01-01 00:{t}", "k": k, "v": v}) + "\n" for t, k, v in rows))
+        stream = journal.windowed(journal.parsed(journal.follow(spark, str(tmp_path / "in")), "t TIMESTAMP, k STRING, v DOUBLE"), "t", "k", "v", "1 minute", "5 minutes")
+        stream.writeStream.format("parquet").outputMode("append").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = {(x.start.minute, x.k): (x.n, x.total) for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(0, "a"): (2, 2.0), (5, "a"): (2, 3.0)}
 
 
 def test_the_rest_does_not_import_the_training_data_package():
