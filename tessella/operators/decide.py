@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.operators.screen import first_reason
+
 
 def verdict(low: Column, high: Column, enough_signs: Column) -> Column:
     """support above zero with enough signs, exclude below zero, else unresolved."""
@@ -40,33 +44,42 @@ def greedy(costs: list[tuple[str, float]], budget: float) -> list[str]:
     return out
 
 
-def diagnostics(m: Column, rule: dict[str, float], binding: str = "calibrated") -> Column:
-    """(branch, arms, stop) of one row of metrics m: an instrument that fails on the reference arm stops everything; else how
-    well answers are bound, and whether knowledge shows without options, choose the arms of the next experiment.
-
-    ``binding`` names the accuracy that the reference arm is held against; with "raw", only the floor moves.
-    """
-    broken = (m[f"reference_{binding}"] < rule["reference_binding"]) | (m["reference_pairwise"] < rule["reference_pairwise"])
-    knows = F.greatest(m["cloze_chat_low"], m["cloze_raw_low"]) > rule["knowledge_low"]
-    informative = F.greatest(m["reference_cloze_chat_low"], m["reference_cloze_raw_low"]) > rule["informative_low"]
-    rising = ((m["letter_rise"] >= rule["rise"]) & (m["letter_rise_low"] > 0)) | ((m["cloze_rise"] >= rule["rise"]) & (m["cloze_rise_low"] > 0))
-    intact = m["binding"] >= rule["intact"]
-    branch = F.when(broken, "harness_invalid").when(m["binding"] < rule["broken"], "readout_broken").when(intact & ~informative, "ambiguous").when(intact & ~knows, "knowledge_lost").when(intact, "closed_book_readout").otherwise("ambiguous")
-    arms = F.when(branch == "harness_invalid", F.array().cast("array<string>")).when(branch == "knowledge_lost", F.array(F.lit("U"), F.lit("B"))).otherwise(F.array(F.lit("M"), F.lit("U")))
-    arms = F.when(rising & (branch != "harness_invalid"), F.array_union(arms, F.array(F.lit("B")))).otherwise(arms)
-    return F.struct(branch.alias("branch"), arms.alias("arms"), (branch == "harness_invalid").alias("stop"))
-
-
-def factorial(arms: Column, branch: Column) -> Column:
-    """The recommendation from an array of arms (arm, effect, book_gain, costs_ok, recovered, fresh_confirmed, ladder, pairwise),
-    and the winning arms, the greatest pairwise score first."""
-    wins = F.filter(arms, lambda a: a["recovered"] & a["fresh_confirmed"] & a["costs_ok"])
-    winners = F.transform(F.sort_array(F.transform(wins, lambda a: F.struct((-a["pairwise"]).alias("k"), a["arm"].alias("arm")))), lambda x: x["arm"])
-    effect = lambda *names: F.exists(arms, lambda a: a["arm"].isin(*names) & a["effect"])
-    ladder = (branch == "knowledge_lost") & F.exists(arms, lambda a: (a["arm"] == "B") & (a["effect"] | a["ladder"])) & ~effect("U", "MU")
-    any_ = F.exists(arms, lambda a: a["effect"] | a["book_gain"])
-    found = F.when(F.size(winners) > 0, "rent_with_recipe").when(effect("M", "MU"), "iterate_on_choices").when(ladder, "rent_token_ladder").when(any_, "iterate").otherwise("stop")
-    return F.struct(found.alias("recommendation"), winners.alias("winners"))
+def ladder(rules: list[tuple[str, Column]], otherwise: str) -> Column:
+    """The outcome of the first rule that holds; one that is undefined does not hold."""
+    return first_reason(rules, otherwise)
+
+
+def reasons(rules: list[tuple[str, Column]]) -> Column:
+    """The names of all rules that hold, in their order."""
+    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())
+
+
+def branches(rules: list[tuple[str, Column]], otherwise: str, arms: dict[str, list[str]], added: list[tuple[Column, str]], stops: set[str]) -> Column:
+    """(branch, arms, reasons, stop): the first rule that holds names the branch, the branch its arms; where it doesn't stop
+    everything, arms are added whose condition holds. All rules that hold are the reasons."""
+    branch = ladder(rules, otherwise)
+    names = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    stop = branch.isin(*stops) if stops else F.lit(False)
+    asked = reduce(lambda below, b: F.when(branch == b, names(arms[b])).otherwise(below), arms, names([]))
+    for condition, arm in added:
+        asked = F.when(~stop & F.coalesce(condition, F.lit(False)), F.array_union(asked, names([arm]))).otherwise(asked)
+    return F.struct(branch.alias("branch"), asked.alias("arms"), reasons(rules).alias("reasons"), stop.alias("stop"))
+
+
+def holds_for(arms: Column, condition, *names: str) -> Column:
+    """Whether a condition holds for one of the named arms of an array, or of all arms without names; an absent arm is none."""
+    return F.exists(arms, lambda a: (a["arm"].isin(*names) if names else F.lit(True)) & F.coalesce(condition(a), F.lit(False)))
+
+
+def ranked(arms: Column, condition, by: str) -> Column:
+    """The names of the arms for which a condition holds, that with the greatest value first, equal ones by name."""
+    held = F.filter(arms, lambda a: F.coalesce(condition(a), F.lit(False)))
+    return F.transform(F.sort_array(F.transform(held, lambda a: F.struct((-a[by]).alias("k"), a["arm"].alias("arm")))), lambda x: x["arm"])
+
+
+def hypotheses(arm: Column, rules: dict[str, tuple[list[str], Column]]) -> list[Column]:
+    """A flag for each hypothesis, null for arms that it says nothing about."""
+    return [F.when(arm.isin(*names), F.coalesce(c, F.lit(False))).alias(h) for h, (names, c) in rules.items()]
 
 
 def dose(effect: Column, low: Column, high: Column, least: float, corroborated: Column, affordable: Column, floor: Column) -> Column:

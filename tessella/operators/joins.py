@@ -18,6 +18,13 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYT
     return F.broadcast(df) if n <= rows and found <= size else df
 
 
+def single(df: DataFrame) -> DataFrame:
+    """df, which must have one row, to be joined to all rows of another: any other number of rows raises. It is aggregated to
+    one row, so that what is broadcast is one."""
+    n = F.count(F.lit(1))
+    return F.broadcast(df.agg(F.when(n == 1, F.first(F.struct(*df.columns))).otherwise(F.raise_error(F.concat(F.lit("one row is wanted, not "), n.cast("string")))).alias("_row")).select("_row.*"))
+
+
 def complete_cases(scores: DataFrame, item: str, arm: str, score: str, arms: list) -> DataFrame:
     """Items with a score in every one of the arms: one row with a column per arm."""
     wide = scores.where(F.col(arm).isin(arms)).groupBy(item).pivot(arm, arms).agg(F.first(score, ignorenulls=True))

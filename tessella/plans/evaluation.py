@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.functions.transforms import hadamard_array
-from tessella.operators import screen
+from tessella.operators import joins, screen
 from tessella.plans.registry import query, table
 
 R = lambda c, n=6: F.round(c, n)
@@ -52,10 +52,10 @@ def decision_branches(spark, sf_dir):
     """A branch for each arm against a baseline, by rules in a fixed order, and the arms' places; arms are few."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     s = o.groupBy(F.col("c_mktsegment").alias("arm")).agg(F.avg("o_totalprice").alias("m"), (F.stddev_samp("o_totalprice") / F.sqrt(F.count(F.lit(1)))).alias("se"), F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("f"))
-    base = s.where("arm = 'BUILDING'").select(F.lit(1).alias("one"), F.col("m").alias("bm"), F.col("f").alias("bf"))
+    base = joins.single(s.where("arm = 'BUILDING'").select(F.col("m").alias("bm"), F.col("f").alias("bf")))
     d, half = F.col("m") - F.col("bm"), 1.96 * F.col("se")
     branch = screen.first_reason([("insane", F.col("f") < 0.1), ("better", (d > half) & (F.col("f") >= F.col("bf"))), ("traded", d > half), ("worse", d < -half)], "level")
-    joined = s.withColumn("one", F.lit(1)).join(base, "one")
+    joined = s.crossJoin(base)
     return joined.select("arm", branch.alias("branch"), F.row_number().over(Window.orderBy(F.desc("m"), "arm")).cast("long").alias("place"))
 
 

@@ -167,10 +167,10 @@ def file_inventory(spark, sf_dir):
     return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query(r"""SELECT c_mktsegment AS line, '| ' || c_mktsegment || ' | ' || printf('%.2f [%.2f, %.2f]', avg(c_acctbal), avg(c_acctbal) - 1.96 * stddev_samp(c_acctbal) / sqrt(count(*)), avg(c_acctbal) + 1.96 * stddev_samp(c_acctbal) / sqrt(count(*))) || ' |' AS text FROM customer GROUP BY 1""")
+@query(r"""WITH m AS (SELECT c_mktsegment AS s, '| ' || c_mktsegment || ' | ' || printf('%.2f [%.2f, %.2f]', avg(c_acctbal), avg(c_acctbal) - 1.96 * stddev_samp(c_acctbal) / sqrt(count(*)), avg(c_acctbal) + 1.96 * stddev_samp(c_acctbal) / sqrt(count(*))) || ' |' AS line FROM customer GROUP BY 1)
+SELECT row_number() OVER (ORDER BY s) + 1 AS place, line FROM m UNION ALL SELECT 0, '| segment | balance |' UNION ALL SELECT 1, '| --- | --- |'""")
 def report_cells(spark, sf_dir):
-    """Lines of a Markdown table with means and intervals."""
+    """The lines of a Markdown table with means and intervals."""
     mean, low, high = mean_interval(F.col("c_acctbal"))
     found = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(mean.alias("mean"), low.alias("low"), high.alias("high"))
-    text = files.markdown(found, {"segment": F.col("c_mktsegment"), "balance": files.interval_cell(F.col("mean"), F.col("low"), F.col("high"))}, "c_mktsegment")
-    return spark.createDataFrame([(x.split(" | ")[0][2:], x) for x in text.split("\n")[2:]], "line string, text string")
+    return files.markdown(found, {"segment": F.col("c_mktsegment"), "balance": files.interval_cell(F.col("mean"), F.col("low"), F.col("high"))}, "c_mktsegment")

@@ -66,7 +66,7 @@ def best_position(spark, sf_dir):
     p = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max(F.struct("l_extendedprice", (-F.col("l_linenumber")).alias("k")))["k"].alias("k"), F.count(F.lit(1)).alias("n"))
     every = p.agg(F.count(F.lit(1)).alias("all"), F.avg(1.0 / F.col("n")).alias("chance"))
     c = p.groupBy((-F.col("k")).alias("position")).agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), "position").limit(1)
-    return c.join(F.broadcast(every)).select("position", "hits", R(F.col("hits") / F.col("all"), 9).alias("share"), R("chance", 9).alias("chance"))
+    return c.crossJoin(F.broadcast(every)).select("position", "hits", R(F.col("hits") / F.col("all"), 9).alias("share"), R("chance", 9).alias("chance"))
 
 
 @query(f"""WITH b AS ({ORACLE_SQL["contamination_fractions"]}), f AS (SELECT item_id, fraction FROM b)
@@ -77,7 +77,7 @@ def contamination_summary(spark, sf_dir):
     top = f.orderBy(F.desc("fraction"), F.desc("item_id")).limit(3).agg(F.sort_array(F.collect_list(F.struct("fraction", "item_id")), False)["item_id"].alias("t"))
     v = F.col("fraction")
     found = f.agg(F.count(F.lit(1)).alias("n"), F.count_if(v > 0).alias("some"), F.count_if(v > 0.3).alias("over_30"), F.count_if(v > 0.5).alias("over_50"), R(F.max(v)).alias("most"), R(F.avg(v)).alias("mean"))
-    return found.join(F.broadcast(top)).select("*", F.array_join(F.transform("t", lambda x: x.cast("string")), " ").alias("top")).drop("t")
+    return found.crossJoin(F.broadcast(top)).select("*", F.array_join(F.transform("t", lambda x: x.cast("string")), " ").alias("top")).drop("t")
 
 
 #: Names of tensors outside blocks with their region, and the first part of names inside by region (a public format's names).
@@ -143,6 +143,19 @@ def tolerant_inventory(spark, sf_dir):
 RULE = {"reference_binding": 40.0, "reference_pairwise": 30.0, "knowledge_low": 45.0, "informative_low": 48.0, "rise": 0.5, "broken": 47.0, "intact": 52.0}
 
 
+def diagnosed(m, binding: str = "calibrated"):
+    """The rules of the diagnosis, as data: branches in their order, the arms of each, and when one more is asked for."""
+    at = lambda name: F.lit(RULE[name])
+    invalid = (m[f"reference_{binding}"] < at("reference_binding")) | (m["reference_pairwise"] < at("reference_pairwise"))
+    intact, open_book = m["binding"] >= at("intact"), F.greatest(m["reference_cloze_chat_low"], m["reference_cloze_raw_low"]) > at("informative_low")
+    known = F.greatest(m["cloze_chat_low"], m["cloze_raw_low"]) > at("knowledge_low")
+    rules = [("harness_invalid", invalid), ("readout_broken", m["binding"] < at("broken")), ("knowledge_lost", intact & open_book & ~known), ("closed_book_readout", intact & open_book)]
+    rises = [(m[f"{k}_rise"] >= at("rise")) & (m[f"{k}_rise_low"] > 0) for k in ("letter", "cloze")]
+    usual = ["M", "U"]
+    arms = {"knowledge_lost": ["U", "B"], "readout_broken": usual, "closed_book_readout": usual, "ambiguous": usual}
+    return decide.branches(rules, "ambiguous", arms, [(rises[0] | rises[1], "B")], {"harness_invalid"})
+
+
 @query("""WITH v AS (SELECT c_nationkey, avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING') / 100 AS b, avg(c_acctbal) FILTER (c_mktsegment = 'MACHINERY') / 100 AS m, avg(c_acctbal) FILTER (c_mktsegment = 'FURNITURE') / 100 AS f, avg(c_acctbal) FILTER (c_mktsegment = 'HOUSEHOLD') / 100 AS h FROM customer GROUP BY 1),
 r AS (SELECT *, (m - f >= 0.5 AND h > 0) OR (h - b >= 0.5 AND f > 45) AS rising, greatest(f, h) > 45 AS knows, greatest(h, b) > 48 AS informative FROM v),
 k AS (SELECT *, CASE WHEN f < 40 OR h < 30 THEN 'harness_invalid' WHEN b < 47 THEN 'readout_broken' WHEN b >= 52 AND NOT informative THEN 'ambiguous' WHEN b >= 52 AND NOT knows THEN 'knowledge_lost' WHEN b >= 52 THEN 'closed_book_readout' ELSE 'ambiguous' END AS branch,
@@ -155,22 +168,33 @@ def diagnostic_branches(spark, sf_dir):
     b, m, f, h = (F.col(x) for x in names.values())
     metrics = {"reference_calibrated": f, "reference_raw": m, "reference_pairwise": h, "binding": b, "cloze_chat_low": f, "cloze_raw_low": h, "reference_cloze_chat_low": h, "reference_cloze_raw_low": b, "letter_rise": m - f, "letter_rise_low": h, "cloze_rise": h - b, "cloze_rise_low": f - 45}
     rows = v.select("c_nationkey", F.struct(*[c.alias(n) for n, c in metrics.items()]).alias("m"))
-    found = rows.select("c_nationkey", decide.diagnostics(F.col("m"), RULE).alias("d"), decide.diagnostics(F.col("m"), RULE, "raw").alias("a"))
+    found = rows.select("c_nationkey", diagnosed(F.col("m")).alias("d"), diagnosed(F.col("m"), "raw").alias("a"))
     return found.select("c_nationkey", "d.branch", F.array_join("d.arms", ",").alias("arms"), F.col("a.branch").alias("amended"))
 
 
-@query("""WITH a AS (SELECT o_custkey AS g, CASE o_orderpriority[1:1] WHEN '1' THEN 'M' WHEN '2' THEN 'U' WHEN '3' THEN 'MU' WHEN '4' THEN 'B' ELSE 'C' END AS arm, avg(o_totalprice) / 1000 AS s, max(o_totalprice) / 1000 AS hi, min(o_totalprice) / 1000 AS lo FROM orders GROUP BY ALL),
-f AS (SELECT g, arm, s, s > 300 AND lo > 250 AS effect, lo > 280 AS gain, hi < 450 AS costs, s > 200 AS recovered, lo > 150 AS fresh, s > 320 AS ladder FROM a WHERE arm <> 'C'),
-w AS (SELECT g, list(arm ORDER BY -round(s, 3), arm) FILTER (recovered AND fresh AND costs) AS w, bool_or(effect AND arm IN ('M', 'MU')) AS m, bool_or(effect AND arm IN ('U', 'MU')) AS u, bool_or(arm = 'B' AND (effect OR ladder)) AS b, bool_or(effect OR gain) AS any_ FROM f GROUP BY g)
-SELECT g, CASE WHEN w IS NOT NULL THEN 'rent_with_recipe' WHEN m THEN 'iterate_on_choices' WHEN g % 2 = 0 AND b AND NOT u THEN 'rent_token_ladder' WHEN any_ THEN 'iterate' ELSE 'stop' END AS recommendation, coalesce(array_to_string(w, ','), '') AS winners FROM w""")
+@query("""WITH a AS (SELECT o_custkey AS g, o_orderpriority AS arm, avg(o_totalprice) / 1000 AS s, max(o_totalprice) / 1000 AS hi, min(o_totalprice) / 1000 AS lo, count(*) AS n FROM orders GROUP BY ALL),
+f AS (SELECT *, lo > 100 AND s > 150 AS effect, lo > 130 AS gain, hi < 350 AS affordable, CASE WHEN arm IN ('1-URGENT', '2-HIGH') THEN lo > 100 AND s > 150 AND n > 1 END AS fast_helps, CASE WHEN arm IN ('4-NOT SPECIFIED', '5-LOW') THEN (lo > 100 AND s > 150) OR lo > 130 END AS slow_helps FROM a),
+w AS (SELECT g, list(arm ORDER BY -round(s, 3), arm) FILTER (effect AND affordable AND n > 1) AS w, count(*) AS arms, count(*) FILTER (fast_helps) AS fast, count(*) FILTER (slow_helps) AS slow, bool_or(effect) AS effect, bool_or(gain AND affordable) AS gain, bool_or(arm = '3-MEDIUM' AND affordable) AS medium FROM f GROUP BY g)
+SELECT g, CASE WHEN arms < 2 THEN 'too few arms' WHEN w IS NOT NULL THEN 'adopt' WHEN fast > 0 AND slow = 0 THEN 'fast only' WHEN slow > 0 AND fast = 0 THEN 'slow only' WHEN effect OR gain THEN 'repeat' WHEN medium THEN 'hold' ELSE 'stop' END AS recommendation, coalesce(array_to_string(w, ','), '') AS winners, fast, slow FROM w""")
 def factorial_decisions(spark, sf_dir):
-    """What the arms of each group recommend, with the winners in order."""
-    arm = F.element_at(F.create_map(*[F.lit(x) for p in (("1", "M"), ("2", "U"), ("3", "MU"), ("4", "B"), ("5", "C")) for x in p]), F.left("o_orderpriority", F.lit(1)))
-    a = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("g"), arm.alias("arm")).agg((F.avg("o_totalprice") / 1000).alias("s"), (F.max("o_totalprice") / 1000).alias("hi"), (F.min("o_totalprice") / 1000).alias("lo")).where("arm <> 'C'")
-    f = a.select("g", F.struct("arm", F.expr("s > 300 AND lo > 250").alias("effect"), F.expr("lo > 280").alias("book_gain"), F.expr("hi < 450").alias("costs_ok"), F.expr("s > 200").alias("recovered"), F.expr("lo > 150").alias("fresh_confirmed"), F.expr("s > 320").alias("ladder"), F.round("s", 3).alias("pairwise")).alias("x"))
-    branch = F.when(F.col("g") % 2 == 0, "knowledge_lost").otherwise("ambiguous")
-    found = f.groupBy("g").agg(F.collect_list("x").alias("arms")).select("g", decide.factorial(F.col("arms"), branch).alias("d"))
-    return found.select("g", "d.recommendation", F.array_join("d.winners", ",").alias("winners"))
+    """What the arms of each group recommend by a ladder of rules, with the winners in order and how many arms bear each
+    hypothesis out."""
+    a = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("g"), F.col("o_orderpriority").alias("arm")).agg((F.avg("o_totalprice") / 1000).alias("s"), (F.max("o_totalprice") / 1000).alias("hi"), (F.min("o_totalprice") / 1000).alias("lo"), F.count(F.lit(1)).alias("n"))
+    f = a.select("*", F.expr("lo > 100 AND s > 150").alias("effect"), F.expr("lo > 130").alias("gain"), F.expr("hi < 350").alias("affordable"), F.round("s", 3).alias("score"))
+    helps = {"fast_helps": (["1-URGENT", "2-HIGH"], F.col("effect") & (F.col("n") > 1)), "slow_helps": (["4-NOT SPECIFIED", "5-LOW"], F.col("effect") | F.col("gain"))}
+    each = f.select("*", *decide.hypotheses(F.col("arm"), helps)).groupBy("g").agg(F.collect_list(F.struct("arm", "n", "effect", "gain", "affordable", "score", *helps)).alias("arms"))
+    arms = F.col("arms")
+    bearing = lambda h: F.size(F.filter(arms, lambda x: F.coalesce(x[h], F.lit(False)))).cast("long")
+    counted = each.select("*", *[bearing(h).alias(h[:4]) for h in helps], decide.ranked(arms, lambda x: x["effect"] & x["affordable"] & (x["n"] > 1), "score").alias("winners"))
+    rules = [
+        ("too few arms", F.size(arms) < 2),
+        ("adopt", F.size("winners") > 0),
+        ("fast only", (F.col("fast") > 0) & (F.col("slow") == 0)),
+        ("slow only", (F.col("slow") > 0) & (F.col("fast") == 0)),
+        ("repeat", decide.holds_for(arms, lambda x: x["effect"]) | decide.holds_for(arms, lambda x: x["gain"] & x["affordable"])),
+        ("hold", decide.holds_for(arms, lambda x: x["affordable"], "3-MEDIUM")),
+    ]
+    return counted.select("g", decide.ladder(rules, "stop").alias("recommendation"), F.array_join("winners", ",").alias("winners"), "fast", "slow")
 
 
 @query("""WITH e AS (SELECT l_suppkey, avg(l_discount - 0.05) * 100 AS m, 196 * stddev_samp(l_discount) / sqrt(count(*)) AS h, avg(l_tax) AS t, avg(l_quantity) AS q FROM lineitem GROUP BY 1 HAVING count(*) > 1),

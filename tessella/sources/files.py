@@ -213,11 +213,17 @@ def logit_rows(spark: SparkSession, path: str, width: int) -> DataFrame:
     return files.mapInPandas(rows, "file string, row long, values array<float>")
 
 
-def markdown(rows: DataFrame, columns: dict[str, Column], order: str) -> str:
-    """A Markdown table of a bounded summary, a line for each row in order."""
-    body = [list(r)[1:] for r in rows.select(F.col(order), *[c.cast("string").alias(n) for n, c in columns.items()]).orderBy(order).collect()]
-    lines = [list(columns), ["---"] * len(columns), *body]
-    return "\n".join("| " + " | ".join("" if x is None else x for x in r) + " |" for r in lines)
+def markdown(rows: DataFrame, columns: dict[str, Column], order: str) -> DataFrame:
+    """(place, line): the lines of a Markdown table, two of them its head, a line for each row in order. Rows are numbered by
+    ranges of a sorted table, so none of it passes through the driver."""
+    from tessella.operators.packing import offsets
+
+    cells = [F.coalesce(c.cast("string"), F.lit("")) for c in columns.values()]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    digest = F.conv(F.hex(F.substring(F.rpad(F.col(order).cast("string").cast("binary"), F.lit(7), F.lit(b"\0")), 1, 7)), 16, 10).cast("long")
+    body = offsets(rows.select(digest.alias("_key"), F.col(order).alias("_by"), line.alias("line"), F.lit(1).alias("_one")), "_key", "_one", ties=("_by",))
+    head = ["| " + " | ".join(columns) + " |", "| " + " | ".join(["---"] * len(columns)) + " |"]
+    return rows.sparkSession.createDataFrame(list(enumerate(head)), "place long, line string").unionAll(body.select((F.col("start") + 2).alias("place"), "line"))
 
 
 def interval_cell(mean: Column, low: Column, high: Column) -> Column:

@@ -323,6 +323,27 @@ def test_greedy():
     assert decide.greedy([("a", 3), ("b", 9), ("c", 2)], 6) == ["a", "c"]
 
 
+def test_rules_as_data(spark):
+    """First rule wins, undefined rules don't hold, absent arms are none, ties among arms are broken by name."""
+    rows = spark.createDataFrame([(1, 5.0, None), (2, 1.0, True), (3, None, None)], "k int, a double, b boolean")
+    rules = [("high", F.col("a") > 4), ("flag", F.col("b")), ("some", F.col("a") > 0)]
+    d = decide.branches(rules, "none", {"high": ["x"], "flag": ["y", "x"]}, [(F.col("a") > 0.5, "z"), (F.col("b"), "y")], {"high"})
+    got = {x.k: x.d for x in rows.select("k", d.alias("d")).collect()}
+    assert [(got[k].branch, got[k].arms, got[k].reasons, got[k].stop) for k in (1, 2, 3)] == [("high", ["x"], ["high", "some"], True), ("flag", ["y", "x", "z"], ["flag", "some"], False), ("none", [], [], False)]
+    arms = spark.createDataFrame([([("p", 2.0, True), ("n", 2.0, True), ("m", 9.0, None), ("q", 3.0, True)],), ([],)], "arms array<struct<arm:string,s:double,ok:boolean>>")
+    found = arms.select(decide.ranked(F.col("arms"), lambda a: a["ok"], "s").alias("w"), decide.holds_for(F.col("arms"), lambda a: a["ok"], "m", "zz").alias("m"), decide.holds_for(F.col("arms"), lambda a: a["s"] > 8).alias("any")).collect()
+    assert [tuple(x) for x in found] == [(["q", "n", "p"], False, True), ([], False, False)]
+    flags = spark.createDataFrame([("p", True), ("q", None), ("r", True)], "arm string, ok boolean").select(*decide.hypotheses(F.col("arm"), {"h": (["p", "q"], F.col("ok"))})).collect()
+    assert [x.h for x in flags] == [True, False, None]
+
+
+def test_single_rows(spark):
+    assert spark.range(3).crossJoin(joins.single(spark.range(1).select(F.lit(7).alias("x")))).count() == 3
+    for n in (0, 2):
+        with pytest.raises(Exception, match="one row is wanted"):
+            spark.range(3).crossJoin(joins.single(spark.range(n).select(F.lit(7).alias("x")))).collect()
+
+
 def test_score_files(spark, tmp_path):
     for arm, ids in (("base", "ab"), ("x", "ab"), ("y", "aa")):
         (tmp_path / f"{arm}.jsonl").write_text("".join(json.dumps({"id": i, "kind": "nll", "values": [1, 2]}) + "\n" for i in ids))
