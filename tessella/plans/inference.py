@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import stats
-from tessella.operators import decide, joins
+from tessella.operators import blocks, decide, joins
 from tessella.plans import screening
 from tessella.operators.packing import offsets
 from tessella.plans.registry import ORACLE_SQL, query, table
@@ -362,3 +362,18 @@ def blocked_compare(spark, sf_dir):
 
     found = v.groupBy("block").applyInPandas(compare, "block long, rows_ long, error double, relative double, most double")
     return found.select("block", "rows_", R("error").alias("error"), R("relative", 9).alias("relative"), R("most").alias("most"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS w, list_transform(embedding, lambda x: x::DOUBLE - round_even(x::DOUBLE * 8, 0) / 8) AS d FROM embeddings),
+p AS (SELECT sum(pow(list_dot_product(x.w, y.d), 2)) AS e, sum(pow(list_dot_product(x.w, y.w), 2)) AS t FROM v x, v y)
+SELECT round(e, 3) AS error, round(t, 3) AS total, round(e / t, 9) AS ratio FROM p""")
+def weighted_error(spark, sf_dir):
+    """What rounding to eighths costs the outputs: the error weighted by all vectors' second moments, against the whole, by
+    products of blocks of 16. In SQL, as sums over all pairs."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("w"))
+    v = offsets(v.withColumn("one", F.lit(1)), "vec_id", "one").select(F.col("start").alias("n"), "w", F.transform("w", lambda x: x - F.rint(x * 8) / 8).alias("d"))
+    w, d = blocks.blocked(v, "n", "w", 16), blocks.blocked(v, "n", "d", 16)
+    h = blocks.gram(w, 16)
+    error, total = (blocks.weighted_square(m, h, 16).withColumnRenamed("value", n) for m, n in ((d, "error"), (w, "total")))
+    one = error.crossJoin(F.broadcast(total))  # aggregates without keys: a row each
+    return one.select(R("error", 3).alias("error"), R("total", 3).alias("total"), R(F.col("error") / F.col("total"), 9).alias("ratio"))

@@ -43,11 +43,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(p)
 
 
+#: Names the version that is current of what ``replace`` has written.
+CURRENT = "_current"
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder that is read for a path: its current version, or the path itself where it has no versions."""
+    system, pointer = _path(spark, f"{path}/{CURRENT}")
+    if not system.exists(pointer):
+        return path
+    file = system.open(pointer)
+    try:
+        name = spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    finally:
+        file.close()
+    return f"{path}/{name}"
+
+
 def jsonl(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     """JSON lines of the first of the paths that exists."""
     for path in paths:
         if exists(spark, path):
-            return spark.read.schema(schema).json(path)
+            return spark.read.schema(schema).json(current(spark, path))
     raise FileNotFoundError(", ".join(paths))
 
 
@@ -74,17 +91,24 @@ def write_new(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """JSON lines in place of what was there: written beside it, then renamed, so that readers find the one or the other."""
-    spark, beside = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
-    df.write.json(beside)
-    (system, p), (_, new) = _path(spark, path), _path(spark, beside)
-    if system.exists(p):
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{beside}.old")
-        system.rename(p, old)
-        system.rename(new, p)
-        system.delete(old, True)
-    else:
-        system.rename(new, p)
+    """JSON lines in place of what was there, in one step: a whole new version is written, then the small file that names the
+    current one is replaced by a rename that overwrites. Readers by ``jsonl`` find the old version or the new one, at any moment,
+    and so does a run after a crash; the version before stays for those that read it, older ones go."""
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    before = current(spark, path).removeprefix(f"{path}/")
+    df.write.json(f"{path}/{version}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    (system, beside), (_, pointer) = _path(spark, f"{path}/_{version}"), _path(spark, f"{path}/{CURRENT}")
+    file = system.create(beside, True)
+    file.write(bytearray(version.encode()))
+    file.close()
+    option = spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    overwrite = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = spark._jvm.java.lang.Enum.valueOf(option, "OVERWRITE")
+    hadoop.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, pointer, overwrite)
+    for x in system.listStatus(pointer.getParent()):
+        if x.getPath().getName() not in (version, before, CURRENT):
+            system.delete(x.getPath(), True)
 
 
 def pack_ids(ids: Column | str) -> Column:

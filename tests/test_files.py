@@ -20,6 +20,12 @@ def test_new_files_are_refused_and_replaced(spark):
     with pytest.raises(PySparkException):
         files.write_new(rows, f"{path}/x")
     files.replace(spark.range(5), f"{path}/x")
+    old = files.jsonl(spark, "id long", f"{path}/x")
+    files.replace(spark.range(7), f"{path}/x")
+    assert old.count() == 5 and files.jsonl(spark, "id long", f"{path}/x").count() == 7
+    files.replace(spark.range(5), f"{path}/x")
+    with pytest.raises(PySparkException):  # written as far as a row that fails: what was there stays
+        files.replace(spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("torn"))).otherwise(F.col("id")).alias("id")), f"{path}/x")
     assert files.jsonl(spark, "id long", f"{path}/none", f"{path}/x").count() == 5
     with pytest.raises(FileNotFoundError):
         files.jsonl(spark, "id long", f"{path}/none")

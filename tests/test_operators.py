@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessella.functions import codes, stats
 from tessella.functions import text as T
 from tessella.functions import vectors as V
-from tessella.operators import accumulate, decide, joins, ledger, packing, provenance, quantiles, resample, screen
+from tessella.operators import accumulate, blocks, decide, joins, ledger, packing, provenance, quantiles, resample, screen
 from tessella.sources import scores, tensors
 from tessella.streaming import journal
 
@@ -344,6 +344,20 @@ def test_single_rows(spark):
             spark.range(3).crossJoin(joins.single(spark.range(n).select(F.lit(7).alias("x")))).collect()
 
 
+@pytest.mark.parametrize("n,m,size", [(7, 5, 4), (8, 8, 4), (1, 1, 3), (20, 9, 3)])
+def test_blocked_products_against_whole_matrices(spark, n, m, size):
+    r = np.random.default_rng(n)
+    w, d = r.normal(size=(n, m)), r.normal(size=(n, m))
+    table = lambda x: blocks.blocked(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "n long, v array<double>").repartition(3), "n", "v", size)
+    h = blocks.gram(table(w), size)
+    got = np.zeros((-(-m // size) * size,) * 2)
+    for x in h.collect():
+        got[x.i * size : (x.i + 1) * size, x.j * size : (x.j + 1) * size] = np.array(x.b).reshape(size, size)
+    assert np.allclose(got[:m, :m], w.T @ w) and not got[m:].any()
+    assert blocks.weighted_square(table(d), h, size).first().value == pytest.approx(((d @ (w.T @ w)) * d).sum())
+    assert blocks.weighted_square(table(d[:0]), h, size).first().value == 0
+
+
 def test_score_files(spark, tmp_path):
     for arm, ids in (("base", "ab"), ("x", "ab"), ("y", "aa")):
         (tmp_path / f"{arm}.jsonl").write_text("".join(json.dumps({"id": i, "kind": "nll", "values": [1, 2]}) + "\n" for i in ids))
