@@ -188,8 +188,10 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Records whose revisits have the payload of the response that they refer to."""
+    """Records whose revisits have the payload of the response that they refer to, once each, also where rows repeat a response."""
+    asked = records.where("record_type = 'revisit'").select(F.col("payload_digest").alias("d")).distinct()
     responses = records.where("record_type = 'response'").select(F.col("payload_digest").alias("d"), F.col("page_id").alias("p"), F.col("payload").alias("b"))
+    responses = responses.join(asked, "d", "left_semi").groupBy("d", "p").agg(F.first("b").alias("b"))
     joined = records.join(responses, F.expr("record_type = 'revisit' AND payload_digest = d AND refers_to <=> p"), "left")
     return joined.select(*[F.coalesce("payload", "b").alias(c) if c == "payload" else F.col(c) for c in records.columns])
 

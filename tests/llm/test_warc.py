@@ -44,3 +44,15 @@ def test_damage_is_seen():
 def test_empty_table(spark):
     index = warc.write(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read(index, index.archives).count() == 0
+
+
+def test_rows_that_repeat_page_and_payload(spark):
+    """Each row has its record and comes back; one of them answers for the others of its payload."""
+    rows = [(3, "u", BIG), (3, "u", BIG), (3, "u", BIG), (5, "u", BIG), (7, "u", "small"), (7, "u", "small")]
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = sorted((x.page_id, x.record_type, x.refers_to) for x in warc.read(index, index.archives).collect())
+    assert [g for g in got if g[0] != 3] == [(5, "revisit", 3), (7, "response", None), (7, "response", None)]
+    threes = [g for g in got if g[0] == 3]
+    assert len(threes) == 3 and (3, "response", None) in threes and set(threes) <= {(3, "response", None), (3, "revisit", 3)}
+    full = warc.resolved(warc.read(index, index.archives)).collect()
+    assert sorted((x.page_id, bytes(x.payload)) for x in full) == sorted((p, t.encode()) for p, _, t in rows)
