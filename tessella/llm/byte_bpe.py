@@ -7,7 +7,8 @@ pieces are those that one pass over the whole text gives. Where an overlap holds
 of characters without one), the text from the last agreed boundary on is pre-tokenised again as one piece.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; special-token strings are ordinary text;
-repeated rows are encoded each on their own; other columns of the input are ignored.
+repeated rows are encoded each on their own, and so are rows without a doc_id; an empty table gives an empty result; columns
+beside doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -38,6 +38,14 @@ def test_ids_and_digests_equal_the_library(spark, truth):
     assert sorted((x.doc_id, x.n_tokens, x.ids_sha256) for x in seen) == sorted((i, len(k), hashlib.sha256(" ".join(map(str, k)).encode()).hexdigest()) for i, k in want)
 
 
+def test_null_ids_and_clashing_columns(spark, truth):
+    long = "word " * 9_000
+    docs = spark.createDataFrame([(None, "a b", 1, "x"), (None, long, 2, "y"), (None, None, 3, "z")], "doc_id long, text string, row_id int, chunk string")
+    got = byte_bpe.encode(docs, RANKS, PATTERN).collect()
+    assert [x.doc_id for x in got] == [None] * 3
+    assert sorted(list(x.ids) for x in got) == sorted(truth.encode_ordinary(t) for t in ("a b", long, ""))
+
+
 def test_chunks_without_common_boundary_are_joined(truth):
     c = byte_bpe.codec(RANKS, PATTERN)
     text = "start " + "a" * 90 + " mid " + "7" * 200 + " end of it"

@@ -50,6 +50,34 @@ def test_gradients_are_those_of_the_loss():
             assert grad[k][i] == pytest.approx((up - down) / 2e-3, rel=2e-2, abs=2e-5)
 
 
+def test_probabilities_and_labels_against_a_plain_lstm():
+    """The same two recurrences, a step and a unit at a time, for pages of different lengths run together."""
+    r = random.Random(9)
+    pages = [h.Vectors().of(h.made_page(r)[0]) for _ in range(4)]
+    pages = [p[: 3 + 5 * k] for k, p in enumerate(pages)]
+    model = h.Labeller(seed=5)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def outputs(page, d):
+        hidden, cell, out = np.zeros(h.UNITS), np.zeros(h.UNITS), {}
+        for t in range(len(page)) if d == "f" else reversed(range(len(page))):
+            gates = [page[t].astype(float) @ model.w[f"x{d}"][:, k * h.UNITS : (k + 1) * h.UNITS] + hidden @ model.w[f"h{d}"][:, k * h.UNITS : (k + 1) * h.UNITS] + model.w[f"b{d}"][k * h.UNITS : (k + 1) * h.UNITS] for k in range(4)]
+            cell = sigmoid(gates[1]) * cell + sigmoid(gates[0]) * np.tanh(gates[3])
+            hidden = sigmoid(gates[2]) * np.tanh(cell)
+            out[t] = hidden
+        return out
+
+    want = []
+    for page in pages:
+        f, b = outputs(page, "f"), outputs(page, "b")
+        want.append(np.array([sigmoid(np.r_[f[t], b[t]] @ model.w["o"] + model.w["c"][0]) for t in range(len(page))]))
+    x, mask, _ = h.padded([(p, np.zeros(len(p))) for p in pages])
+    got = model.probabilities(x, mask)
+    for j, w in enumerate(want):
+        assert np.allclose(got[: len(w), j], w, atol=1e-5)
+    assert [y.tolist() for y in model.label(pages)] == [(w >= 0.5).tolist() for w in want]
+
+
 PAGE = """<html><head><title>t</title></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>
 <div class="ad">Buy now.</div><article><h1>The head line</h1><p>First  part &amp; more of it,
 with a long second line to read.</p><p><b>Second part of the text, that is not closed.<br><p>Third part.</p></article>

@@ -51,3 +51,20 @@ def test_empty_tables(spark):
     assert q.screen(docs, marks).count() == 0
     one = spark.createDataFrame([(1, None, None)], "doc_id long, text string, lang string")
     assert [(x.base_failed, x.kept) for x in q.screen(one, marks).collect()] == [(True, False)]
+
+
+def test_long_texts_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "word other " * 150_000, "en"), (2, " ".join(f"w{i}" for i in range(60)), "en"), (2, " ".join(f"w{i}" for i in range(60)), "en"), (3, " ".join(f"w{i}" for i in range(60)), None)]
+    docs = spark.createDataFrame([(*r, "x", 1.0, True) for r in rows], "doc_id long, text string, lang string, stratum string, cut_symbols double, kept boolean")
+    found = q.screen(docs, spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_repeat_words, x.base_failed, x.kept) for x in found) == [(1, 300_000, 300_000, True, False), (2, 60, 0, False, True), (2, 60, 0, False, True), (3, 60, 0, False, True)]
+
+
+def test_a_ratio_at_its_cutoff_passes(spark):
+    """A stratum whose good documents certify the strictest cutoff, 0.02 of the characters of words."""
+    text = lambda symbols: " ".join(["abcde"] + [f"v{i:03d}" for i in range(98)]) + " " + "x" * (103 - symbols) + "%" * symbols
+    assert len(text(10).replace(" ", "")) == 500
+    good = [(i, text(0), "en") for i in range(4000)]
+    docs = spark.createDataFrame(good + [(9001, text(10), "en"), (9002, text(11), "en")], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(4000)], "doc_id long, quality int, toxic int")
+    assert {x.doc_id: x.kept for x in q.screen(docs, marks).where("doc_id > 9000").collect()} == {9001: True, 9002: False}
