@@ -10,7 +10,7 @@ length, which says how high the greatest of many differences get by chance, give
 
 Rows whose crc32(doc_id) mod 5 is 0 teach nothing: remainders 1 to 3 give the counts, all of them; remainder 4 fits the four
 logistic weights, on at most CALIBRATION rows. All counts are grouped sums over word and gram tables. The model is a table in
-the shared folder with every gram of either class; it grows with the input and is neither
+the shared folder with every gram that a class has seen twice; it grows with the input and is neither
 broadcast nor collected. Tasks search it in hash blocks of about BLOCK rows: they keep up to HELD of them, and read the
 others one after another, for many new words at a time.
 
@@ -39,9 +39,9 @@ from tessella.llm import common
 
 #: Bytes of the longest gram; words of greatest difference that are compared apart.
 DEPTH, TOP = 15, 6
-#: Part of each of the first DISCOUNTED occurrences in a class that is left to the shared model, so that what a class has
-#: hardly seen tells little, but tells; and what is taken off shared counts. Of the toxic rows of sf0.1's calibration fold,
-#: discounts by counts of counts (0.7 to 1.4) find 76 of 90, these find 80, and discounts of whole occurrences 81.
+#: Of the occurrences of a gram in a class, what is left to the shared model: the first whole, then this part of each up to the
+#: third; so what a class has seen twice or more tells something of its own. And what is taken off shared counts. Of the toxic
+#: rows of sf0.1's calibration fold, discounts by counts of counts (0.7 to 1.4) find 76 of 90, whole ones up to the third 81.
 DISCOUNT, DISCOUNTED, SHARED_DISCOUNT = 0.9, 3, 0.75
 #: Bound of the rows that fit the logistic weights.
 CALIBRATION = 20_000
@@ -171,7 +171,8 @@ def train(labelled: DataFrame, work: common.Scratch, counted: Callable[[], None]
     found = work.write(found, "toxicity-grams")
     work.release(counts)
     v, less = F.col, F.lit(SHARED_DISCOUNT)
-    off = lambda x: F.least(v(x), F.lit(DISCOUNTED)) * DISCOUNT
+    first = lambda x: F.least(v(x), F.lit(1))
+    off = lambda x: first(x) + (F.least(v(x), F.lit(DISCOUNTED)) - first(x)) * DISCOUNT
 
     # the shared model: how many different grams end in 4 bytes, and how many of these in 2
     def continued(below: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -189,12 +190,13 @@ def train(labelled: DataFrame, work: common.Scratch, counted: Callable[[], None]
     own = found.groupBy("c").agg(*[x for k in "to" for x in (F.sum(k).alias(f"n_{k}"), F.sum(off(k)).alias(f"k_{k}"))])
     rest = {x: F.when(v(f"n_{x}") > 0, v(f"k_{x}") / v(f"n_{x}")).otherwise(1.0) for x in "to"}
     p = {x: F.when(v(f"n_{x}") > 0, (v(x) - off(x)) / v(f"n_{x}")).otherwise(0.0) + rest[x] * v("p4") for x in "to"}
-    scored = found.join(own, "c").join(p4, "low").select(F.lit(0).alias("kind"), "g", (F.log(p["t"]) - F.log(p["o"])).cast("float").alias("llr"))
+    # grams without a count above the discount have the evidence of unseen ones, and most contexts none
+    scored = found.where((v("t") > 1) | (v("o") > 1)).join(own, "c").join(p4, "low").select(F.lit(0).alias("kind"), "g", (F.log(p["t"]) - F.log(p["o"])).cast("float").alias("llr"))
     unseen = own.select(F.lit(1).alias("kind"), v("c").alias("g"), (F.log(rest["t"]) - F.log(rest["o"])).cast("float").alias("llr")).where("llr <> 0")
     flat = work.write(scored.unionAll(unseen), "toxicity-evidence")
     work.release(found)
     blocks = flat.count() // BLOCK + 1
-    model = flat.withColumn("block", F.pmod("g", F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    model = flat.withColumn("block", F.pmod("g", F.lit(blocks)).cast("int")).repartition(blocks, "block").sortWithinPartitions("block", "kind", "g")
     path = work.folder("toxicity-model")
     model.write.option("compression", "zstd").partitionBy("block").parquet(path)
     work.release(flat)
@@ -215,10 +217,10 @@ class Evidence(dict):
     """Differences of the two log-likelihoods by word, computed for many new words at once."""
 
     def __init__(self, blocks: list[list[str]]):
-        self.blocks, self.held = blocks if len(blocks) > HELD else [sum(blocks, [])], {}
+        self.blocks, self.held = blocks, {}
 
     def block(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Sorted hashes of grams and of contexts, each with the evidence."""
+        """Hashes of grams and of contexts, each with the evidence, in the order that they were written in."""
         if k in self.held:
             return self.held[k]
         kind, g, llr = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
@@ -229,8 +231,11 @@ class Evidence(dict):
             for held, name in ((kind, "kind"), (g, "g"), (llr, "llr")):
                 held.append(table[name].to_numpy())
         kind, g, llr = map(np.concatenate, (kind, g, llr))
-        by = np.lexsort((g, kind))
-        g, llr, split = g[by], llr[by], int((kind == 0).sum())
+        pa.default_memory_pool().release_unused()
+        if len(self.blocks[k]) > 1:  # several files of one block are in order each
+            by = np.lexsort((g, kind))
+            kind, g, llr = kind[by], g[by], llr[by]
+        split = int(np.searchsorted(kind, 1))
         out = [(g[:split], llr[:split]), (g[split:], llr[split:])]
         if len(self.held) < HELD:
             self.held[k] = out

@@ -112,7 +112,6 @@ def test_model_keeps_all_grams_in_any_number_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "HELD", 1000)
     all_held = toxicity.Evidence(toxicity.files(model))
     monkeypatch.setattr(toxicity, "HELD", 2)
-    assert len(all_held.blocks) == 1 < len(many.blocks)
     for x in (one, all_held):
         x.learn(words)
     assert one == all_held and any(one.values())
@@ -122,7 +121,7 @@ def test_model_keeps_all_grams_in_any_number_of_blocks(spark, monkeypatch):
     for (_, x, _, _), (_, _, t) in zip(docs, labels):
         for g in toxicity.grams(x.encode().split())[0].tolist():
             count[t][g] = count[t].get(g, 0) + 1
-    want = set(count[0]) | set(count[1])
+    want = {g for t in (0, 1) for g, n in count[t].items() if n > 1}
     assert model.blocks > 2 and sorted(x.g for x in kept.collect()) == sorted(want)
 
 
@@ -143,7 +142,7 @@ def test_evidence_against_plain_kneser_ney(spark):
     rows = spark.createDataFrame([(t, packed(x)) for (_, x, _, _), (_, _, t) in zip(docs, labels)], "toxic int, packed binary")
     model = toxicity.Evidence(toxicity.files(toxicity.train(rows, toxicity.common.Scratch(spark))))
     counts, less = ({}, {}), toxicity.SHARED_DISCOUNT
-    off = lambda n: toxicity.DISCOUNT * min(n, toxicity.DISCOUNTED)
+    off = lambda n: min(n, 1) + toxicity.DISCOUNT * (min(n, toxicity.DISCOUNTED) - min(n, 1))
     cut = lambda w: [(b" " + w + b" ")[max(0, j + 1 - toxicity.DEPTH) : j + 1] for j in range(1, len(w) + 2)]
     for (_, x, _, _), (_, _, t) in zip(docs, labels):
         for w in x.encode().split():
@@ -181,13 +180,13 @@ def test_evidence_against_plain_kneser_ney(spark):
 
 
 def test_rare_expressions_teach(spark):
-    """A word seen once, twice or three times in toxic rows only tells more each time, and more than one never seen."""
+    """A word seen twice or three times in toxic rows only tells more each time; one seen once what its beginnings tell."""
     docs, labels = corpus(200)
     docs += [(500 + i, " ".join(w for k, w in enumerate(["vexonda", "qumbrital", "zolfregin"], 1) if i < k), "x", 0.0) for i in range(3)]
     rows = [(t, packed(x)) for (_, x, _, _), (_, _, t) in zip(docs, labels)] + [(1, packed(x)) for _, x, _, _ in docs[-3:]]
     model = toxicity.Evidence(toxicity.files(toxicity.train(spark.createDataFrame(rows, "toxic int, packed binary"), toxicity.common.Scratch(spark))))
     model.learn([b"vexonda", b"qumbrital", b"zolfregin", b"hyplestam"])
-    assert model[b"hyplestam"] < model[b"vexonda"] < model[b"qumbrital"] < model[b"zolfregin"]
+    assert model[b"hyplestam"] == model[b"vexonda"] < model[b"qumbrital"] < model[b"zolfregin"]
 
 
 def test_a_row_goes_for_its_own_text(spark):
