@@ -26,13 +26,16 @@ def packed(codes: Column | str) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.lower(F.hex(byte(i).cast("long"))), 2, "0")), "")
 
 
-def unpacked(text: Column | str) -> Column:
-    """The codes' values of packed hex; null for invalid ones."""
+def unpacked(text: Column | str, strict: bool = False) -> Column:
+    """The codes' values of packed hex; null for invalid ones, or with ``strict`` an error."""
     text = F.col(text) if isinstance(text, str) else text
     n = F.length(text)
     byte = F.transform(F.sequence(F.lit(0), (n / 2).cast("int") - 1), lambda i: F.conv(F.substr(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
     values = F.array(*[F.lit(v).cast("int") for v in VALUES])
-    return F.flatten(F.transform(byte, lambda b: F.transform(F.array(*[F.lit(k) for k in (1, 4, 16, 64)]), lambda m: F.get(values, F.floor(b / m).cast("int") % 4))))
+    value = lambda code: F.get(values, code)
+    if strict:
+        value = lambda code: F.coalesce(F.get(values, code), F.raise_error(F.concat(F.lit("invalid code in "), text)).cast("int"))
+    return F.flatten(F.transform(byte, lambda b: F.transform(F.array(*[F.lit(k) for k in (1, 4, 16, 64)]), lambda m: value(F.floor(b / m).cast("int") % 4))))
 
 
 def one_bit(data: Column) -> Column:

@@ -29,9 +29,11 @@ def all_pass(gates: dict[str, Column]) -> list[Column]:
     return [*named, whole.alias("all_pass")]
 
 
-def least(value: str, name: str) -> Column:
-    """Aggregate: the name with the least value, the first by name of equal ones."""
-    return F.min(F.struct(value, name))[name]
+def least(value: str, name: str, allowed: Column | None = None) -> Column:
+    """Aggregate: the name with the least value, the first by name of equal ones; only of rows that are allowed, where that is
+    given, and null where none is."""
+    row = F.struct(value, name)
+    return F.min(row if allowed is None else F.when(allowed, row))[name]
 
 
 def greedy(costs: list[tuple[str, float]], budget: float) -> list[str]:

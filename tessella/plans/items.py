@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +14,18 @@ from tessella.plans.registry import query, spread, table
 MD5 = lambda *c: F.md5(F.concat_ws(":", *c))
 
 
-@query("""WITH i AS (SELECT item_id, item_id % 5 AS answer, string_split(text, ' ')[1:4] AS choices, lower(text) AS q FROM benchmark), b AS (SELECT DISTINCT lower(text) AS q FROM documents WHERE text IS NOT NULL)
-SELECT item_id, answer FROM i ANTI JOIN b USING (q) WHERE len(choices) = 4 AND answer BETWEEN 0 AND 3 AND len(list_filter(choices, lambda c: trim(c) = '')) = 0""")
+@query("""WITH g AS (SELECT p_brand, p_type, list(p_name ORDER BY p_partkey) AS choices, list(p_retailprice ORDER BY p_partkey) AS prices FROM part GROUP BY 1, 2)
+SELECT p_brand, p_type, list_position(prices, list_max(prices))::INTEGER - 1 AS answer, CASE WHEN len(choices) <> 4 THEN 'choices' WHEN len(list_filter(choices, lambda c: trim(c) = '')) > 0 THEN 'blank' WHEN len(list_distinct(choices)) < 4 THEN 'repeated' WHEN p_type IN (SELECT p_type FROM part WHERE p_size = 1) THEN 'banned' ELSE 'kept' END AS reason FROM g""")
 def gated_items(spark, sf_dir):
-    """Items with exactly four choices, none blank, an answer among them, and a question that is not banned."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 5).alias("answer"), F.slice(F.split("text", " "), 1, 4).alias("choices"), F.lower("text").alias("q"))
-    banned = table(spark, sf_dir, "documents").select(F.lower("text").alias("q")).where("q IS NOT NULL").distinct()
-    good = items.where((F.size("choices") == 4) & F.col("answer").between(0, 3) & ~F.exists("choices", lambda c: F.trim(c) == ""))
-    return good.join(banned, "q", "left_anti").select("item_id", "answer")
+    """Items of all their options: why one goes that has not exactly four, a blank or a repeated one, or a question that is
+    banned; and the place of the answer."""
+    part = table(spark, sf_dir, "part")
+    each = part.groupBy("p_brand", "p_type").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_retailprice"))).alias("t"))
+    items = each.select("p_brand", "p_type", F.col("t.p_name").alias("choices"), F.col("t.p_retailprice").alias("prices"))
+    banned = part.where("p_size = 1").select("p_type", F.lit(True).alias("banned")).distinct()
+    rules = [("choices", F.size("choices") != 4), ("blank", F.exists("choices", lambda c: F.trim(c) == "")), ("repeated", F.size(F.array_distinct("choices")) < 4), ("banned", F.col("banned"))]
+    answer = (F.array_position("prices", F.array_max("prices")) - 1).cast("int").alias("answer")
+    return items.join(banned, "p_type", "left").select("p_brand", "p_type", answer, screen.first_reason(rules).alias("reason"))
 
 
 @query(r"""SELECT conv_id, turn FROM conversations WHERE role = 'assistant' AND trim(text) <> '' AND right(trim(text), 1) IN ('.', '!', '?')""")
@@ -96,14 +102,25 @@ def rendered_options(spark, sf_dir):
     return i.where(once).select("item_id", F.md5("t").alias("rendered"), F.md5(F.replace("t", old, F.lit("Reply with one letter only."))).alias("reworded"))
 
 
-@query("""WITH f(form) AS (VALUES ('Answer: C'), ('Thus the answer is (B).'), ('**Answer:** D'), ('Answer: **(A)**'), ('the answer is A dog'), ('Answer: B then boxed \\boxed{D}'), ('no letter'), ('\\boxed{ 1,234 } of 7'), ('\\boxed{x} then 7'), ('\\boxed{12 cm}, not $3'))
-SELECT n_nationkey, n_nationkey % 10 AS form, CASE n_nationkey % 10 WHEN 0 THEN 'C' WHEN 1 THEN 'B' WHEN 2 THEN 'D' WHEN 3 THEN 'A' WHEN 5 THEN 'D' END AS letter, CASE n_nationkey % 10 WHEN 7 THEN '1234' WHEN 8 THEN '7' WHEN 9 THEN '12' END AS number FROM nation""")
+#: Forms that an answer is given in after a text, with marks for its letter or its number.
+FORMS = ["\nAnswer: <letter>", "\nThus the answer is (<letter>).", "\n**Answer:** <letter>", "\nAnswer: A. No, wait: **Answer: <letter>**", "\n\\boxed{<letter>}", "\n\\boxed{<number>}", "\n\\boxed{ $<number> cm } and 7 more", "\nso it is <number>"]
+ANSWER_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '" + re.sub("<(letter|number)>", r"' || \1 || '", t) + "'" for k, t in enumerate(FORMS)) + " END"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, chr((65 + doc_id // 8 % 4)::INTEGER) AS letter, (doc_id * 37 % 9973)::VARCHAR AS number FROM documents)
+SELECT doc_id, sha256(t || {ANSWER_SQL}) AS digest, CASE WHEN doc_id % 8 < 5 THEN letter END AS letter, CASE WHEN doc_id % 8 >= 5 THEN number END AS number FROM d""")
 def parsed_answers(spark, sf_dir):
-    """The last letter and the last number of answers in all their forms."""
-    forms = ["Answer: C", "Thus the answer is (B).", "**Answer:** D", "Answer: **(A)**", "the answer is A dog", "Answer: B then boxed \\boxed{D}", "no letter", "\\boxed{ 1,234 } of 7", "\\boxed{x} then 7", "\\boxed{12 cm}, not $3"]
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") % 10).alias("form"))
-    rows = rows.withColumn("t", F.get(F.array(*map(F.lit, forms)), F.col("form")))
-    return rows.select("n_nationkey", "form", T.last_choice("t").alias("letter"), T.last_number("t").alias("number"))
+    """The last letter or the last number of whole texts that end in an answer, in all its forms. SQL knows which answer was
+    put there and does not parse."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.char(65 + F.expr("doc_id div 8 % 4")).alias("letter"), (F.col("doc_id") * 37 % 9973).cast("string").alias("number"))
+
+    def form(text):
+        return F.concat("t", *[F.col(x[1:-1]) if x in ("<letter>", "<number>") else F.lit(x) for x in re.split("(<letter>|<number>)", text)])
+
+    full = docs.select("doc_id", F.get(F.array(*map(form, FORMS)), (F.col("doc_id") % 8).cast("int")).alias("t"))
+    lettered = F.col("doc_id") % 8 < 5
+    return full.select("doc_id", F.sha2("t", 256).alias("digest"), F.when(lettered, T.last_choice("t")).alias("letter"), F.when(~lettered, T.last_number("t")).alias("number"))
 
 
 @query("""SELECT item_id, length, swap, layout, item_id || '/' || length || '/' || swap || '/' || layout AS case_id FROM benchmark, (VALUES ('short'), ('long')) a(length), (VALUES (0), (1)) b(swap), (VALUES ('list'), ('table'), ('prose')) c(layout)""")
@@ -212,10 +229,13 @@ def prefix_kept(spark, sf_dir):
     return p.select("l_orderkey", (F.slice("ids", F.lit(1), F.size("pre")) == F.col("pre")).alias("kept"), F.size("pre").alias("n"), F.sha2(F.array_join(F.transform(rest, lambda x: x.cast("string")), " "), 256).alias("suffix"))
 
 
-@query("""SELECT p_brand, count(*) AS n, count(DISTINCT p_size) AS sizes, count(*) >= 1 AND min(p_retailprice) IS NOT NULL AS complete FROM part WHERE starts_with(p_brand, 'Brand#1') GROUP BY 1""")
+@query("""SELECT p_brand, count(*) AS n, count(DISTINCT p_size) AS sizes, count(DISTINCT p_size) = (SELECT count(DISTINCT p_size) FROM part) AND count(p_retailprice) = count(*) AS complete FROM part WHERE starts_with(p_brand, 'Brand#1') GROUP BY 1""")
 def frozen_subset(spark, sf_dir):
-    """The groups that a prefix of their id freezes, with what makes them complete."""
-    return table(spark, sf_dir, "part").where(F.startswith("p_brand", F.lit("Brand#1"))).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_size").alias("sizes"), F.every(F.col("p_retailprice").isNotNull()).alias("complete"))
+    """The groups that a prefix of their id freezes; complete are those with every size that there is, and no price missing."""
+    part = table(spark, sf_dir, "part")
+    every = part.agg(F.countDistinct("p_size").alias("every"))  # an aggregate without keys: one row
+    own = part.where(F.startswith("p_brand", F.lit("Brand#1"))).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_size").alias("sizes"), F.count("p_retailprice").alias("priced"))
+    return own.crossJoin(F.broadcast(every)).select("p_brand", "n", "sizes", ((F.col("sizes") == F.col("every")) & (F.col("priced") == F.col("n"))).alias("complete"))
 
 
 @query("""WITH c AS (SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber, l_discount, l_returnflag || l_linestatus || l_linenumber AS candidate FROM lineitem WHERE l_tax = 0.08)

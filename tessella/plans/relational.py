@@ -44,11 +44,13 @@ def conditional_by_bin(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"), R(F.avg((F.col("l_returnflag") == "R").cast("int")), 9).alias("p_returned"), R(F.try_divide(F.sum("l_tax"), F.sum(d)), 6).alias("ratio"))
 
 
-@query("""SELECT p_brand, arg_min(p_name, (p_retailprice, p_name)) AS cheapest, min(p_retailprice) AS price FROM part GROUP BY p_brand""")
+@query("""SELECT p_brand, arg_min(p_name, (p_retailprice, p_name)) FILTER (p_size > 25) AS cheapest, min(p_retailprice) FILTER (p_size > 25) AS price FROM part GROUP BY p_brand""")
 def arg_min_tie_by_name(spark, sf_dir):
+    """The cheapest part of each brand among those that may be picked, the first by name of equal ones; null where none may."""
     from tessella.operators.decide import least
 
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(least("p_retailprice", "p_name").alias("cheapest"), F.min("p_retailprice").alias("price"))
+    may = F.col("p_size") > 25
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(least("p_retailprice", "p_name", may).alias("cheapest"), F.min(F.when(may, F.col("p_retailprice"))).alias("price"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank, sum(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber ROWS UNBOUNDED PRECEDING) AS prefix FROM lineitem)

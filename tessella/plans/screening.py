@@ -159,6 +159,22 @@ def token_f1(spark, sf_dir):
     return pairs.join(same, ["conv_id", "turn"], "left").select("conv_id", "turn", F.round(f1, 9).alias("f1"))
 
 
+@query(r"""
+WITH t AS (SELECT c.conv_id, c.turn, role, list_filter(string_split_regex(regexp_replace(regexp_replace(translate(lower(c.text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '(^|[^\p{L}\p{N}_])(a|an|the)([^\p{L}\p{N}_]|$)', '\1 \3', 'g'), '(^|[^\p{L}\p{N}_])(a|an|the)([^\p{L}\p{N}_]|$)', '\1 \3', 'g'), '\s+'), lambda x: x <> '') AS w FROM conversations c),
+a AS (SELECT conv_id, turn, role, unnest(w) AS x FROM t), k AS (SELECT conv_id, turn, role, x, count(*) AS c FROM a GROUP BY ALL),
+o AS (SELECT p.conv_id, p.turn, q.turn AS gold, sum(least(p.c, q.c)) AS same FROM k p JOIN k q ON p.conv_id = q.conv_id AND p.role = 'assistant' AND q.role = 'user' AND p.x = q.x GROUP BY ALL),
+f AS (SELECT o.conv_id, o.turn, o.gold, 2.0 * same / (len(x.w) + len(y.w)) AS f1 FROM o JOIN t x ON x.conv_id = o.conv_id AND x.turn = o.turn AND x.role = 'assistant' JOIN t y ON y.conv_id = o.conv_id AND y.turn = gold AND y.role = 'user')
+SELECT t.conv_id, t.turn, round(coalesce(max(f1), 0), 9) AS f1, arg_max(gold, (f1, -gold)) AS gold FROM t LEFT JOIN f USING (conv_id, turn) WHERE role = 'assistant' GROUP BY 1, 2""")
+def best_gold_f1(spark, sf_dir):
+    """Of each reply the greatest multiset overlap with any of several golds, the user's turns of its conversation, and which."""
+    turns = spread(table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')").select("conv_id", "turn", "role", "text")).select("conv_id", "turn", "role", T.answer_words("text").alias("w"))
+    counts = turns.select("conv_id", "turn", "role", F.size("w").alias("n"), F.explode("w").alias("x")).groupBy("conv_id", "turn", "role", "n", "x").agg(F.count(F.lit(1)).alias("c"))
+    gold = counts.where("role = 'user'").select("conv_id", "x", F.col("turn").alias("gold"), F.col("n").alias("m"), F.col("c").alias("d"))
+    same = counts.where("role = 'assistant'").join(gold, ["conv_id", "x"]).groupBy("conv_id", "turn", "n", "gold", "m").agg(F.sum(F.least("c", "d")).alias("same"))
+    best = same.groupBy("conv_id", "turn").agg(F.max(F.struct((2.0 * F.col("same") / (F.col("n") + F.col("m"))).alias("f1"), (-F.col("gold")).alias("g"))).alias("b"))
+    return turns.where("role = 'assistant'").select("conv_id", "turn").join(best, ["conv_id", "turn"], "left").select("conv_id", "turn", F.round(F.coalesce("b.f1", F.lit(0.0)), 9).alias("f1"), (-F.col("b.g")).alias("gold"))
+
+
 @query(r"""
 WITH n AS (SELECT doc_id, regexp_extract_all(text, '-?\d[\d,]*(?:\.\d+)?') AS m FROM documents)
 SELECT doc_id, replace(m[-1], ',', '') AS last_number, CASE WHEN len(m) = 1 THEN replace(m[1], ',', '') END AS only_number FROM n""")

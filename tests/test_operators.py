@@ -288,7 +288,9 @@ def test_codes_round_trip(spark):
     c = [random.Random(i).choice([-1, 0, 1]) for i in range(128)]
     packed = one(spark, codes.packed("c"), c=c)
     assert len(packed) == 64 and one(spark, codes.unpacked("p"), p=packed) == c
-    assert one(spark, codes.unpacked("p"), p="ff") == [None] * 4
+    assert one(spark, codes.unpacked("p"), p="ff") == [None] * 4 and one(spark, codes.unpacked("p", True), p=packed) == c
+    with pytest.raises(Exception, match="invalid code in 06c0"):
+        one(spark, codes.unpacked("p", True), p="06c0")
     assert one(spark, codes.absmean("c")[1], c=[0.0, 0.5, -2.0, 0.1]) == [0, 1, -1, 0]
 
 
