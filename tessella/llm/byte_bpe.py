@@ -30,7 +30,7 @@ from tessella.llm import common
 #: Characters of a chunk, without its overlap with the next; and of that overlap.
 CHUNK, OVERLAP = 32_768, 2_048
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

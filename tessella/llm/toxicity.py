@@ -52,7 +52,7 @@ LABEL_BITS = 1 << 26
 #: Words that a task sums up before it hands them on.
 SUMMED = 500_000
 #: Word evidence that a worker remembers, new words that it looks up together, and bytes of words cut to grams together.
-REMEMBERED, NEW, CUT = 400_000, 100_000, 1 << 20
+REMEMBERED, NEW, CUT = 150_000, 50_000, 1 << 19
 
 
 def fold_of(doc_id: Column) -> Column:
