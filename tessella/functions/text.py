@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,16 +98,12 @@ def sentences(text: Column | str) -> Column:
 
 def byte_slice(text: str, percent: str, size: int) -> Column:
     """(start, bytes, decoded) of ``size`` bytes after the first line break at or behind a share of the text's bytes; what is no
-    whole character there is decoded as U+FFFD. Null without a line break."""
-    @F.pandas_udf("start long, bytes binary, decoded string")
-    def cut(texts: pd.Series, shares: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, f in zip(texts, shares):
-            raw = b"" if t is None else t.encode()
-            at = raw.find(b"\n", len(raw) * f // 100) + 1
-            part = raw[at : at + size]
-            out.append((at, part, part.decode(errors="replace")) if at else (None, None, None))
-        return pd.DataFrame(out, columns=["start", "bytes", "decoded"]).astype({"start": "Int64"})
-
-    found = cut(text, percent)
-    return F.when(found["start"].isNotNull(), found)
+    whole character there is decoded as U+FFFD. Null without a line break. Texts stay in the JVM."""
+    raw = F.col(text).cast("binary")
+    begin = F.floor(F.octet_length(raw).cast("long") * F.col(percent) / 100).cast("int")
+    behind = F.substr(raw, begin + 1)
+    skipped = F.octet_length(F.substring_index(behind.cast("string"), "\n", 1))  # found byte by byte, so a cut character is no matter
+    at = begin + skipped + 1
+    part = F.substr(raw, at + 1, F.lit(size))
+    found = F.struct(at.cast("long").alias("start"), part.alias("bytes"), F.make_valid_utf8(part.cast("string")).alias("decoded"))
+    return F.when(skipped < F.octet_length(behind), found)
