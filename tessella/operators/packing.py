@@ -96,20 +96,34 @@ def slots_before(n: int, period: int, places: list[int]) -> int:
     return n // period * len(places) + sum(p < n % period for p in places)
 
 
-def windows(docs: DataFrame, order: str, ids: str, length: int, first: int, count: int, wrap: bool = False) -> DataFrame:
+#: Passes of a wrapping stream that one row stands for as they are dealt to tasks.
+PASSES = 64
+
+
+def windows(docs: DataFrame, order: str, ids: str, length: int, first: int, count: int, wrap: bool = False, size: str | None = None) -> DataFrame:
     """(k, ids): ``count`` windows of ``length`` ids from window ``first`` on, of the ids of all documents in order; k from 0.
+    ``size`` names a column with the number of a document's ids, where there is one.
 
     A stream that wraps begins again after its last id, in the middle of a window too; one that doesn't must be long enough.
-    A document is cut where windows begin, and only pieces of windows that are asked for are shuffled, never single ids.
+    A document is cut where windows begin, and only pieces of windows that are asked for are shuffled, never single ids. A
+    short stream may have to begin again very often: its documents are dealt out anew, each with ``PASSES`` passes at a time.
     """
-    sized = docs.select(order, F.col(ids).alias("_ids"), F.size(ids).cast("long").alias("_n")).where("_n > 0")
+    sized = docs.select(order, F.col(ids).alias("_ids"), F.col(size).cast("long").alias("_n")) if size else docs.select(order, F.col(ids).alias("_ids"), F.size(ids).cast("long").alias("_n"))
+    sized = sized.where("_n > 0")
     total = sized.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     low, high = first * length, (first + count) * length
     if high > low and (not total or not wrap and high > total):
         raise ValueError(f"a stream of {total} ids has no {count} windows of {length} from the one numbered {first} on")
     placed = offsets(sized, order, "_n")
     if wrap and total:
-        placed = placed.withColumn("_pass", F.explode(F.sequence(F.lit(low // total), F.lit(max(high - 1, low) // total)))).withColumn("start", F.col("start") + F.col("_pass") * total)
+        begin, end = low // total, max(high - 1, low) // total
+        if end - begin >= PASSES:
+            tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            placed = placed.withColumn("_from", F.explode(F.sequence(F.lit(begin), F.lit(end), F.lit(PASSES)))).repartition(tasks, "_from", order)
+        else:
+            placed = placed.withColumn("_from", F.lit(begin))
+        passes = F.sequence("_from", F.least(F.col("_from") + PASSES - 1, F.lit(end)))
+        placed = placed.withColumn("_pass", F.explode(passes)).withColumn("start", F.col("start") + F.col("_pass") * total)
     needed = placed.where((F.col("start") < high) & (F.col("start") + F.col("_n") > low))
     span = needed.withColumn("_a", F.greatest("start", F.lit(low))).withColumn("_b", F.least(F.col("start") + F.col("_n"), F.lit(high)))
     cut = F.expr(f"""transform(sequence(_a div {length}, (_b - 1) div {length}), k -> struct(k - {first} AS k, greatest(k * {length}, _a) AS at,
@@ -118,18 +132,18 @@ def windows(docs: DataFrame, order: str, ids: str, length: int, first: int, coun
     return pieces.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("p")).select("k", F.flatten("p.part").alias("ids"))
 
 
-def mixed(streams: dict[str, tuple[DataFrame, str, str]], places: dict[str, list[int]], period: int, length: int, n: int, starts: dict[str, int], wrapping: set[str]) -> DataFrame:
+def mixed(streams: dict[str, tuple], places: dict[str, list[int]], period: int, length: int, n: int, starts: dict[str, int], wrapping: set[str]) -> DataFrame:
     """(seq, source, source_seq, ids): n sequences, each filled by the stream whose place in the period it is.
 
-    streams: (documents, order, ids) by name; starts: the window that each begins at, so that a mixture can be continued;
+    streams: (documents, order, ids) by name, and the column of their sizes where there is one; starts: the window that each begins at, so that a mixture can be continued;
     wrapping: which begin again after their end. Every sequence follows from its stream's window by a closed form.
     """
     if sorted(p for ps in places.values() for p in ps) != list(range(period)):
         raise ValueError("each place of the period must have one stream")
     out = None
-    for name, (docs, order, ids) in streams.items():
+    for name, (docs, order, ids, *size) in streams.items():
         count = slots_before(n, period, places[name])
-        found = windows(docs, order, ids, length, starts.get(name, 0), count, name in wrapping)
+        found = windows(docs, order, ids, length, starts.get(name, 0), count, name in wrapping, *size)
         rows = found.select(slot_sequence(F.col("k"), period, places[name]).cast("long").alias("seq"), F.lit(name).alias("source"), (F.col("k") + starts.get(name, 0)).cast("long").alias("source_seq"), "ids")
         out = rows if out is None else out.unionAll(rows)
     return out

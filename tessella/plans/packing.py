@@ -38,16 +38,29 @@ z AS (SELECT (SELECT count(*) FROM w) // {LENGTH} AS all_, (SELECT count(*) FROM
 n AS (SELECT monitor, ((all_ - monitor) // 11) * 16 AS n FROM z)"""
 
 
-def streams(spark, sf_dir) -> dict:
-    """Ids of the words of documents, conversations and items, each text ended by 0."""
-    found = {}
-    for name, source, order in (("web", "documents", "doc_id"), ("chat", "conversations", "key"), ("choice", "benchmark", "item_id")):
-        docs = table(spark, sf_dir, source)
-        if name == "chat":
-            docs = docs.where("role IN ('user', 'assistant')").withColumn("key", F.col("conv_id") * (1 << 20) + F.col("turn"))
-        ids = F.transform(T.words("text"), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
-        found[name] = (spread(docs.select(order, "text")).select(order, F.concat(ids, F.array(F.lit(0).cast("long"))).alias("ids")), order, "ids")
-    return found
+def source_words(spark, sf_dir, name: str):
+    """(order, w) of the words of a stream's texts, and the name of its order: web documents, chat turns or choice items."""
+    source, order = {"web": ("documents", "doc_id"), "chat": ("conversations", "key"), "choice": ("benchmark", "item_id")}[name]
+    docs = table(spark, sf_dir, source)
+    if name == "chat":
+        docs = docs.where("role IN ('user', 'assistant')").withColumn("key", F.col("conv_id") * (1 << 20) + F.col("turn"))
+    return spread(docs.select(order, "text")).select(order, T.words("text").alias("w")), order
+
+
+def stream(spark, sf_dir, name: str) -> tuple:
+    """(table, order, ids, size) of the ids of the words of a stream's texts, each text ended by 0. Ids are formed once, into a
+    table in the shared folder, as offsets and windows read it several times; passes over sizes read no ids."""
+    words, order = source_words(spark, sf_dir, name)
+    ids = F.transform("w", lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
+    ended = words.select(order, F.concat(ids, F.array(F.lit(0).cast("long"))).alias("ids"), (F.size("w") + 1).cast("long").alias("n"))
+    path = files.folder(spark) + f"/{name}"
+    ended.write.parquet(path)
+    return spark.read.schema(ended.schema).parquet(path), order, "ids", "n"
+
+
+def web_windows(sizes) -> int:
+    """Whole windows of the first stream, of a column of its texts' sizes."""
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // LENGTH
 
 
 def written(rows, spark, each: int = FILE):
@@ -74,12 +87,12 @@ SELECT part, seq, source, source_seq, sha256(string_agg(id::VARCHAR, ' ' ORDER B
 def mixed_stream(spark, sf_dir):
     """A stream of 64-id sequences mixed of three tables, after a part of the first that is split off for monitoring: choices at
     14 of every 16, chat at 3 of every 4, both beginning again after their end; digests of the ids read back from the files."""
-    own = streams(spark, sf_dir)
-    whole = own["web"][0].agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0] // LENGTH
+    own = {name: stream(spark, sf_dir, name) for name in PLACES}
+    whole = web_windows(own["web"][0])
     monitor = whole // 50
     n = (whole - monitor) // len(PLACES["web"]) * 16
     train = packing.mixed(own, PLACES, 16, LENGTH, n, {"web": monitor}, {"chat", "choice"})
-    kept = packing.windows(*own["web"], LENGTH, 0, monitor).select(F.col("k").alias("seq"), "ids")
+    kept = packing.windows(*own["web"][:3], LENGTH, 0, monitor, size="n").select(F.col("k").alias("seq"), "ids")
     back, _ = written(train.select("seq", "ids"), spark)
     apart, _ = written(kept, spark)
     seq, taken = F.col("seq"), {14: "choice"} | {p: "chat" for p in PLACES["chat"]}
@@ -95,8 +108,8 @@ f AS (SELECT seq, source_seq, i, id FROM p JOIN c ON c.pos = p.pos % (SELECT cou
 SELECT seq, source_seq, sha256(string_agg(id::VARCHAR, ' ' ORDER BY i)) AS digest, (SELECT sum(n)::BIGINT FROM (SELECT count(*) AS n FROM f GROUP BY seq)) * 4 AS all_bytes FROM f GROUP BY 1, 2""")
 def continued_mixture(spark, sf_dir):
     """Chat sequences of half a mixture, continued from the seventh window of their stream; and the bytes of its files."""
-    own = streams(spark, sf_dir)
-    whole = own["web"][0].agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0] // LENGTH
+    own = {"chat": stream(spark, sf_dir, "chat")}
+    whole = web_windows(source_words(spark, sf_dir, "web")[0].select((F.size("w") + 1).cast("long").alias("n")))
     n = (whole - whole // 50) // len(PLACES["web"]) // 2 * 16
     found = packing.mixed({"chat": own["chat"]}, {"chat": PLACES["chat"], "none": [p for p in range(16) if p not in PLACES["chat"]]}, 16, LENGTH, n, {"chat": 7}, {"chat"})
     k = packing.slot_index(F.col("seq"), 16, PLACES["chat"])

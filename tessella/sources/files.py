@@ -169,17 +169,20 @@ def write_ids(sequences: DataFrame, number: str, ids: str, path: str, each: int)
                 yield pa.RecordBatch.from_pylist([{"file": name, "first": first, "n": n, "sha256": digest.hexdigest()}])
 
         for part in parts:
-            for file, seq, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                if file != at:
+            numbers, names = part.column(1).to_numpy(), part.column(0).to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(names)) + 1, len(names)] if len(names) else []
+            for a, b in zip(edges, edges[1:]):
+                if names[a] != at:
                     yield from close()
-                    at, first, n, digest, beside = file, seq, 0, hashlib.sha256(), f"{base}/.{uuid.uuid4().hex}"
+                    at, first, n, digest, beside = names[a], int(numbers[a]), 0, hashlib.sha256(), f"{base}/.{uuid.uuid4().hex}"
                     out = store.open_output_stream(beside)
-                if seq != first + n:
-                    raise ValueError(f"sequence {first + n} is missing")
-                data = found.values.to_numpy().astype("<u4").tobytes()
+                due = first + n + np.arange(b - a)
+                if (numbers[a:b] != due).any():
+                    raise ValueError(f"sequence {due[numbers[a:b] != due][0]} is missing")
+                data = part.column(2).slice(a, b - a).flatten().to_numpy().astype("<u4").tobytes()
                 out.write(data)
                 digest.update(data)
-                n += 1
+                n += int(b - a)
         yield from close()
 
     done = numbered.repartition("file").sortWithinPartitions("file", "number").mapInArrow(run, "file string, first long, n long, sha256 string")
