@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from tessella.sources import tensors
@@ -35,8 +36,8 @@ def opened(path: str):
     return store.open_input_file(base)
 
 
-def listed(path: str, suffix: str = "") -> list[str]:
-    """Files of a folder, or those that commas separate, by name."""
+def sized(path: str, suffix: str = "") -> list[tuple[str, int]]:
+    """Files of a folder, or those that commas separate, by name, each with its bytes; none is opened."""
     from pyarrow import fs
 
     out = []
@@ -44,10 +45,14 @@ def listed(path: str, suffix: str = "") -> list[str]:
         store, base, before = located(one)
         info = store.get_file_info(base)
         found = store.get_file_info(fs.FileSelector(base)) if info.type == fs.FileType.Directory else [info]
-        out += sorted(f"{before}{x.path}" for x in found if x.type != fs.FileType.Directory and x.base_name.endswith(suffix) and x.base_name[0] not in "._")
+        out += sorted((f"{before}{x.path}", x.size) for x in found if x.type != fs.FileType.Directory and x.base_name.endswith(suffix) and x.base_name[0] not in "._")
     return out
 
 
+def listed(path: str, suffix: str = "") -> list[str]:
+    return [name for name, _ in sized(path, suffix)]
+
+
 class Ranges:
     """Ranges of one file. A range must be 1 to ``most`` bytes and come back whole; errors of the store are tried again, up to
     ``tries`` times in all, on a file opened anew, after waits that double."""
@@ -196,16 +201,19 @@ class _Metadata(_Files):
                 yield part.path, key, json.dumps(value)
 
 
-class _Span(InputPartition):
-    def __init__(self, path: str, first: int, start: int, stop: int):
-        self.path, self.first, self.start, self.stop = path, first, start, stop
+class _Spans(InputPartition):
+    """Stretches (path, start, stop) of files, in sequences."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.spans = spans
 
 
 class IdSource(DataSource):
     """format("packed_ids"): (path, place, ids) of files of little-endian unsigned 32-bit ids in sequences of option ``length``;
-    place counts from 0 within a file. A partition reads up to ``STEP`` bytes; a file must hold whole sequences."""
+    place counts from 0 within a file. A partition reads up to ``STEP`` bytes of one file, or small files until it has ``SHARED``
+    bytes; a file must hold whole sequences."""
 
-    STEP = 64 << 20
+    STEP, SHARED = 64 << 20, 4 << 20
 
     @classmethod
     def name(cls) -> str:
@@ -224,26 +232,35 @@ class _Ids(_Files):
         self.bytes = 4 * int(options["length"])
 
     def partitions(self) -> list[InputPartition]:
-        step, out = max(IdSource.STEP // self.bytes, 1), []
-        for path in listed(self.paths, self.suffix):
-            size = Ranges(path).size()
+        step, out, held, bytes_held = max(IdSource.STEP // self.bytes, 1), [], [], 0
+        for path, size in sized(self.paths, self.suffix):
+            if size is None:
+                size = Ranges(path).size()
             if size % self.bytes:
                 raise ValueError(f"{path}: {size} bytes are no whole sequences of {self.bytes}")
             n = size // self.bytes
-            out += [_Span(path, 0, a, min(a + step, n)) for a in range(0, n, step)]
-        return out
-
-    def read(self, part: _Span) -> Iterator[tuple]:
+            if size >= IdSource.SHARED:
+                out += [_Spans([(path, a, min(a + step, n))]) for a in range(0, n, step)]
+            elif n:
+                if held and bytes_held + size > IdSource.SHARED:
+                    out.append(_Spans(held))
+                    held, bytes_held = [], 0
+                held.append((path, 0, n))
+                bytes_held += size
+        return out + [_Spans(held)] * bool(held)
+
+    def read(self, part: _Spans) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        file = Ranges(part.path, most=max(16 << 20, self.bytes))
-        some = max((1 << 20) // self.bytes, 1)
-        for a in range(part.start, part.stop, some):
-            n = min(some, part.stop - a)
-            rows = np.frombuffer(file.read(a * self.bytes, n * self.bytes), "<u4").reshape(n, -1)
-            for i, row in enumerate(rows.tolist()):
-                yield part.path, a + i, row
-        file.close()
+        some, kind = max((1 << 20) // self.bytes, 1), pa.list_(pa.int64())
+        for path, start, stop in part.spans:
+            file = Ranges(path, most=max(16 << 20, self.bytes))
+            for a in range(start, stop, some):
+                n = min(some, stop - a)
+                flat = np.frombuffer(file.read(a * self.bytes, n * self.bytes), "<u4").astype(np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (self.bytes // 4)), pa.array(flat), type=kind)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.arange(a, a + n)), ids], names=["path", "place", "ids"])
+            file.close()
 
 
 def register(spark) -> None:
