@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators.joins import bounded
+from tessella.sources import files
 
 
 def first_reason(rules: list[tuple[str, Column]], kept: str = "kept") -> Column:
@@ -53,19 +54,30 @@ def phrases(items: DataFrame, key: str, text: str) -> DataFrame:
 def phrase_matches(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
     """(item, key, kind, place) of the first place, in words from 0, where a document holds an item's phrase, by kind.
 
-    Phrases are looked up by their first four words: a document's places whose four words begin no phrase go before anything is
-    shuffled, where the phrases' beginnings are few enough to be broadcast; the others compare the words that follow. Equality
-    is decided by digests of whole texts.
+    One pass over the documents takes a hash of every four words, and one of each whole text: where none of a phrase's
+    beginning, or of an item's text, is equal, the place goes before anything is shuffled, if these are few enough to be
+    broadcast. The places that are left go to a table; only their documents are cut into words again, and their words are
+    compared there. Equality is decided by digests of whole texts.
     """
     wanted = phrases(items, item, item_text)
     inner = wanted.where("kind <> 'equal'").select(item, "kind", "phrase", F.substring_index("phrase", " ", HEAD).alias("head"))
+    same = wanted.where("kind = 'equal'")
+    hashed = lambda w: "xxhash64(" + ", ".join(w.format(k) for k in range(HEAD)) + ")"
+    begins = inner.select(F.split("head", " ").alias("_h")).select(F.expr(hashed("get(_h, {})")).alias("h"))
+    asked = begins.unionAll(same.select(F.xxhash64(F.split("phrase", " ")))).distinct()
     words = docs.select(F.col(key), T.words(text).alias("_w"))
-    places = F.expr(f"CASE WHEN size(_w) >= {HEAD} THEN transform(sequence(1, size(_w) - {HEAD - 1}), i -> struct(i - 1 AS place, array_join(slice(_w, i, {HEAD}), ' ') AS head, array_join(slice(_w, i, {GRAM}), ' ') AS tail)) END")
-    at = words.select(key, F.inline_outer(places)).where("head IS NOT NULL")
-    begun = at.join(bounded(inner.select("head").distinct()), "head", "left_semi")
+    places = F.expr(f"""CASE WHEN size(_w) >= {HEAD} THEN array_append(transform(sequence(0, size(_w) - {HEAD}), i -> struct(i AS place, {hashed("get(_w, i + {})")} AS h)), struct(-1 AS place, xxhash64(_w) AS h))
+        WHEN size(_w) > 0 THEN array(struct(-1 AS place, xxhash64(_w) AS h)) END""")
+    at = words.select(key, F.inline_outer(places)).where("h IS NOT NULL").join(bounded(asked), "h", "left_semi")
+    path, left = files.folder(docs.sparkSession) + "/places", at.groupBy(F.col(key).alias("_key")).agg(F.collect_list("place").alias("_at"))
+    left.write.parquet(path)
+    left = bounded(docs.sparkSession.read.schema(left.schema).parquet(path))
+    again = docs.join(left, F.col(key).eqNullSafe(F.col("_key"))).select(key, T.words(text).alias("_w"), "_at")
+    told = F.expr(f"transform(filter(_at, i -> i >= 0), i -> struct(i AS place, array_join(slice(_w, i + 1, {HEAD}), ' ') AS head, array_join(slice(_w, i + 1, {GRAM}), ' ') AS tail))")
+    begun = again.select(key, F.inline_outer(told)).where("head IS NOT NULL")
     held = begun.join(bounded(inner), "head").where(F.startswith(F.concat("tail", F.lit(" ")), F.concat("phrase", F.lit(" "))))
-    same = words.where("size(_w) > 0").select(key, F.sha2(F.array_join("_w", " "), 256).alias("digest"))
-    equal = same.join(bounded(wanted.where("kind = 'equal'").select(item, F.sha2("phrase", 256).alias("digest"))), "digest")
+    whole = again.where(F.array_contains("_at", -1)).select(key, F.sha2(F.array_join("_w", " "), 256).alias("digest"))
+    equal = whole.join(bounded(same.select(item, F.sha2("phrase", 256).alias("digest"))), "digest")
     every = held.select(item, key, "kind", "place").unionAll(equal.select(item, key, F.lit("equal"), F.lit(0)))
     return every.groupBy(item, key, "kind").agg(F.min("place").alias("place"))
 
