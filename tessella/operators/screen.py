@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators.joins import bounded
+from tessella.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, bounded
 from tessella.sources import files
 
 
@@ -90,21 +90,28 @@ def first_seen(df: DataFrame, by: str, order: str, passed: Column) -> DataFrame:
     return joined.withColumn("_first", passed & (F.col(order) == F.col("_least"))).drop("_least")
 
 
-def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, _t): words of two characters or more and pairs of them, each as often as it occurs."""
-    found = df.select(key, F.filter(T.words(text), lambda w: F.length(w) > 1).alias("_w"))
+def _terms(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """(key, more, _t): words of two characters or more and pairs of them, each as often as it occurs."""
+    found = df.select(key, *more, F.filter(T.words(text), lambda w: F.length(w) > 1).alias("_w"))
     pairs = F.expr("CASE WHEN size(_w) > 1 THEN transform(sequence(0, size(_w) - 2), i -> concat(_w[i], ' ', _w[i + 1])) ELSE array() END")
-    return found.select(key, F.concat("_w", pairs).alias("_t"))
+    return found.select(key, *more, F.concat("_w", pairs).alias("_t"))
+
+
+def counted_terms(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(key, _c, more): the terms of each row with their counts, as an array of (term, tf); runs of the sorted terms."""
+    names = [f"_more{i}" for i in range(len(more))]
+    beside = df.select(key, text, *[c.alias(n) for c, n in zip(more, names)])
+    ordered = _terms(beside, key, text, *names).select(key, *names, F.sort_array("_t").alias("_t"))
+    starts = ordered.select(key, *names, "_t", F.expr("CASE WHEN size(_t) > 0 THEN filter(sequence(0, size(_t) - 1), i -> i = 0 OR _t[i] <> _t[i - 1]) END").alias("_s"))
+    return starts.select(key, *names, F.expr("transform(_s, (s, j) -> struct(_t[s] AS term, coalesce(get(_s, j + 1), size(_t)) - s AS tf))").alias("_c"))
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf), counted where the rows lie, as runs of their sorted terms.
+    """(key, term, tf), counted where the rows lie.
 
     The generator is an outer one: of others Spark infers a filter, whose pushed copy would sort a row's terms once a term.
     """
-    ordered = _terms(df, key, text).select(key, F.sort_array("_t").alias("_t"))
-    starts = ordered.select(key, "_t", F.expr("CASE WHEN size(_t) > 0 THEN filter(sequence(0, size(_t) - 1), i -> i = 0 OR _t[i] <> _t[i - 1]) END").alias("_s"))
-    return starts.select(key, F.inline_outer(F.expr("transform(_s, (s, j) -> struct(_t[s] AS term, coalesce(get(_s, j + 1), size(_t)) - s AS tf))"))).where("term IS NOT NULL")
+    return counted_terms(df, key, text).select(key, F.inline_outer("_c")).where("term IS NOT NULL")
 
 
 def smooth_idf(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -179,20 +186,48 @@ class ReferenceIndex:
         return best, count
 
 
+def frequent_from(seen: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> int:
+    """The least power of two such that the terms of seen(term, n) with an n of it or more are at most ``rows``, of at most
+    ``size`` bytes with 32 beside each. Counted by powers; no term passes the driver."""
+    level = F.expr("CAST(length(bin(n)) - 1 AS int)").alias("level")
+    levels = seen.groupBy(level).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("term") + 32).alias("bytes")).collect()
+    cut, terms, held = 63, 0, 0
+    for x in sorted(levels, key=lambda x: -x["level"]):
+        terms, held = terms + x["rows"], held + x["bytes"]
+        if terms > rows or held > size:
+            break
+        cut = x["level"]
+    return 1 << min(cut, 62)
+
+
 def greatest_cosine(df: DataFrame, key: str, text: str, reference: Column) -> DataFrame:
     """(key, cosine, pairs): for each row with terms that is no reference, its greatest cosine with one, and how many pairs were
     formed for it. Term weights are those of ``tfidf``.
 
-    Rows keep only the terms that references have too, in one row each, and are dealt to parts; references are dealt to blocks
-    of bounded size, each of which goes to every part. A task holds one block's index and lets rows pass it.
+    Terms are cut and counted once, into a table in the shared folder. The idf of the most frequent terms, as many as may be
+    broadcast, goes to the rows; only rows of other terms are shuffled to meet theirs. Rows keep only the terms that references
+    have too, in one row each, and are dealt to parts; references are dealt to blocks of bounded size, each of which goes to
+    every part. A task holds one block's index and lets rows pass it.
     """
-    held, idf = F.struct("term", "w"), smooth_idf(df, key, text)
-    asked = term_counts(df.where(reference), key, text)
-    refs = term_weights(asked, idf, key).groupBy(key).agg(F.collect_list(held).alias("_v"))
-    known = asked.select("term").distinct().withColumn("_known", F.lit(True))
-    weights = term_weights(term_counts(df.where(~reference), key, text), idf, key).join(known, "term", "left")
+    held, spark = F.struct("term", "w"), df.sparkSession
+    path = files.folder(spark)
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        table.write.option("compression", "zstd").parquet(f"{path}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{path}/{name}")
+
+    counted = kept(counted_terms(df, key, text, reference).withColumnRenamed("_more0", "_ref"), "terms")
+    each = counted.select(key, "_ref", F.inline_outer("_c")).where("term IS NOT NULL")
+    seen = each.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("_ref"), F.lit(False)).alias("_known"))
+    idf = kept(seen.withColumn("idf", F.log((1 + F.lit(counted.count())) / (1 + F.col("n"))) + 1), "idf")
+    refs = term_weights(each.where("_ref"), idf.where("_known"), key).groupBy(key).agg(F.collect_list(held).alias("_v"))
+    often = frequent_from(idf)
+    near = each.where("NOT _ref").join(F.broadcast(idf.where(F.col("n") >= often).drop("n")), "term", "left")  # bounded by frequent_from
+    far = near.where("idf IS NULL").select(key, "term", "tf").join(idf.where(F.col("n") < often), "term")
+    both = near.where("idf IS NOT NULL").select(key, "term", "tf", "idf", "_known").unionAll(far.select(key, "term", "tf", "idf", "_known"))
+    weights = both.select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"), "_known")
     lists = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), F.collect_list(F.when(F.col("_known"), held)).alias("_v"))
-    blocks, spark = max(-(-df.where(reference).count() // REFERENCES), 1), df.sparkSession
+    blocks = max(-(-counted.where("_ref").count() // REFERENCES), 1)
     # more parts than tasks, as parts are hashed to tasks
     parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
