@@ -9,7 +9,9 @@ one that shares most of its prefix. A list's middle is its set with the most shi
 comparisons link is a component, whose sets take over each other's answers: no two of them are ever
 compared. Then only those lists stay that hold several components. Long ones are cut into cells by size and position, and
 cells whose sizes or positions rule out enough overlap never meet; within a block the same rule skips sub-blocks, and pairs
-of one component and pairs whose parity bitmaps differ in too many bits are skipped too.
+of one component and pairs whose parity bitmaps differ in too many bits are skipped too. Sets of lists that may give many
+pairs for each entry bring bitmaps of four bits or more a shingle, which tell nearly all pairs below the threshold; those of
+lists of a few entries, whose pairs are in proportion to their entries, bring narrower ones.
 
 What is left is answered by derivation. Each set's lead is, of itself and the sets it is linked with, that with the most
 links. Leads are compared first, and their answers kept with the size of the overlap. For two sets, each of which differs from
@@ -40,6 +42,8 @@ from tessella.llm import common, graph, seeds
 SLOTS, SLICE = 1 << 20, 1 << 12
 #: Sets of one list that meet in one block.
 BLOCK = 512
+#: Entries of a list up to which its sets bring their narrow bitmaps.
+FEW = 8
 
 
 class Shingles:
@@ -69,11 +73,24 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def bitmap(found: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of 256 * 4^k bits, fewer than a third of the set's size."""
+def width(n: int) -> int:
+    """Bits of the narrow bitmap of n shingles: 256 * 4^k, fewer than a third of n if more than 256."""
     bits = 256
-    while len(found) > 800 * (bits // 256):
+    while n > 800 * (bits // 256):
         bits *= 4
+    return bits
+
+
+def wide(n: int) -> int:
+    """Bits of the wide bitmap of n shingles: 256 * 2^k, four to eight times n if more than 256."""
+    bits = 256
+    while bits < 4 * n:
+        bits *= 2
+    return bits
+
+
+def bitmap(found: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the shingles in each of so many bits."""
     odd = np.bincount((found >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -86,9 +103,9 @@ def fold(one: np.ndarray, size: int) -> np.ndarray:
 
 
 SETS = pa.schema(
-    [("doc_id", pa.int64()), ("k", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())]
+    [("doc_id", pa.int64()), ("k", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary()), ("wide", pa.binary())]
 )
-SETS_DDL = "doc_id long, k long, tag long, n long, x long, y long, prefix array<long>, bits binary"
+SETS_DDL = "doc_id long, k long, tag long, n long, x long, y long, prefix array<long>, bits binary, wide binary"
 
 
 def slot(found: np.ndarray) -> np.ndarray:
@@ -132,7 +149,7 @@ def counts(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, words: int, percent: int, work: common.Scratch) -> DataFrame:
-    """A row per document: size and 128-bit name of its set, its prefix from the rarest shingle on, its bitmap."""
+    """A row per document: size and 128-bit name of its set, its prefix from the rarest shingle on, its bitmaps."""
     shared = docs.sparkSession.sparkContext.broadcast(counts(docs, words))
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -143,12 +160,12 @@ def set_table(docs: DataFrame, words: int, percent: int, work: common.Scratch) -
                 found = find.of(text)
                 n = len(found)
                 if not n:
-                    yield doc_id, k, tag, 0, None, None, None, None
+                    yield doc_id, k, tag, 0, None, None, None, None, None
                     continue
                 x, y = found.sum(dtype=np.uint64), common.mix(found ^ np.uint64(0x51ED270B0929B1A5)).sum(dtype=np.uint64)
                 p = n - -(-percent * n // 100) + 1
                 order = np.argsort(seen[slot(found)], kind="stable")[:p]
-                yield doc_id, k, tag, n, int(x.view(np.int64)), int(y.view(np.int64)), found[order].view(np.int64), bitmap(found).tobytes()
+                yield doc_id, k, tag, n, int(x.view(np.int64)), int(y.view(np.int64)), found[order].view(np.int64), *(bitmap(found, bits).tobytes() for bits in (width(n), wide(n)))
 
     return work.write(docs.select("doc_id", "k", "tag", "text").mapInArrow(lambda parts: common.batches(rows(parts), SETS, 2_000), SETS_DDL), "jaccard-sets")
 
@@ -192,10 +209,10 @@ def compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, wor
     return told
 
 
-LEVELS = [32 * 4**level for level in range(16)]
+LEVELS = [32 * 2**level for level in range(32)]
 #: The longest group whose pairs are formed together with those of other groups of its length; pairs formed at a time; rows
-#: of a sub-block.
-SHORT, AT_ONCE, STEP = 48, 1 << 19, 64
+#: of a sub-block; bytes of bitmaps compared at a time.
+SHORT, AT_ONCE, STEP, BYTES = 48, 1 << 19, 64, 1 << 24
 
 
 class _Rows:
@@ -216,7 +233,7 @@ class _Rows:
             own = self.level[mine] == level
             out[own] = raw[at[mine[own]][:, None] + np.arange(LEVELS[level])]
             if self.folded:
-                out[~own] = np.bitwise_xor.reduce(self.folded[-1][0].view(np.uint8).reshape(-1, 4, LEVELS[level]), axis=1)
+                out[~own] = np.bitwise_xor.reduce(self.folded[-1][0].view(np.uint8).reshape(-1, 2, LEVELS[level]), axis=1)
             place = np.zeros(len(width), np.int64)
             place[mine] = np.arange(len(mine))
             self.folded.append((out.view(np.uint64), place))
@@ -234,7 +251,10 @@ class _Rows:
         for one in np.unique(level):
             at = np.flatnonzero(level == one)
             bits, place = self.folded[one]
-            near[at] = np.bitwise_count(bits[place[p[at]]] ^ bits[place[q[at]]]).sum(1, dtype=np.int64) <= most[at]
+            some = max(1, BYTES // LEVELS[one])
+            for k in range(0, len(at), some):
+                now = at[k : k + some]
+                near[now] = np.bitwise_count(bits[place[p[now]]] ^ bits[place[q[now]]]).sum(1, dtype=np.int64) <= most[now]
         if near.any():
             u, v = self.x[p[near]], self.x[q[near]]
             yield _distinct(u, v)
@@ -300,14 +320,15 @@ def _blocks(percent: int):
 def _dealt(rooted: DataFrame, several: DataFrame, bits: DataFrame, percent: int, work: common.Scratch) -> DataFrame:
     """Entries of the lists in groups of at most two blocks.
 
-    A list of up to ``BLOCK`` entries is one block. A longer one is cut into cells by size and position in the prefix; cells
+    Entries of lists of more than ``FEW`` bring wide bitmaps. A list of up to ``BLOCK`` entries is one block. A longer one is cut into cells by size and position in the prefix; cells
     whose ranges of sizes and positions cannot qualify never meet; a cell of more than ``BLOCK`` entries is dealt by hash.
     """
     ratio = F.log(F.lit(100 / percent))
     size = F.floor(F.log("n") / ratio)
     place = F.least(F.floor(F.col("pos") * 400 / ((100 - percent) * F.col("n") + 100)), F.lit(3))
     left = rooted.join(several, "token").join(bits, "x").withColumn("cell", F.when(F.col("length") > BLOCK, size * 4 + place + 1).otherwise(0).cast("long"))
-    left = work.write(left.select("token", "cell", "length", "x", "root", "n", "pos", "bits"), "jaccard-left")
+    own = F.when(F.col("length") > FEW, F.col("wide")).otherwise(F.col("bits")).alias("bits")
+    left = work.write(left.select("token", "cell", "length", "x", "root", "n", "pos", own), "jaccard-left")
     zero = F.lit(0).cast("long")
     short = left.where("cell = 0").select("token", *[zero.alias(c) for c in ("a", "b", "i", "j", "side")], "x", "root", "n", "pos", "bits")
     long = left.where("cell > 0")
@@ -404,8 +425,8 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
         return shared.groupBy("x").agg(F.max(F.struct("shared", "v")).alias("best")).select(F.col("x").alias("u"), F.col("best.v").alias("v"))
 
     pairs = similar("middle").unionAll(similar("low")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    sized = reps.select("x", "n", "bits").dropDuplicates(["x"])
-    sides = pairs.join(sized.select(F.col("x").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu")), "u").join(sized.select(F.col("x").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv")), "v")
+    sized = reps.select("x", "n", "bits", "wide").dropDuplicates(["x"])
+    sides = pairs.join(sized.select(F.col("x").alias("u"), F.col("n").alias("nu"), F.col("wide").alias("bu")), "u").join(sized.select(F.col("x").alias("v"), F.col("n").alias("nv"), F.col("wide").alias("bv")), "v")
 
     def near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -427,7 +448,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     work.release(entries)
     several = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("length")).where("a <> b").select("token", "length")
     several = work.write(several, "jaccard-several")
-    dealt = _dealt(rooted, several, sized.select("x", "bits"), percent, work)
+    dealt = _dealt(rooted, several, sized.select("x", "bits", "wide"), percent, work)
     found = work.write(dealt.mapInArrow(_blocks(percent), "u long, v long").distinct(), "jaccard-found")
     more = _derived(found, links, sized.select("x", "n"), compare, percent, work)
     roots = graph.components(links.select("u", "v").unionAll(more), work)

@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tessella.llm import graph, ngram_jaccard
+from tessella.llm import common, graph, ngram_jaccard
 
 
 def sets(text, words):
@@ -106,3 +106,33 @@ def test_sets_that_share_a_name(spark, monkeypatch):
     table = ngram_jaccard.set_table
     monkeypatch.setattr(ngram_jaccard, "set_table", lambda *a: table(*a).withColumn("x", F.lit(5).cast("long")))
     assert sorted((x.doc_id, x.component_id) for x in ngram_jaccard.join(docs, 3, 99).collect()) == want
+
+
+def outliers(r, members):
+    """Near copies of one text, and half as many texts of their own that share some 70 % of their shingles with each."""
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(members + members // 2):
+        text = list(base)
+        for k in r.sample(range(400), 1 if i < members else 12):
+            text[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_pairs_below_the_threshold_are_not_formed_from_long_lists(spark, monkeypatch):
+    r, found, write = random.Random(4), [], common.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name == "jaccard-found":
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "write", counted)
+    for members in (20, 40):
+        rows = outliers(r, members)
+        got = ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute(rows, 5, 80)
+        assert len({x.component_id for x in got}) == 1 + members // 2
+    assert found[0] <= 20 and found[1] <= 40
